@@ -3,18 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from files in the shared folder that the cluster names in spark.checkpoint.dir.
-
-    Only where that is unset, as in tests, a folder of our own is used.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; only where that is unset, as in tests, one of our own."""
     jsc = spark.sparkContext._jsc.sc()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and jsc.getCheckpointDir().isDefined():
+        named = jsc.getCheckpointDir().get()
+    named = named or tempfile.mkdtemp(prefix="millrace-loops-")
     if not jsc.getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="millrace-loops-"))
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
+def folder(spark: SparkSession, what: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows from files in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

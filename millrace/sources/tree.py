@@ -91,3 +91,8 @@ def fingerprint(files: DataFrame) -> DataFrame:
 def extensions(files: DataFrame) -> DataFrame:
     """Files of each extension."""
     return files.groupBy(T.extension(F.col("path")).alias("extension")).agg(F.count("*").alias("files"))
+
+
+#: A small corpus that comes with the package, as JSON lines.
+SEED = """{"source_lang": "go", "source_api": ["strings.Split"], "source_code": "strings.Split(s, x)", "target_code": "s.split(x)", "package": "seed", "file": "split.go", "tier": "compile"}
+{"source_lang": "python", "source_api": ["os.path"], "source_code": "os.path.join(a, b)", "target_code": "a.join(b)", "package": "seed", "file": "join.py", "tier": "behavior"}"""
