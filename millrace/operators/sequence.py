@@ -10,9 +10,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from millrace.operators import classify as C
 
+#: Types as objects: a string would need a session to be parsed in.
+STRINGS = ArrayType(StringType())
+RANGES = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))
+
 BUDGET = 5000
 
 
@@ -119,7 +124,7 @@ def split_contract(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("file").agg(joined("data").alias("data"), joined("fn").alias("signatures"))
 
 
-@F.arrow_udf("array<string>")
+@F.arrow_udf(STRINGS)
 def statements(texts: pa.Array) -> pa.Array:
     """Statements of a text, split at `;` outside brackets, strings and characters."""
     out = []
@@ -145,7 +150,7 @@ def statements(texts: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.string()))
 
 
-@F.arrow_udf("array<string>")
+@F.arrow_udf(STRINGS)
 def path_heads(texts: pa.Array) -> pa.Array:
     """Sorted first segments of paths `a::b` in code, not those in strings, characters or comments."""
     import re
@@ -192,7 +197,7 @@ def renumbered(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)
 
 
-@F.arrow_udf("array<struct<start: bigint, end: bigint>>")
+@F.arrow_udf(RANGES)
 def disjoint(edits: pa.Array) -> pa.Array:
     """Of ranges in order, those that overlap none taken before."""
     out = []
@@ -205,7 +210,7 @@ def disjoint(edits: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def edited(texts: pa.Array, edits: pa.Array) -> pa.Array:
     """Texts with byte ranges replaced, the last range first; ranges past the end or inside a character are left out."""
     out = []
@@ -226,7 +231,7 @@ def edited(texts: pa.Array, edits: pa.Array) -> pa.Array:
 def use_leaves(uses: DataFrame, key: str = "file", text: str = "use") -> DataFrame:
     """Leaf paths of import trees such as `a::{b, c::{d, e}}`: key, leaf."""
 
-    @F.arrow_udf("array<string>")
+    @F.arrow_udf(STRINGS)
     def flat(texts: pa.Array) -> pa.Array:
         def leaves(tree: str, prefix: str) -> list[str]:
             tree = tree.strip()
@@ -247,7 +252,7 @@ def use_leaves(uses: DataFrame, key: str = "file", text: str = "use") -> DataFra
     return uses.select(key, F.explode(flat(F.col(text))).alias("leaf"))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def fnv1a(contents: pa.Array) -> pa.Array:
     """The 64-bit FNV-1a digest of a text's bytes in hex, for files that were fingerprinted with it."""
     out = []

@@ -8,9 +8,13 @@ import tomllib
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from millrace.functions import text as T
 
+#: Types as objects: a string would need a session to be parsed in.
+STRINGS = ArrayType(StringType())
+
 CORPUS = "source_lang string, source_api array<string>, source_code string, target_code string, package string, file string, tier string"
 SPAN = "struct<file_name: string, line_start: bigint, line_end: bigint, column_start: bigint, column_end: bigint, byte_start: bigint, byte_end: bigint, is_primary: boolean, label: string, suggested_replacement: string, suggestion_applicability: string>"
 MESSAGE = f"reason string, message struct<level: string, message: string, code: struct<code: string>, rendered: string, spans: array<{SPAN}>, children: array<struct<level: string, message: string, spans: array<{SPAN}>>>>"
@@ -92,7 +96,7 @@ def fenced_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return numbered(docs, key, text).withColumn("_fences", F.sum(fence).over(before)).filter((fence == 0) & (F.col("_fences") % 2 == 1)).drop("_fences")
 
 
-@F.arrow_udf("array<string>")
+@F.arrow_udf(STRINGS)
 def shell_words(commands: pa.Array) -> pa.Array:
     """Words of a command as a shell would split it; null if quotes are open."""
     out = []
@@ -156,7 +160,7 @@ def last_json(lines: DataFrame, key: str = "run_id", order: str = "pos", value:
     return lines.filter(F.try_parse_json(F.col(value)).isNotNull()).groupBy(key).agg(F.max_by(value, order).alias("json"))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def first_object(texts: pa.Array) -> pa.Array:
     """The first balanced {...} of a text, a fenced block before others; null if there is none."""
     out = []
