@@ -3,9 +3,10 @@
 Positive-unlabelled learning minimises the non-negative unbiased risk: with class prior p, the risk
 of calling positives positive, weighted by p, plus the risk of calling negatives negative, which is
 that of the unlabelled text less p times that of the positives and is kept from falling below zero.
-The prior is estimated from the two samples alone: a first classifier tells positives from unlabelled
-text on one half, and on the other half the prior is the smallest ratio of their shares above a
-threshold, the threshold being picked with both shares' confidence bounds.
+The prior is estimated as the share of good documents among those with a label, if labels hold both
+classes. From positives alone it is estimated from the two samples: a first classifier tells positives
+from unlabelled text on one half, and on the other half the prior is the smallest ratio of their shares
+above a threshold, the threshold being picked with both shares' confidence bounds.
 
 A text is described by what can be counted in one reading of it: bytes by kind, words, lines, and how
 often they repeat. The network is small and is sent to the executors with the query.
@@ -27,6 +28,8 @@ from millrace.llm.common import fresh, held_out, learnable, small_batches, unit_
 
 #: Documents of each sample that the model is fitted on, about: those with the smallest hashes.
 TRAIN_DOCS = 8000
+#: Labelled documents of the rarer class from which the prior is their share.
+ENOUGH = 10
 #: A document is called good from this score on.
 GOOD = 0.7
 SEED = 20
@@ -114,7 +117,7 @@ class Adam:
             w -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 300, hidden: int = 16, rate: float = 0.01, decay: float = 1e-4) -> Net:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 300, hidden: int = 16, rate: float = 0.01, decay: float = 1e-3) -> Net:
     """The network with the least non-negative unbiased risk under the logistic loss."""
     every = np.concatenate([positive, unlabelled]).astype(np.float64)
     net = Net(every.mean(0), every.std(0) + 1e-6, hidden, np.random.default_rng(SEED))
@@ -171,9 +174,10 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> M
     samples' features, a few dozen numbers for each document.
     """
     spark = docs.sparkSession
-    trusted = labels.filter(learnable("doc_id") & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1").select("doc_id")
+    known = labels.filter(learnable("doc_id") & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    trusted = known.filter("quality = 1").select("doc_id")
     own = docs.select("doc_id", "text").filter(learnable("doc_id"))
-    n_trusted, n_own = trusted.count(), own.count()
+    n_known, n_trusted, n_own = known.count(), trusted.count(), own.count()
     if not n_trusted or not n_own:
         return Model()
     few = trusted.filter(unit_hash("doc_id", F.lit(1)) < train_docs / n_trusted).withColumn("trusted", F.lit(True))  # about train_docs ids
@@ -193,7 +197,8 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> M
     positive, unlabelled = (x[rows.column(k).fill_null(False).to_numpy(zero_copy_only=False).astype(bool)] for k in ("trusted", "web"))
     if not len(positive) or not len(unlabelled):
         return Model()
-    prior = class_prior(positive, unlabelled)
+    both = min(n_trusted, n_known - n_trusted) >= ENOUGH
+    prior = n_trusted / n_known if both else class_prior(positive, unlabelled)
     return Model(fit(positive, unlabelled, prior), prior)
 
 
