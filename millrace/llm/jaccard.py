@@ -8,10 +8,10 @@ remain are expanded to their members and verified on whole sets. Members with th
 node throughout, so copies are never paired.
 
 A prefix shingle can be in very many groups, namely those of one large family of near copies. Such
-a shingle first proposes each of its groups with the first and the last group only; once verified,
-these links make most of the family one component, and what remains to be paired is groups of
-different components. Nothing is dropped: a pair that is left out is one whose ends are already
-known to be in one component.
+a shingle first proposes each of its groups with one group only, that which has it at the earliest
+place and so has least of its own; once verified, these links make most of the family one component,
+and what remains to be paired is groups of different components. Nothing is dropped: a pair that is
+left out is one whose ends are already known to be in one component.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import discard, small_batches, written
@@ -30,7 +30,7 @@ from millrace.llm.shingles import WORDS, bucket, shingles, sketch
 
 #: Similarity in hundredths from which documents are linked.
 PERCENT = 75
-#: Groups that a prefix shingle pairs at once; those of more groups are linked to two of them first.
+#: Groups that a prefix shingle pairs at once; those of more groups are linked to one of them first.
 FAMILY = 24
 #: Bits of the table of ids that verification reads texts for; a wrong bit costs time only.
 FILTER_BITS = 22
@@ -80,16 +80,33 @@ def described(docs: DataFrame, counts: np.ndarray, words: int = WORDS, percent:
     return docs.select("doc_id", "text").mapInArrow(describe, f"doc_id {kind}, n int, sig binary, grp bigint, prefix array<bigint>")
 
 
-def postings(rows: DataFrame) -> DataFrame:
+def needed(p: str, q: str, percent: int = PERCENT) -> Column:
+    """The least overlap of sets of these sizes that makes a link, times 100 + percent."""
+    return (F.col(p) + F.col(q)) * percent
+
+
+def reaches(n: str, pos: str, other: str, percent: int = PERCENT) -> Column:
+    """From this place on, a set of n still has the overlap that a link with a set of size `other` needs.
+
+    The first shingle that two linked sets share is at such a place in both.
+    """
+    return (F.col(n) - F.col(pos)) * (100 + percent) >= needed(n, other, percent)
+
+
+def postings(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per prefix shingle in two groups or more, and group: token, grp, n, pos, family (groups of the
-    shingle), and first and last (the end groups of the family)."""
+    shingle), and first (the group that has it at the earliest place).
+
+    Places too late for a link with the smallest group of the shingle are left out.
+    """
     every = rows.filter("prefix is not null").select("grp", "n", F.posexplode("prefix").alias("pos", "token")).repartition("token").dropDuplicates(["token", "grp"])
     family = Window.partitionBy("token")
-    own = F.struct("grp", "n", "pos")
-    return every.withColumn("family", F.count("*").over(family)).filter("family > 1").withColumn("first", F.min(own).over(family)).withColumn("last", F.max(own).over(family))
+    shared = every.withColumn("family", F.count("*").over(family)).filter("family > 1").withColumn("_least", F.min("n").over(family)).withColumn("first", F.min(F.struct("pos", "grp", "n")).over(family))
+    return shared.filter((F.col("n") - F.col("pos")) * (100 + percent) >= (F.col("n") + F.greatest(F.col("_least"), F.col("n") * percent / 100)) * percent).drop("_least")
 
 
-def sizes_allow(a: str, b: str, percent: int = PERCENT):
+def sizes_allow(a: str, b: str, percent: int = PERCENT) -> Column:
+    """The smaller set is large enough for a link with the larger one."""
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
@@ -134,7 +151,7 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple
     """Rows (doc_id, n, sig, grp, node) and, of the nodes with a link, their components."""
     rows = written(described(docs, sketch(docs, words=words), words, percent), "described")
     nodes = written(rows.filter("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("node"), F.first("grp").alias("grp"), F.first("n").alias("n")), "nodes")
-    shared = written(postings(rows), "postings")
+    shared = written(postings(rows, percent), "postings")
     members = nodes.select("grp", "node")
 
     def expanded(groups: DataFrame) -> DataFrame:
@@ -146,10 +163,10 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple
     ends = Window.partitionBy("grp")
     several = nodes.select("grp", "node", F.count("*").over(ends).alias("family"), F.min("node").over(ends).alias("first"), F.max("node").over(ends).alias("last")).filter("family > 1")
 
-    # large families: every group with two of them
+    # large families: every group with the one that has the shingle earliest, which has least of its own
     over = F.col("family") > FAMILY
-    large = shared.filter(over).select(F.explode(F.array("first", "last")).alias("end"), "grp", "n")
-    large = large.filter((F.col("end.grp") != F.col("grp")) & sizes_allow("end.n", "n", percent)).select(F.least("end.grp", "grp").alias("x"), F.greatest("end.grp", "grp").alias("y")).distinct()
+    large = shared.filter(over).select("grp", "n", "pos", F.col("first.grp").alias("end"), F.col("first.n").alias("end_n"), F.col("first.pos").alias("end_pos"))
+    large = large.filter((F.col("end") != F.col("grp")) & sizes_allow("end_n", "n", percent) & reaches("n", "pos", "end_n", percent) & reaches("end_n", "end_pos", "n", percent)).select(F.least("end", "grp").alias("x"), F.greatest("end", "grp").alias("y")).distinct()
     inside = several.filter(over).select(F.explode(F.array("first", "last")).alias("a"), F.col("node").alias("b")).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = written(expanded(large).unionByName(inside).distinct(), "pairs")
     links = verified(pairs, docs, words, percent) if not pairs.isEmpty() else pairs
@@ -162,15 +179,19 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple
     if some:
         of_group = at.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
         open_ = open_.join(of_group, "grp")
-        token = Window.partitionBy("token")
-        open_ = open_.withColumn("_lo", F.min("lo").over(token)).withColumn("_hi", F.max("hi").over(token)).filter("_lo <> _hi").drop("_lo", "_hi")
     else:
         open_ = open_.withColumn("lo", F.col("grp")).withColumn("hi", F.col("grp"))
-    one = open_.select("token", *[F.col(c).alias(f"x_{c}") for c in ("grp", "n", "pos", "lo", "hi")])
-    two = open_.select("token", *[F.col(c).alias(f"y_{c}") for c in ("grp", "n", "pos", "lo", "hi")])
+    # groups outside the component of the earliest one meet all of the shingle; those inside are settled
+    token = Window.partitionBy("token")
+    open_ = open_.withColumn("_main", F.min(F.struct("pos", "grp", "lo")).over(token)).withColumn("main", (F.col("lo") == F.col("hi")) & (F.col("lo") == F.col("_main.lo"))).drop("_main")
+    side = lambda k: ["token", *[F.col(c).alias(f"{k}_{c}") for c in ("grp", "n", "pos", "lo", "hi", "main")]]
     apart = (F.col("x_lo") != F.col("x_hi")) | (F.col("y_lo") != F.col("y_hi")) | (F.col("x_lo") != F.col("y_lo"))
-    met = one.join(two, "token").filter((F.col("x_grp") < F.col("y_grp")) & apart & sizes_allow("x_n", "y_n", percent))
-    met = met.groupBy(F.col("x_grp").alias("x"), F.col("y_grp").alias("y")).agg(F.count("*").alias("k"), F.max("x_pos").alias("i"), F.max("y_pos").alias("j"), F.first("x_n").alias("p"), F.first("y_n").alias("q"))
+    met = open_.filter("not main").select(side("x")).join(open_.select(side("y")), "token")
+    met = met.filter((F.col("y_main") | (F.col("x_grp") < F.col("y_grp"))) & (F.col("x_grp") != F.col("y_grp")) & apart & sizes_allow("x_n", "y_n", percent) & reaches("x_n", "x_pos", "y_n", percent) & reaches("y_n", "y_pos", "x_n", percent))
+    ordered = F.col("x_grp") < F.col("y_grp")
+    pick = lambda c, d: F.when(ordered, F.col(c)).otherwise(F.col(d))
+    met = met.select(pick("x_grp", "y_grp").alias("x"), pick("y_grp", "x_grp").alias("y"), pick("x_pos", "y_pos").alias("i"), pick("y_pos", "x_pos").alias("j"), pick("x_n", "y_n").alias("p"), pick("y_n", "x_n").alias("q"))
+    met = met.groupBy("x", "y").agg(F.count("*").alias("k"), F.max("i").alias("i"), F.max("j").alias("j"), F.first("p").alias("p"), F.first("q").alias("q"))
     # up to the last shared shingle the common ones are counted; after it, what remains of the shorter rest
     met = met.filter((F.col("k") + F.least(F.col("p") - F.col("i"), F.col("q") - F.col("j")) - 1) * (100 + percent) >= (F.col("p") + F.col("q")) * percent)
     within = several.join(at.select("node", "component"), "node").select("grp", "node", "component")
