@@ -110,40 +110,53 @@ def sizes_allow(a: str, b: str, percent: int = PERCENT) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def parities(items: np.ndarray) -> np.ndarray:
+    """Of each slot that elements fall into, whether their number is odd; about four slots for an element, 64 to a word."""
+    size = 1 << max(6, (4 * len(items) - 1).bit_length())
+    odd = np.bincount((items & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def apart(a: str, b: str) -> Column:
+    """In how many bits two parities differ; the longer is folded to the shorter, which keeps its meaning.
+
+    Sizes that allow a link make one at most twice as long as the other.
+    """
+    m = F.least(F.size(a), F.size(b))
+    xor = lambda x, y: x.bitwiseXOR(y)
+    fold = lambda c: F.when(F.size(c) > m, F.zip_with(F.slice(c, F.lit(1), m), F.slice(c, m + 1, m), xor)).otherwise(F.col(c))
+    return F.aggregate(F.zip_with(fold(a), fold(b), lambda x, y: F.bit_count(xor(x, y)).cast("bigint")), F.lit(0).cast("bigint"), lambda s, x: s + x)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Those pairs (a, b) of node ids whose sets are similar enough, from the whole texts."""
     spark = pairs.sparkSession
     small_batches(spark)
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
+    slot = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    # built in the engine, and as large for any number of ids: one bit for each slot
-    words64 = 1 << (FILTER_BITS - 12)
-    bits = ids.select(slot("id").alias("s")).groupBy((F.col("s") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits"))
-    lines = bits.groupBy((F.col("w") / words64).cast("int").alias("line")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("w") % words64).alias("k"), "bits"))).alias("bits")).collect()
-    table = np.zeros((64, words64), np.int64)
-    for r in lines:
-        for k, v in r["bits"].items():
-            table[r["line"], k] = v
-    shared = spark.sparkContext.broadcast(table.ravel())
-
-    @F.arrow_udf("boolean")
-    def wanted(s: pa.Array) -> pa.Array:
-        x = s.to_numpy(zero_copy_only=False)
-        return pa.array((shared.value[x >> 6] >> (x & 63)) & 1 == 1)
+    # a bit for each slot that an id is in, 64 to a row: as many rows, at most, for any number of ids
+    bits = ids.select(slot.alias("s")).groupBy((F.col("s") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("bits"))
+    own = docs.select(F.col("doc_id").alias("id"), "text").filter("id is not null").withColumn("s", slot)
+    few = own.join(F.broadcast(bits), (F.col("s") / 64).cast("int") == F.col("w")).filter("shiftrightunsigned(bits, cast(s % 64 as int)) & 1 = 1").select("id", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(t, words).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "items"])
+            found = [shingles(t, words) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([parities(x) for x in found], pa.list_(pa.int64())), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))],
+                ["id", "n", "bits", "items"],
+            )
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
-    few = docs.select("doc_id", "text", slot("doc_id").alias("_s")).filter("doc_id is not null").filter(wanted("_s")).select("doc_id", "text")
-    items = written(few.mapInArrow(sets, f"id {kind}, items array<bigint>").join(ids.distinct(), "id", "left_semi"), "sets")
-    left, right = items.select(F.col("id").alias("a"), F.col("items").alias("x")), items.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("x", "y"))
-    links = written(both.filter(common * (100 + percent) >= (F.size("x") + F.size("y")) * percent).select("a", "b").distinct(), "verified")
-    discard(items)
+    known = written(few.mapInArrow(sets, f"id {kind}, n bigint, bits array<bigint>, items array<bigint>"), "sets")
+    side = lambda k, *names: known.select(F.col("id").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in names])
+    # sets that differ in d elements have parities that differ in d bits at most
+    met = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b")
+    met = met.filter((F.col("a_n") + F.col("b_n") - apart("a_bits", "b_bits")) * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent * 2)
+    both = written(met.select("a", "b").distinct(), "likely").join(side("a", "items"), "a").join(side("b", "items"), "b")
+    common = F.size(F.array_intersect("a_items", "b_items"))
+    links = written(both.filter(common * (100 + percent) >= (F.size("a_items") + F.size("b_items")) * percent).select("a", "b").distinct(), "verified")
+    discard(known)
     return links
 
 
