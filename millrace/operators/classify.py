@@ -56,6 +56,19 @@ DERIVABLE = ("Debug", "Clone", "PartialEq", "Eq", "Hash", "Default", "PartialOrd
 IMPORT_CODES = ("E0432", "E0433", "E0405", "E0412")
 STAGES = {"Idle": 0, "Parsing": 5, "Scaffolding": 10, "Translating": 15, "Verifying": 70, "Optimizing": 88, "Completed": 100}
 
+# What begins a symbol's line, by language; longer beginnings come before their parts.
+PYTHON_BEGINS = ("async def ", "def ", "class ")
+SCRIPT_BEGINS = ("export async function ", "export function ", "async function ", "function ", "export class ", "class ", "export const ", "export let ", "export default function ", "export default class ", "export type ", "export interface ", "const ", "let ")
+GO_BEGINS = ("func ", "type ", "var ", "const ")
+RUBY_BEGINS = ("def ", "class ", "module ")
+NO_DECLARATION = ("import ", "package ", "using ", "namespace ")
+# What a log says of a dependency that can't be resolved, and marks of generated files.
+UNRESOLVED = ("failed to select a version", "no matching package", "failed to load source for dependency", "searched package name")
+UNFETCHED = ("failed to get", "dependency")
+STUB_MARK, FAILED_MARKS = "// [STUB] Skipped", ("translation failed for chunk", "run aborted before this file", "// read error:")
+# Kinds of public declarations.
+PUBLIC_KINDS = ("fn", "async fn", "struct", "enum", "trait", "type", "const", "static", "mod", "impl")
+
 
 def _map(values: dict) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
@@ -197,7 +210,7 @@ def same_suffix(a: Column, b: Column) -> Column:
     return (x == y) | x.endswith(y) | y.endswith(x)
 
 
-def output_state(text: Column, skipped: str = "// [STUB] Skipped", failed: tuple[str, ...] = ("translation failed for chunk", "run aborted before this file", "// read error:")) -> Column:
+def output_state(text: Column, skipped: str = STUB_MARK, failed: tuple[str, ...] = FAILED_MARKS) -> Column:
     """stub, failed or ok; stub wins."""
     return F.when(text.contains(skipped), "stub").when(_any(text, failed), "failed").otherwise("ok")
 
@@ -215,7 +228,7 @@ def outcome(clean: Column, failed: Column) -> Column:
 def unresolvable(log: DataFrame) -> DataFrame:
     """Names of dependencies that a log says can't be resolved: run_id, name."""
     l = F.lower("line")  # noqa: E741
-    says = l.contains("failed to select a version") | l.contains("no matching package") | l.contains("failed to load source for dependency") | (l.contains("failed to get") & l.contains("dependency")) | l.contains("searched package name")
+    says = _any(l, UNRESOLVED) | (l.contains(UNFETCHED[0]) & l.contains(UNFETCHED[1]))
     name = F.trim(F.regexp_extract(T.between_backticks(F.col("line")), "^([^= ]*)", 1))
     return log.filter(says).select("run_id", name.alias("name")).filter("name <> ''").distinct()
 
@@ -227,20 +240,21 @@ def commented_out(lines: DataFrame, names: DataFrame, mark: str = "# removed: ")
 
 
 def declares_public(line: Column) -> Column:
-    return F.trim(line).rlike("^pub (fn|async fn|struct|enum|trait|type|const|static|mod|impl) ")
+    return F.trim(line).rlike(f"^pub ({'|'.join(PUBLIC_KINDS)}) ")
 
 
 def boundary(line: Column, lang: Column) -> Column:
     """The symbol that a line begins in its language; null for other lines."""
     t = F.trim(line)
     filled = lambda x: F.when(x != "", x)
-    python = F.when(t.rlike("^(async def |def |class )"), F.trim(F.regexp_replace(F.regexp_extract(t, "^(?:async def |def |class )([^(]*)", 1), ":+$", ""))).when(t.rlike("^\\p{Lu}") & t.contains("="), F.trim(F.substring_index(t, "=", 1)))
-    script = filled(F.trim(F.regexp_extract(t, "^(?:export async function |export function |async function |function |export class |class |export const |export let |export default function |export default class |export type |export interface |const |let )([^(<= ]*)", 1)))
-    go = F.when(t.rlike("^(func|type|var|const) "), F.trim(F.regexp_extract(t, "^(?:func|type|var|const) ([^( ]*)", 1)))
+    after = lambda begins, rest: f"^(?:{'|'.join(begins)}){rest}"
+    python = F.when(t.rlike(after(PYTHON_BEGINS, "")), F.trim(F.regexp_replace(F.regexp_extract(t, after(PYTHON_BEGINS, "([^(]*)"), 1), ":+$", ""))).when(t.rlike("^\\p{Lu}") & t.contains("="), F.trim(F.substring_index(t, "=", 1)))
+    script = filled(F.trim(F.regexp_extract(t, after(SCRIPT_BEGINS, "([^(<= ]*)"), 1)))
+    go = F.when(t.rlike(after(GO_BEGINS, "")), F.trim(F.regexp_extract(t, after(GO_BEGINS, "([^( ]*)"), 1)))
     flush = ~line.rlike("^[ \\t]") & (t != "") & ~t.startswith("//")
-    java = F.when(flush & ~t.rlike("^(import|package|using|namespace) ") & (t.rlike("class |interface |enum ") | (t.contains("(") & t.contains(")") & ~t.contains(";"))), F.coalesce(F.get(F.filter(F.split(t, "\\s+"), lambda w: w.rlike("^\\p{L}") & ~w.contains("(")), F.lit(0)), F.lit("?")))
+    java = F.when(flush & ~t.rlike(after(NO_DECLARATION, "")) & (t.rlike("class |interface |enum ") | (t.contains("(") & t.contains(")") & ~t.contains(";"))), F.coalesce(F.get(F.filter(F.split(t, "\\s+"), lambda w: w.rlike("^\\p{L}") & ~w.contains("(")), F.lit(0)), F.lit("?")))
     c = F.when(flush & ~t.startswith("#") & ~t.startswith("typedef") & (t.contains("(") | t.rlike("^(struct|class|enum) ")), F.coalesce(F.get(F.filter(F.split(t, "[( ]"), lambda w: w.rlike("^[\\p{L}\\p{N}_]+$")), F.lit(0)), F.lit("?")))
-    ruby = F.when(t.rlike("^(def|class|module) "), F.regexp_extract(t, "^(?:def|class|module) +(\\S+)", 1))
+    ruby = F.when(t.rlike(after(RUBY_BEGINS, "")), F.regexp_extract(t, after(RUBY_BEGINS, " *(\\S+)"), 1))
     return F.when(lang == "python", python).when(lang.isin("javascript", "typescript"), script).when(lang == "go", go).when(lang.isin("java", "csharp"), java).when(lang.isin("c", "cpp"), c).when(lang == "ruby", ruby)
 
 

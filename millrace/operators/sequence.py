@@ -89,6 +89,8 @@ def brace_blocks(files: DataFrame) -> DataFrame:
     kind is `fn` for functions, whose text is their signature, and `data` for all else.
     """
 
+    begins = tuple(f"pub {kind} " for kind in C.PUBLIC_KINDS)
+
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {"file": [], "ord": [], "kind": [], "decl": []}
@@ -97,7 +99,7 @@ def brace_blocks(files: DataFrame) -> DataFrame:
                 depth, n = 0, 0
                 for line in (text or "").splitlines():
                     bare = line.strip()
-                    if not held and not bare.startswith(("pub fn ", "pub async fn ", "pub struct ", "pub enum ", "pub trait ", "pub type ", "pub const ", "pub static ", "pub mod ", "pub impl ")):
+                    if not held and not bare.startswith(begins):
                         continue
                     function = (held[0] if held else bare).strip().startswith(("pub fn ", "pub async fn "))
                     cut, done = line, False
