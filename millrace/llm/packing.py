@@ -27,7 +27,7 @@ from millrace.llm.common import small_batches, written
 
 CAPACITY = 2048
 #: Distinct words that a worker keeps with their ids.
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 250_000
 #: Hash buckets that each length's pieces are ranked in, at least, and pieces for which one more is taken.
 RANK_BUCKETS, BUCKET_ROWS = 64, 200_000
 

@@ -15,8 +15,8 @@ from millrace.llm.common import small_batches
 
 #: Words of a shingle.
 WORDS = 5
-#: Distinct words that a worker keeps with their hashes.
-MEMO_ENTRIES = 500_000
+#: Distinct words that a worker keeps with their hashes: the first ones, among them the frequent.
+MEMO_ENTRIES = 100_000
 #: Counters of the frequency sketch, and the parts that they are added up in.
 SKETCH_BITS, SKETCH_PARTS = 20, 16
 
@@ -27,9 +27,9 @@ class WordHashes(dict):
     """64-bit hashes of words, computed once each."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMO_ENTRIES:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        found = xxhash.xxh3_64_intdigest(word)
+        if len(self) < MEMO_ENTRIES:
+            self[word] = found
         return found
 
 
