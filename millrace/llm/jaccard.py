@@ -128,16 +128,25 @@ def apart(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(fold(a), fold(b), lambda x, y: F.bit_count(xor(x, y)).cast("bigint")), F.lit(0).cast("bigint"), lambda s, x: s + x)
 
 
+def among(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows whose id is an end of a pair, and few others: before a shuffle, without one.
+
+    A bit for each slot that an end hashes to is broadcast, 64 to a row, in as many rows at most for any
+    number of pairs. The more ends, the more other rows pass; a join follows.
+    """
+    slot = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
+    word, bit = (F.col("_slot") / 64).cast("int"), "shiftleft(1L, cast(_slot % 64 as int))"
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(slot.alias("_slot"))
+    bits = ends.groupBy(word.alias("_word")).agg(F.expr(f"bit_or({bit})").alias("_bits"))
+    found = rows.filter("id is not null").withColumn("_slot", slot).join(F.broadcast(bits), word == F.col("_word")).filter(f"_bits & {bit} <> 0")
+    return found.select(*rows.columns)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Those pairs (a, b) of node ids whose sets are similar enough, from the whole texts."""
     spark = pairs.sparkSession
     small_batches(spark)
-    slot = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    # a bit for each slot that an id is in, 64 to a row: as many rows, at most, for any number of ids
-    bits = ids.select(slot.alias("s")).groupBy((F.col("s") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("bits"))
-    own = docs.select(F.col("doc_id").alias("id"), "text").filter("id is not null").withColumn("s", slot)
-    few = own.join(F.broadcast(bits), (F.col("s") / 64).cast("int") == F.col("w")).filter("shiftrightunsigned(bits, cast(s % 64 as int)) & 1 = 1").select("id", "text")
+    few = among(docs.select(F.col("doc_id").alias("id"), "text"), pairs)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,7 +162,9 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: int
     # sets that differ in d elements have parities that differ in d bits at most
     met = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b")
     met = met.filter((F.col("a_n") + F.col("b_n") - apart("a_bits", "b_bits")) * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent * 2)
-    both = written(met.select("a", "b").distinct(), "likely").join(side("a", "items"), "a").join(side("b", "items"), "b")
+    likely = written(met.select("a", "b").distinct(), "likely")
+    items = among(known.select("id", "items"), likely)
+    both = likely.join(items.select(F.col("id").alias("a"), F.col("items").alias("a_items")), "a").join(items.select(F.col("id").alias("b"), F.col("items").alias("b_items")), "b")
     common = F.size(F.array_intersect("a_items", "b_items"))
     links = written(both.filter(common * (100 + percent) >= (F.size("a_items") + F.size("b_items")) * percent).select("a", "b").distinct(), "verified")
     discard(known)
