@@ -262,7 +262,7 @@ def _(t):
 @query("a06_error_text", f"SELECT run_id, string_agg(message, chr(10) ORDER BY ord) AS text FROM diags WHERE {RANK} >= 3 AND ord < 2000 GROUP BY 1")
 def _(t):
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "message"))), lambda x: x.message), "\n")
-    return C.errors(t.diags).filter("ord < 2000").groupBy("run_id").agg(joined.alias("text"))
+    return C.errors(t.diags).groupBy("run_id").agg(joined.alias("text"))
 
 
 @query("a07_symbols_per_text", "SELECT page_id, CAST(len(list_distinct(regexp_extract_all(html, '\\b[a-z][A-Za-z0-9_]*(?:\\.|::)[A-Za-z_][A-Za-z0-9_]*'))) AS BIGINT) AS symbols FROM pages")

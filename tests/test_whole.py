@@ -2,7 +2,7 @@
 
 import pytest
 
-from millrace.plans import QUERIES
+from millrace.plans import QUERIES, standins
 
 #: Ids of every remainder; words that tell texts apart only stand far from their beginning.
 TEXTS = {k: "Same start é* ~ " * 40 + " ".join(f"w{k % m} W{k % m}" for m in (2, 3, 4, 7)) + f"  tail{k}" for k in range(1, 13)}
@@ -24,3 +24,13 @@ def test_leave_one_out_takes_all_documents_and_whole_texts(spark, folder):
     found = {(r["query_id"], r["entry_id"]): r["jaccard"] for r in QUERIES["j22_leave_one_out"](spark, folder).collect()}
     words = {k: set(t.split(" ")) for k, t in TEXTS.items()}
     assert found == {(a, b): pytest.approx(similarity(words[a], words[b])) for a in words for b in words if a != b and a % 2 == b % 2}
+
+
+def test_error_text_takes_all_events(spark, tmp_path):
+    ids = [1, 17, 1999, 2000, 2001, 5000, 123456]
+    events = [(k, 7, "error") for k in ids] + [(3000, 7, "view")]
+    spark.createDataFrame(events, "event_id bigint, user_id bigint, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    found = QUERIES["a06_error_text"](spark, str(tmp_path)).collect()
+    assert [r["run_id"] for r in found] == [7]
+    message = {k % 16: m for k, m in enumerate(standins.MESSAGES)}
+    assert found[0]["text"] == "\n".join(message[k % 16].replace("''", "'") for k in ids)
