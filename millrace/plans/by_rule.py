@@ -496,7 +496,7 @@ def _(t):
 
 @query("f25_percent_encoding", "SELECT doc_id, url_encode(substr(text, 1, 60)) AS encoded FROM documents")
 def _(t):
-    return t.documents.select("doc_id", T.percent_encoded(F.substring("text", 1, 60)).alias("encoded"))
+    return t.documents.select("doc_id", T.percent_encoded(F.col("text")).alias("encoded"))
 
 
 @query("f26_shell_words", "SELECT doc_id, concat('calc|a b|/w', doc_id) AS words FROM documents")

@@ -1,5 +1,7 @@
 """Queries do the whole job: every row and whole texts, against brute force on small tables."""
 
+from urllib.parse import quote
+
 import pytest
 
 from millrace.plans import QUERIES, standins
@@ -34,3 +36,8 @@ def test_error_text_takes_all_events(spark, tmp_path):
     assert [r["run_id"] for r in found] == [7]
     message = {k % 16: m for k, m in enumerate(standins.MESSAGES)}
     assert found[0]["text"] == "\n".join(message[k % 16].replace("''", "'") for k in ids)
+
+
+def test_percent_encoding_takes_whole_texts(spark, folder):
+    found = {r["doc_id"]: r["encoded"] for r in QUERIES["f25_percent_encoding"](spark, folder).collect()}
+    assert found == {k: quote(t, safe="-_.~") for k, t in TEXTS.items()}
