@@ -421,8 +421,8 @@ def _(t):
 
 @query("f12_jaccard", "SELECT doc_id, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 9) AS jaccard FROM (SELECT doc_id, list_distinct(string_split(substr(text, 1, 200), ' ')) AS a, list_distinct(string_split(substr(text, 101, 200), ' ')) AS b FROM documents)")
 def _(t):
-    words = lambda a: F.array_distinct(F.split(F.substring("text", a, 200), " "))
-    return t.documents.select("doc_id", F.round(T.jaccard(words(1), words(101)), 9).alias("jaccard"))
+    words = lambda c: F.array_distinct(F.split(c, " "))
+    return t.documents.select("doc_id", F.round(T.jaccard(words("text"), words(F.lower("text"))), 9).alias("jaccard"))
 
 
 @query("f13_first_bytes", "SELECT doc_id, CASE WHEN strlen(text) <= 101 THEN text ELSE list_aggregate(list_transform(list_filter(range(1, 102), lambda n: strlen(substr(text, 1, n)) <= 101), lambda n: substr(text, 1, n)), 'last') END AS head FROM documents")

@@ -41,3 +41,8 @@ def test_error_text_takes_all_events(spark, tmp_path):
 def test_percent_encoding_takes_whole_texts(spark, folder):
     found = {r["doc_id"]: r["encoded"] for r in QUERIES["f25_percent_encoding"](spark, folder).collect()}
     assert found == {k: quote(t, safe="-_.~") for k, t in TEXTS.items()}
+
+
+def test_jaccard_takes_whole_texts(spark, folder):
+    found = {r["doc_id"]: r["jaccard"] for r in QUERIES["f12_jaccard"](spark, folder).collect()}
+    assert found == {k: pytest.approx(similarity(set(t.split(" ")), set(t.lower().split(" ")))) for k, t in TEXTS.items()}
