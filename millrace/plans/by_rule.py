@@ -94,7 +94,7 @@ def _(t):
 
 @query("src17_common_root", "SELECT project AS archive, CASE WHEN count(DISTINCT split_part(path, '/', 1)) = 1 THEN min(split_part(path, '/', 1)) END AS root FROM files WHERE ord % 9 IN (0, 1) OR project = 'src1' GROUP BY 1")
 def _(t):
-    return tree.common_root(t.files.filter("ord % 9 in (0, 1) or project = 'src1'").select(F.col("project").alias("archive"), F.col("path").alias("name")))
+    return tree.common_root(t.files.select(F.col("project").alias("archive"), F.col("path").alias("name")))
 
 
 MANIFEST = "[package]\nname = \"x\"\n[dependencies]\nserde = \"1\"\n# no\nlib{n} = { version = \"2\" }\n[dev-dependencies]\ntest = \"1\"\n# removed: old{n} = \"1\""
@@ -135,7 +135,7 @@ def _(t):
 @query("src24_package_manager", "SELECT project, min_by(manager, k) AS manager FROM (SELECT source AS project, doc_id % 8 AS k, CASE doc_id % 8 WHEN 0 THEN 'pip' WHEN 1 THEN 'pip/poetry' WHEN 2 THEN 'pipenv' WHEN 3 THEN 'npm/yarn' WHEN 4 THEN 'go modules' WHEN 5 THEN 'bundler' WHEN 6 THEN 'maven' ELSE 'gradle' END AS manager FROM documents WHERE doc_id % 5 = 0) GROUP BY 1")
 def _(t):
     name = F.element_at(F.array(*[F.lit(f) for f, _ in tree.PACKAGE_MARKERS]), (F.col("doc_id") % 8 + 1).cast("int"))
-    return tree.package_manager(t.documents.filter("doc_id % 5 = 0").select(F.col("source").alias("project"), name.alias("path")))
+    return tree.package_manager(t.documents.select(F.col("source").alias("project"), name.alias("path")))
 
 
 @query("r01_language", f"SELECT ord, {LANG} AS lang FROM files WHERE {LANG} IS NOT NULL")

@@ -4,7 +4,7 @@ from urllib.parse import quote
 
 import pytest
 
-from millrace.plans import QUERIES, standins
+from millrace.plans import QUERIES, by_order, standins
 
 #: Ids of every remainder; words that tell texts apart only stand far from their beginning.
 TEXTS = {k: "Same start é* ~ " * 40 + " ".join(f"w{k % m} W{k % m}" for m in (2, 3, 4, 7)) + f"  tail{k}" for k in range(1, 13)}
@@ -46,3 +46,19 @@ def test_percent_encoding_takes_whole_texts(spark, folder):
 def test_jaccard_takes_whole_texts(spark, folder):
     found = {r["doc_id"]: r["jaccard"] for r in QUERIES["f12_jaccard"](spark, folder).collect()}
     assert found == {k: pytest.approx(similarity(set(t.split(" ")), set(t.lower().split(" ")))) for k, t in TEXTS.items()}
+
+
+def test_scenarios_are_not_picked_by_id(spark, tmp_path):
+    docs = [(0, "x", "en", "a", 1), (2, "x", "en", "a", 1), (4, "x", "en", "b", 1)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["archive"]: r["root"] for r in QUERIES["src17_common_root"](spark, str(tmp_path)).collect()} == {"a": None, "b": "node_modules"}
+    assert {r["project"]: r["manager"] for r in QUERIES["src24_package_manager"](spark, str(tmp_path)).collect()} == {"a": "pip", "b": "go modules"}
+
+
+def test_retry_ceiling_is_found_in_the_log(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1,)], "c_custkey bigint").write.parquet(f"{tmp_path}/customer.parquet")
+    start = ["StartParsing", "ParseComplete", "ScaffoldComplete"]
+    runs = {5: [*start, *["ChunkRetry"] * 4], 2: [*start, *["ChunkRetry"] * 3], 7: ["Reset", *start, *["ChunkRetry"] * 5]}
+    log = spark.createDataFrame([(n, k, e) for n, events in runs.items() for k, e in enumerate(events)], "run_id bigint, seq int, event string")
+    monkeypatch.setattr(by_order, "_state_log", lambda t: log)
+    assert {r["run_id"]: r["rejected"] for r in QUERIES["i06_retry_ceiling"](spark, str(tmp_path)).collect()} == {5: 1, 7: 3}
