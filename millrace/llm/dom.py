@@ -173,7 +173,7 @@ class Page:
         for node, text in zip(self.run_node, self.run_text, strict=True):
             own[node] += len(text)
             marks[node] += text.count(".") + text.count(",")
-            upper[node] += sum(map(str.isupper, text[:200])) * len(text) / min(200, len(text))
+            upper[node] += sum(map(str.isupper, text))
         direct = own.copy()
         link, tags = np.minimum(np.array(self.link_chars, float), own), np.array(self.tag_count, float)
         paragraphs, bodies = (kind == KIND["p"]).astype(float), ((kind == KIND["article"]) | (kind == KIND["main"])).astype(float)

@@ -23,3 +23,8 @@ def test_unclosed_quotes_end_at_the_next_tag_end():
     began = time.perf_counter()
     dom.Page("".join(f"<p a='{k}>text {k} " for k in range(20_001)))
     assert time.perf_counter() - began < 20
+
+
+def test_upper_case_is_counted_over_whole_runs():
+    x = dom.Page("<p>" + "a" * 200 + "B" * 600 + "</p>").features()
+    assert x[1, dom.OTHER + 1 + 2 * dom.GROUPS + 9 + 6] == 0.75
