@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch: texts can be long, and a batch is held whole in a Python worker.
-BATCH_ROWS = 500
+#: Rows and bytes of an Arrow batch: texts can be long, and a batch is held whole in a Python worker.
+BATCH_ROWS, BATCH_BYTES = 500, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker holds at once, unless the session asks for even less."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound what a Python worker holds at once, in rows and bytes, unless the session asks for even less.
+
+    The bounds stay in the session: what an operator returns is planned and run after it has returned,
+    and takes its bounds from the session then.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        have = spark.conf.get(f"spark.sql.execution.arrow.{name}", None)
+        if not (have and have.isdigit() and 0 < int(have) <= most):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def remainder(doc_id: Column | str) -> Column:
@@ -52,12 +58,17 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: what the cluster names, or (in tests) one of our own."""
+    """The folder that all executors share: what the session names, or one of our own on a local master.
+
+    A cluster must name one: its executors don't share the driver's temporary folders.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     jsc = spark.sparkContext._jsc.sc()
     if named is None and jsc.getCheckpointDir().isDefined():
         named = jsc.getCheckpointDir().get()
     if named is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         named = tempfile.mkdtemp(prefix="millrace-checkpoints-")
