@@ -2,8 +2,10 @@
 
 Encoding runs the tiktoken library over whole texts. A long text is first cut where no match of the
 pre-tokenizer's pattern can reach across, so pieces encode to the same ids as the whole and the
-library's regex never holds a text of many megabytes. Decoding goes through raw bytes, so ids that
-split a character still come back exactly.
+library's regex never holds a text of many megabytes. Its regex can't match white space of a million
+characters either; where such a run's match begins and ends is known, so it is given to the library
+as the one piece that it is. Decoding goes through raw bytes, so ids that split a character still
+come back exactly.
 
 Counting never builds ids: a partition's texts are split into pre-tokens, each distinct pre-token is
 given to the tokenizers library once, and the pieces of a document are the sum over its pre-token
@@ -29,6 +31,8 @@ from millrace.llm.common import fresh, small_batches
 
 #: Characters from which on a text is cut at safe boundaries before it is encoded.
 CUT_CHARS = 100_000
+#: Characters of white space in a row from which on, in such a text, the run goes to the library by itself.
+RUN_CHARS = 10_000
 #: Distinct pre-tokens that a task keeps with their counts.
 MEMO_ENTRIES = 400_000
 
@@ -37,6 +41,13 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 #: A gap between a non-space and a space: no alternative of the pattern matches across it.
 SAFE = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
 
+
+@lru_cache(maxsize=4)
+def runs(least: int) -> re.Pattern:
+    """Whole runs of white space of so many characters at least."""
+    return re.compile(f"(?<![{SPACE}])[{SPACE}]{{{least},}}")
+
+
 #: Letters and numbers below U+0250, where Python's re can stand in for \p{L} and \p{N}.
 LETTERS = "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f"
 NUMBERS = "0-9\\xb2\\xb3\\xb9\\xbc-\\xbe"
@@ -68,12 +79,33 @@ def rank_encoder(path: str, pattern: str):
     return tiktoken.Encoding("local-ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def parts(text: str, size: int = CUT_CHARS, run: int = RUN_CHARS) -> Iterator[tuple[str, bool]]:
+    """The text in parts that encode by themselves, and whether a part is a single match of the pattern.
+
+    The pattern matches a run of white space at the end of a text as a whole, and any other but for
+    its last character, which goes with what follows.
+    """
+    if len(text) <= size:
+        yield text, False
+        return
+    start = 0
+    for found in runs(run).finditer(text):
+        if start < found.start():
+            for piece in safe_pieces(text[start : found.start()], size):
+                yield piece, False
+        start = found.end() - (found.end() < len(text))
+        yield text[found.start() : start], True
+    if start < len(text):
+        for piece in safe_pieces(text[start:], size):
+            yield piece, False
+
+
 def encode(text: str, path: str, pattern: str) -> list[int]:
     """Ids of one text, special tokens being ordinary text."""
     enc = rank_encoder(path, pattern)
     ids: list[int] = []
-    for piece in safe_pieces(text):
-        ids += enc.encode_ordinary(piece)
+    for part, single in parts(text):
+        ids += enc._encode_single_piece(part) if single else enc.encode_ordinary(part)
     return ids
 
 

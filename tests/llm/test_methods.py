@@ -1,5 +1,6 @@
 """The methods against brute force, round trips and held-out accuracy."""
 
+import hashlib
 import itertools
 import os
 import random
@@ -82,6 +83,38 @@ def test_safe_pieces_encode_as_the_whole():
     assert bytebpe.decode_bytes(whole[:-1], path, pattern) == text.encode()[: len(bytebpe.decode_bytes(whole[:-1], path, pattern))]
 
 
+WHITE = [" ", "\n", "\t", " \n", "\t  \r\n", "\u3000 "]
+
+
+@pytest.mark.parametrize("white", WHITE)
+def test_runs_of_white_space_encode_as_the_whole(white):
+    path, pattern = vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN
+    whole = bytebpe.rank_encoder(path, pattern).encode_ordinary
+    run = white * 40
+    for text in (run, "ab" + run, run + "cd", "a b" + run + "c d" + run + "!", run + "'s" + run + " x" + run, "a" + run + "é" + run + "\n1"):
+        got = list(bytebpe.parts(text, size=20, run=30))
+        assert "".join(p for p, _ in got) == text and any(single for _, single in got)
+        enc = bytebpe.rank_encoder(path, pattern)
+        assert [i for p, single in got for i in (enc._encode_single_piece(p) if single else enc.encode_ordinary(p))] == whole(text)
+
+
+@pytest.mark.parametrize("white", WHITE)
+def test_millions_of_white_space_encode_and_decode(white):
+    path, pattern = vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN
+    text = "begin" + white * (3_000_000 // len(white)) + "middle" + white * (2_000_000 // len(white))
+    assert bytebpe.decode_bytes(bytebpe.encode(text, path, pattern), path, pattern) == text.encode()
+
+
+def test_digests_of_encoded_documents(spark):
+    path, pattern = vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN
+    texts = [None, "", "a  b\n\n<|endoftext|> é日\U0001f600", "x" + " " * 150_000 + "y" * 10, *made_texts(14, 30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    found = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bytebpe.encode_decode(docs, path, pattern).collect()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    ids = [bytebpe.rank_encoder(path, pattern).encode_ordinary(t or "") for t in texts]
+    assert found == {k: (len(x), sha(" ".join(map(str, x)).encode()), sha((t or "").encode())) for k, (x, t) in enumerate(zip(ids, texts, strict=True))}
+
+
 def test_token_columns_round_trip(spark):
     path, pattern = vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN
     docs = spark.createDataFrame([(1, "héllo wörld"), (2, None)], "doc_id bigint, text string")
