@@ -7,34 +7,43 @@ characters either; where such a run's match begins and ends is known, so it is g
 as the one piece that it is. Decoding goes through raw bytes, so ids that split a character still
 come back exactly.
 
-Counting never builds ids: a partition's texts are split into pre-tokens, each distinct pre-token is
-given to the tokenizers library once, and the pieces of a document are the sum over its pre-token
-frequencies. The dictionary of distinct pre-tokens is the build side of a join inside the task and
-is emptied at `MEMO_ENTRIES` entries, which bounds memory and changes no result.
+Counting never builds a text's ids. Documents are split into pre-tokens and held in chunks: the
+distinct pre-tokens of a chunk by hash bucket, and how often each of its documents has each. The
+pre-tokens of a bucket meet in one place, where each distinct one is given to the tokenizers library
+once and joined to all chunks that have it; numbers of pieces go back to the chunks, and a document's
+tokens are the sum over its frequencies. What is shuffled is each chunk's distinct pre-tokens, packed,
+and its frequencies, compressed. Chunks are dealt into slices of about `SLICE`, and buckets of
+different slices are apart, so that the chunks of a frequent pre-token never meet in one task; with
+more chunks than that, a pre-token is counted once in each slice.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from operator import mul
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
-from millrace.llm.common import fresh, small_batches
+from millrace.llm.common import fresh, small_batches, written
 
 #: Characters from which on a text is cut at safe boundaries before it is encoded.
 CUT_CHARS = 100_000
 #: Characters of white space in a row from which on, in such a text, the run goes to the library by itself.
 RUN_CHARS = 10_000
-#: Distinct pre-tokens that a task keeps with their counts.
-MEMO_ENTRIES = 400_000
+#: Pre-tokens of a chunk, about: a chunk ends with the document that reaches this.
+CHUNK_TOKENS = 1 << 19
+#: Hash buckets of pre-tokens, and chunks of a slice, about.
+BUCKETS, SLICE = 256, 1 << 15
 
 #: White space as Unicode's White_Space property has it, which the libraries' regexes mean by \s.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -186,71 +195,166 @@ def piece_model(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-class PretokenCounter:
-    """Counts the pieces of texts by way of their distinct pre-tokens.
+class Pretokens:
+    """Splits texts as a byte-level pre-tokenizer with its own regex does.
 
-    Takes tokenizers whose pre-tokenizer is the byte-level one with its own regex and which have no
-    normalizer. Strings of added tokens inside a text are one token each, as is the library's
-    default. A text with characters from U+0250 on is split by the library's own pre-tokenizer.
+    Strings of added tokens inside a text are one token each, as is the library's default. A text
+    with characters from U+0250 on is split by the library's own pre-tokenizer.
     """
 
-    def __init__(self, path: str, entries: int = MEMO_ENTRIES):
+    def __init__(self, path: str):
         self.tok = json_tokenizer(path)
-        self.entries = entries
-        self.pieces: dict[str, int] = {}
         added = sorted((t.content for t in self.tok.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.split = re.compile(
             f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACE}{LETTERS}{NUMBERS}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
         ).findall
 
-    def pretokens(self, text: str) -> list[str]:
+    def of(self, text: str) -> list[str]:
         if not LATIN_ONLY.search(text):
             return self.split(text)
         return [text[a:b] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(text)]
 
-    def learn(self, wanted: set[str]) -> None:
-        """Pieces of each distinct pre-token that isn't known yet."""
-        if len(self.pieces) > self.entries:
-            self.pieces = {}
-        if new := [p for p in wanted if p not in self.pieces]:
-            for start in range(0, len(new), 20_000):
-                part = new[start : start + 20_000]
-                self.pieces.update(zip(part, map(len, self.tok.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-
-    def count(self, texts: list[str]) -> list[int]:
-        frequencies, extra = [], []
-        for text in texts:
-            special = 0
-            if self.added is not None and (parts := self.added.split(text))[1:]:
-                special, found = len(parts) - 1, Counter()
-                for part in parts:
-                    found.update(self.pretokens(part))
-            else:
-                found = Counter(self.pretokens(text))
-            frequencies.append(found)
-            extra.append(special)
-        self.learn(set().union(*frequencies) if frequencies else set())
-        return [n + sum(map(mul, map(self.pieces.__getitem__, f), f.values())) for f, n in zip(frequencies, extra, strict=True)]
+    def frequencies(self, text: str) -> tuple[Counter, int]:
+        """How often a text has each pre-token, and strings of added tokens."""
+        if self.added is None or not (found := self.added.split(text))[1:]:
+            return Counter(self.of(text)), 0
+        total: Counter = Counter()
+        for part in found:
+            total.update(self.of(part))
+        return total, len(found) - 1
 
 
 @lru_cache(maxsize=2)
-def counter(path: str) -> PretokenCounter:
-    return PretokenCounter(path)
+def pretokens(path: str) -> Pretokens:
+    return Pretokens(path)
+
+
+@lru_cache(maxsize=4)
+def splits_at_bytes(path: str) -> bool:
+    """Whether a file is of a tokenizer that Pretokens splits texts for."""
+    if not path.endswith(".json"):
+        return False
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    plain = all(not t[k] for t in told.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    kind = told.get("pre_tokenizer") or {}
+    return plain and told.get("normalizer") is None and kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space") and kind.get("use_regex", True)
+
+
+#: A byte that no UTF-8 text has.
+SEPARATOR = b"\xff"
+
+
+class Numbered(dict):
+    """Numbers its keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        number = self[key] = len(self)
+        return number
+
+
+def chunks(docs: DataFrame, path: str, tokens: int = CHUNK_TOKENS) -> DataFrame:
+    """Documents (doc_id, text) by chunk: their ids, bytes and added tokens; the distinct pre-tokens of
+    each bucket, packed; and which document has each how often, compressed: per pre-token the number of
+    documents that have it, then these documents' places and frequencies."""
+    kind = docs.select("doc_id").schema[0].dataType.simpleString()
+    schema = f"chunk bigint, doc_id array<{kind}>, n_bytes array<bigint>, added array<bigint>, pretokens array<binary>, frequencies binary"
+
+    def packed(number: int, doc_id: pa.Array, n_bytes: list[int], added: list[int], found: list[Counter]) -> pa.RecordBatch:
+        index = Numbered()
+        ids = [np.fromiter(map(index.__getitem__, c), np.int64, len(c)) for c in found]
+        times = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in found])
+        names = [t.encode() for t in index]
+        bucket = np.fromiter(map(zlib.crc32, names), np.int64, len(names)) % BUCKETS
+        by_bucket = np.argsort(bucket, kind="stable")
+        ends = np.searchsorted(bucket[by_bucket], np.arange(BUCKETS + 1))
+        place_of = np.empty(len(names), np.int64)
+        place_of[by_bucket] = np.arange(len(names))
+        every, place = place_of[np.concatenate(ids)], np.repeat(np.arange(len(found)), [len(x) for x in ids])
+        order = np.argsort(every, kind="stable")
+        data = np.concatenate([np.bincount(every, minlength=len(names)), place[order], times[order]]).astype("<u4").tobytes()
+        blobs = [SEPARATOR.join([names[k] for k in by_bucket[ends[b] : ends[b + 1]]]) for b in range(BUCKETS)]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([number]),
+                pa.ListArray.from_arrays(pa.array([0, len(doc_id)], pa.int32()), doc_id),
+                pa.array([n_bytes], pa.list_(pa.int64())),
+                pa.array([added], pa.list_(pa.int64())),
+                pa.array([blobs], pa.list_(pa.binary())),
+                pa.array([len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)], pa.binary()),
+            ],
+            ["chunk", "doc_id", "n_bytes", "added", "pretokens", "frequencies"],
+        )
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        split, number, held = pretokens(path), TaskContext.get().partitionId() << 32, 0
+        ids, n_bytes, added, found = [], [], [], []
+        for batch in batches:
+            first = 0
+            for at, text in enumerate(batch.column(1).to_pylist()):
+                c, extra = split.frequencies(text or "")
+                n_bytes.append(len((text or "").encode()))
+                added.append(extra)
+                found.append(c)
+                held += sum(c.values())
+                if held >= tokens:
+                    ids.append(batch.column(0).slice(first, at + 1 - first))
+                    yield packed(number, pa.concat_arrays(ids), n_bytes, added, found)
+                    ids, n_bytes, added, found, held = [], [], [], [], 0
+                    first, number = at + 1, number + 1
+            ids.append(batch.column(0).slice(first))
+        if found:
+            yield packed(number, pa.concat_arrays(ids), n_bytes, added, found)
+
+    return docs.select("doc_id", "text").mapInArrow(gather, schema)
+
+
+def piece_numbers(held: DataFrame, path: str) -> DataFrame:
+    """Per chunk and bucket: n, the number of pieces of each of its pre-tokens, as 32-bit numbers."""
+    slices = max(1, -(-held.count() // SLICE))
+
+    def count(rows: pa.Table) -> pa.Table:
+        tok, known = json_tokenizer(path), {}
+        lists = [x.as_buffer().to_pybytes().split(SEPARATOR) for chunk in rows.column("blob").chunks for x in chunk]
+        new = list(set().union(*lists))
+        for start in range(0, len(new), 20_000):
+            part = new[start : start + 20_000]
+            known.update(zip(part, map(len, tok.encode_batch_fast([t.decode() for t in part], add_special_tokens=False)), strict=True))
+        n = [np.fromiter(map(known.__getitem__, x), "<u4", len(x)).tobytes() for x in lists]
+        return pa.table({"chunk": rows.column("chunk"), "bucket": rows.column("bucket"), "n": pa.array(n, pa.binary())})
+
+    blobs = held.select("chunk", F.pmod(F.xxhash64("chunk"), F.lit(slices)).alias("slice"), F.posexplode("pretokens").alias("bucket", "blob")).filter(F.length("blob") > 0)
+    return blobs.groupBy("slice", "bucket").applyInArrow(count, "chunk bigint, bucket int, n binary")
+
+
+@F.arrow_udf(ArrayType(LongType()))
+def summed(frequencies: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Tokens of each document of a chunk, from frequencies, pieces by bucket, and added tokens."""
+    for data, pieces, added in frequencies:
+        out = []
+        for d, p, a in zip(data, pieces, added, strict=True):
+            raw = d.as_buffer()
+            numbers = np.frombuffer(pa.decompress(raw.slice(8), int.from_bytes(raw.slice(0, 8).to_pybytes(), "little"), "zstd"), "<u4").astype(np.int64)
+            n = np.frombuffer(b"".join(p.as_py() or []), "<u4").astype(np.int64)
+            place, times = np.split(numbers[len(n) :], 2)
+            total = a.values.to_numpy(zero_copy_only=False).copy()
+            np.add.at(total, place, times * np.repeat(n, numbers[: len(n)]))
+            out.append(total)
+        yield pa.array(out, pa.list_(pa.int64()))
 
 
 def piece_counts(texts: list[str], path: str) -> list[int]:
-    """Tokens of each text under a .json or .model file, without special tokens."""
+    """Tokens of each whole text under a .json or .model file, without special tokens."""
     if path.endswith(".model"):
         return [len(x) for x in piece_model(path).encode(texts, num_threads=1)]
-    tok = json_tokenizer(path)
-    if tok.normalizer is None and type(tok.pre_tokenizer).__name__ == "ByteLevel":
-        return counter(path).count(texts)
-    return [len(x) for x in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    return [len(x) for x in json_tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def n_tokens(text: Column, path: str) -> Column:
-    """Tokens of each text; null texts count as empty."""
+    """Tokens of each text, counted text by text; null texts count as empty."""
 
     @F.arrow_udf("bigint")
     def counts(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -264,14 +368,21 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, doc_id: str = "d
     """Per row: the id, UTF-8 bytes, tokens, and whether there are more than `limit` tokens.
 
     Null and empty texts have no bytes and no tokens. Repeated rows are counted each. Columns other
-    than the id and the text are not read, so clashing names do not matter.
+    than the id and the text are not read, so clashing names do not matter. A tokenizer without a
+    byte-level pre-tokenizer has no pre-tokens that could be counted apart; its texts are counted whole.
     """
     small_batches(docs.sparkSession)
-    return (
-        docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
-        .select("doc_id", F.coalesce(F.octet_length("_text"), F.lit(0)).cast("bigint").alias("n_bytes"), n_tokens(F.col("_text"), path).alias("n_tokens"))
-        .withColumn("over_limit", F.col("n_tokens") > limit)
-    )
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    over = (F.col("n_tokens") > limit).alias("over_limit")
+    if not splits_at_bytes(path):
+        whole = own.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), n_tokens(F.col("text"), path).alias("n_tokens"))
+        return whole.select("*", over)
+    held = written(chunks(own, path), "chunks")
+    known = written(piece_numbers(held, path), "pieces")
+    by_chunk = known.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "n"))), lambda x: x.n).alias("pieces"))
+    rows = held.select("chunk", "doc_id", "n_bytes", "added", "frequencies").join(by_chunk, "chunk", "left")
+    rows = rows.select("doc_id", "n_bytes", summed("frequencies", "pieces", "added").alias("n_tokens"))
+    return rows.select(F.explode(F.arrays_zip("doc_id", "n_bytes", "n_tokens")).alias("d")).select("d.*").select("*", over)
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -130,11 +130,29 @@ def test_word_encoder_equals_the_library():
         assert np.frombuffer(enc.encode(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
-def test_pretoken_counts_equal_the_library():
+@pytest.mark.parametrize("tokens, slice_, buckets", [(1 << 19, 1 << 15, 256), (60, 2, 5), (1, 1, 1)])
+def test_token_counts_equal_the_library(spark, monkeypatch, tokens, slice_, buckets):
+    path, r = vocabularies.path("byte_bpe_50k.json"), random.Random(5)
+    monkeypatch.setattr(bytebpe, "SLICE", slice_)
+    monkeypatch.setattr(bytebpe, "BUCKETS", buckets)
+    monkeypatch.setattr(bytebpe.chunks, "__defaults__", (tokens,))
+    tok = bytebpe.json_tokenizer(path)
+    texts = [None, "", " " * 200_000, *["".join(r.choice(["Ab", " ", "  ", "\n", "'ll", "12", "!?", "é", "日", "<|endoftext|>", "\xa0", "\x1c", "\xbd", "_"]) for _ in range(30)) for _ in range(60)]]
+    docs = spark.createDataFrame([(k // 2, t) for k, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    found = sorted((v["doc_id"], v["n_bytes"], v["n_tokens"], v["over_limit"]) for v in bytebpe.count_tokens(docs, path, limit=25).collect())
+    n = [len(tok.encode(t or "", add_special_tokens=False)) for t in texts]
+    assert found == sorted((k // 2, len((t or "").encode()), n[k], n[k] > 25) for k, t in enumerate(texts))
+
+
+def test_only_byte_level_tokenizers_are_counted_by_pretoken(tmp_path):
+    import json
+
     path = vocabularies.path("byte_bpe_50k.json")
-    counter, tok, r = bytebpe.PretokenCounter(path, entries=10), bytebpe.json_tokenizer(path), random.Random(5)
-    texts = ["".join(r.choice(["Ab", " ", "  ", "\n", "'ll", "12", "!?", "é", "日", "<|endoftext|>", "\xa0", "\x1c", "\xbd", "_"]) for _ in range(30)) for _ in range(200)]
-    assert counter.count(texts) == [len(tok.encode(t, add_special_tokens=False)) for t in texts]
+    assert bytebpe.splits_at_bytes(path) and not bytebpe.splits_at_bytes(vocabularies.path("word_bpe_49k.json"))
+    told = json.load(open(path, encoding="utf-8"))
+    for k, change in enumerate(({"pre_tokenizer": told["pre_tokenizer"] | {"add_prefix_space": True}}, {"added_tokens": [told["added_tokens"][0] | {"lstrip": True}]}, {"normalizer": {"type": "NFC"}})):
+        (tmp_path / f"{k}.json").write_text(json.dumps(told | change))
+        assert not bytebpe.splits_at_bytes(str(tmp_path / f"{k}.json"))
 
 
 def test_plan_fills_bins():
