@@ -123,12 +123,13 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(both == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / both)
 
 
-def first_bytes(text: Column, most: int) -> Column:
+def first_bytes(text: Column, most: int | Column) -> Column:
     """The longest prefix of whole characters with at most so many bytes.
 
     Cut as bytes; up to three bytes of a character that was cut in two are taken off again.
     """
-    cuts = [F.substring(F.encode(text, "UTF-8"), 1, max(0, most - k)).cast("string") for k in range(4)]
+    most = F.lit(most)
+    cuts = [F.substring(F.encode(text, "UTF-8"), F.lit(1), F.greatest(F.lit(0), most - k).cast("int")).cast("string") for k in range(4)]
     whole = F.coalesce(*[F.when(F.is_valid_utf8(c), c) for c in cuts])
     return F.when(F.octet_length(text) <= most, text).otherwise(whole)
 

@@ -21,12 +21,12 @@ LEVELS = {"help": 0, "note": 1, "failure-note": 1, "warning": 2, "error": 3, "er
 # Families of diagnostics by error code.
 CODES = {
     "MissingLifetime": ("E0106", "E0495", "E0597", "E0621", "E0622", "E0623", "E0700"),
-    "TraitBoundFailure": ("E0275", "E0277", "E0283", "E0284", "E0369", "E0391"),
+    "TraitBoundFailure": ("E0277", "E0283", "E0284", "E0369", "E0391", "E0275"),
     "OwnershipMove": ("E0382", "E0505", "E0506", "E0507", "E0508", "E0509"),
     "BorrowConflict": ("E0499", "E0500", "E0501", "E0502", "E0503", "E0504", "E0515", "E0521"),
     "TypeMismatch": ("E0308", "E0309", "E0310", "E0365", "E0606", "E0607"),
     "MissingImport": ("E0412", "E0422", "E0423", "E0425", "E0432", "E0433", "E0603", "E0614"),
-    "AsyncMismatch": ("E0654", "E0728", "E0746", "E0752", "E0753"),
+    "AsyncMismatch": ("E0728", "E0752", "E0753", "E0654", "E0746"),
     "PatternExhaustiveness": ("E0004", "E0005"),
     "InternalCompilerError": ("E0021",),
 }

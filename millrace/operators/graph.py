@@ -8,31 +8,57 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions import text as T
 from millrace.sources.durable import cut
 
 
-def levels(nodes: DataFrame, edges: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """Per node (path): its level, 0 for what depends on nothing, else one above its highest dependency.
+def queue_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per node (path, ord): path, level, and place, its place from 0 in the order of a queue.
+
+    Nodes that depend on nothing enter the queue by `ord`; any other enters when the last of its
+    dependencies leaves it, and of those that one node frees the first by `ord`. Level is 0 for what
+    depends on nothing, else one above the highest dependency. Nodes on a cycle, and all that depend on
+    one, have level null and come last, by `ord`. Edges (src, dst) count once, if both ends are nodes;
+    those from a node to itself don't.
 
-    Nodes on a cycle, and all that depend on one, get null: they come last. Each round takes off the
-    nodes whose dependencies all have levels and cuts the lineage; rounds are as many as the longest chain.
+    A queue gives all nodes of a level before any of the next, so each round takes one level: it is
+    sorted by the place of the last dependency, and one table holds how many dependencies are open.
+    Rounds are as many as the longest chain.
     """
-    left = cut(nodes.select("path").distinct())
-    open_ = cut(edges.filter("src <> dst").select("src", "dst").distinct())
+    nodes = nodes.groupBy("path").agg(F.min("ord").alias("ord"))
+    own = nodes.select(F.col("path").alias("dst"))
+    edges = cut(edges.filter("src <> dst").select("src", "dst").distinct().join(own, "dst", "left_semi").join(own.withColumnRenamed("dst", "src"), "src", "left_semi"))
+    waits = edges.groupBy(F.col("src").alias("path")).agg(F.count("*").alias("waits"))
+    left = cut(nodes.join(waits, "path", "left").select("path", "ord", F.coalesce("waits", F.lit(0)).alias("waits"), F.lit(0).cast("bigint").alias("last")))
     done: list[DataFrame] = []
-    for level in range(rounds):
-        ready = cut(left.join(open_.select(F.col("src").alias("path")).distinct(), "path", "left_anti"))
+    while True:
+        ready = _sorted(left.filter("waits = 0"), "last", "ord")
         if ready.isEmpty():
             break
-        done.append(ready.withColumn("level", F.lit(level).cast("bigint")))
-        left = cut(left.join(ready, "path", "left_anti"))
-        open_ = cut(open_.join(ready.select(F.col("path").alias("dst")), "dst", "left_anti").select("src", "dst"))
-    return reduce(DataFrame.unionByName, done, left.withColumn("level", F.lit(None).cast("bigint")))
+        done.append(ready.select("path", F.lit(len(done)).cast("bigint").alias("level"), "at"))
+        freed = edges.join(ready.select(F.col("path").alias("dst"), "at"), "dst").groupBy(F.col("src").alias("path")).agg(F.count("*").alias("_freed"), F.max("at").alias("_at"))
+        left = cut(left.filter("waits > 0").join(freed, "path", "left").select("path", "ord", (F.col("waits") - F.coalesce("_freed", F.lit(0))).alias("waits"), F.coalesce("_at", "last").alias("last")))
+    rest = _sorted(left, "ord").select("path", F.lit(None).cast("bigint").alias("level"), "at")
+    every = reduce(DataFrame.unionByName, done, rest).withColumn("_level", F.coalesce("level", F.lit(len(done))))
+    # rows of each level and sorted part are counted, a small table, and placed one after another
+    part = F.shiftright("at", 33)
+    counts = every.groupBy("_level", part.alias("_part")).count()
+    start = F.coalesce(F.sum("count").over(Window.orderBy("_level", "_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_level", "_part", start.alias("_start"))
+    return every.withColumn("_part", part).join(starts, ["_level", "_part"]).select("path", "level", (F.col("_start") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("place"))
+
+
+def _sorted(df: DataFrame, *order: str) -> DataFrame:
+    """Rows with a number that grows in their order: the sorted part in the upper bits, the row in the lower 33."""
+    return cut(df.orderBy(*order).withColumn("at", F.monotonically_increasing_id()))
 
 
-def ordered(levelled: DataFrame, ordinal: DataFrame) -> DataFrame:
-    """Nodes by level, then by their place in the input; nodes without a level last: path, level, ord."""
-    return levelled.join(ordinal.select("path", "ord"), "path").withColumn("level", F.coalesce("level", F.lit(1 << 30)))
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per node (path): its level, 0 for what depends on nothing, else one above its highest dependency.
+
+    Nodes on a cycle, and all that depend on one, get null: they come last.
+    """
+    return queue_order(nodes.select("path", F.lit(0).alias("ord")), edges).select("path", "level")
 
 
 def first_in_first_out(nodes: list[str], edges: list[tuple[str, str]]) -> list[str]:
@@ -56,14 +82,28 @@ def first_in_first_out(nodes: list[str], edges: list[tuple[str, str]]) -> list[s
 
 
 def unique_names(names: DataFrame) -> DataFrame:
-    """Names (name, path, ord) made unique: the first keeps its name, later ones get their folder, then a number.
+    """Names (name, path, ord) made unique, as if rows chose one after another by `ord`.
+
+    A row takes its name if no earlier row has it, else the shortest end of its path, two segments or
+    more joined by `_`, that none has, else its name with the first number from 2 on that none has.
+    `ord` must be unique. Paths' segments are made identifiers first.
 
-    A candidate with the folder counts as taken if another row has it already, as its name or candidate.
+    All rows choose at once: a name that several want goes to the first of them, and the others try
+    their next choice, until nobody is turned away. That gives what choosing in turn gives, since a
+    name is only ever taken over by an earlier row. Rows that are down to numbers skip those that
+    earlier ones of their name use up, so rounds grow with the paths' depth, not with the rows.
     """
-    again = Window.partitionBy("name").orderBy("ord")
-    ranked = names.withColumn("_n", F.row_number().over(again))
-    folder = F.lower(F.regexp_replace(F.element_at(F.split("path", "/"), -2), "[^A-Za-z0-9_]", "_"))
-    longer = ranked.withColumn("unique", F.when(F.col("_n") == 1, F.col("name")).otherwise(F.concat_ws("_", folder, "name")))
-    clash = Window.partitionBy("unique").orderBy("_n", "ord")
-    numbered = longer.withColumn("_k", F.row_number().over(clash))
-    return numbered.select("name", "path", "ord", F.when(F.col("_k") == 1, F.col("unique")).otherwise(F.concat_ws("_", "unique", F.col("_k").cast("string"))).alias("unique"))
+    segments = F.transform(F.filter(F.split("path", "/"), lambda x: ~x.isin("", ".", "..")), T.identifier)
+    ends = F.when(F.size(segments) >= 2, F.transform(F.sequence(F.lit(2), F.size(segments)), lambda n: F.array_join(F.slice(segments, -n, n), "_"))).otherwise(F.array().cast("array<string>"))
+    open_ = cut(names.select("name", "path", "ord", F.concat(F.array("name"), ends).alias("choices"), F.lit(0).alias("tried"), F.lit(2).cast("bigint").alias("number")))
+    while True:
+        numbered = F.col("tried") >= F.size("choices")
+        earlier = F.row_number().over(Window.partitionBy("name").orderBy("ord")) - 1
+        down = open_.filter(numbered).withColumn("number", F.greatest(F.col("number"), earlier + 2))
+        asked = open_.filter(~numbered).unionByName(down).withColumn("unique", F.when(numbered, F.concat_ws("_", "name", F.col("number").cast("string"))).otherwise(F.get("choices", F.col("tried"))))
+        first = asked.groupBy("unique").agg(F.min("ord").alias("_first"))
+        settled = cut(asked.join(first, "unique").withColumn("_lost", F.col("ord") > F.col("_first")))
+        if settled.filter("_lost").isEmpty():
+            return settled.select("name", "path", "ord", "unique")
+        lost = F.col("_lost")
+        open_ = settled.select("name", "path", "ord", "choices", F.when(lost & ~numbered, F.col("tried") + 1).otherwise(F.col("tried")).alias("tried"), F.when(lost & numbered, F.col("number") + 1).otherwise(F.col("number")).alias("number"))

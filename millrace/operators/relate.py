@@ -38,6 +38,16 @@ def resolved(imports: DataFrame, files: DataFrame) -> DataFrame:
     return proposed.join(known, "to").groupBy("path", "line_no").agg(F.min_by("to", "_pos").alias("to")).filter("to <> path")
 
 
+def between_files(edges: DataFrame) -> DataFrame:
+    """Edges (src, dst) without those from a file to itself; an end that is null makes none."""
+    return edges.filter("src <> dst")
+
+
+def with_results(manifest: DataFrame, results: DataFrame, key: str) -> DataFrame:
+    """Every row of a manifest with its results, if any; a row with several results comes with each."""
+    return manifest.join(results, key, "left")
+
+
 def inner_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges (src, dst) whose ends are both nodes (path)."""
     a, b = nodes.select(F.col("path").alias("src")).distinct(), nodes.select(F.col("path").alias("dst")).distinct()

@@ -5,13 +5,16 @@ Windows are partitioned by file (or another key), so what a task holds is one fi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
+from millrace.functions import text as T
 from millrace.operators import classify as C
 
 #: Types as objects: a string would need a session to be parsed in.
@@ -31,19 +34,50 @@ def spans(lines: DataFrame, key: str = "path") -> DataFrame:
     return marks.select(key, "pos", F.coalesce(F.lead("pos").over(at), "_n").alias("end"), F.col("_symbol").alias("symbol"), F.ceil((F.coalesce(size, "_all") - F.coalesce("_before", F.lit(0)) - 1) / 4).cast("bigint").alias("tokens"))
 
 
+def in_order(df: DataFrame, key: str, order: list[str], fold: Callable[[], Callable[[tuple], list[tuple]]], schema: StructType) -> DataFrame:
+    """Rows that a fold gives for a key's rows in order; the fold begins anew at each key.
+
+    A key's rows stream through one task, sorted; no task holds a key's rows at once. The fold takes a
+    row as a tuple and gives the rows that are settled by it, and takes null after a key's last row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, now = None, None
+        names, kinds = schema.names, to_arrow_schema(schema)
+        for batch in batches:
+            out: list[tuple] = []
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if step is None or row[0] != now:
+                    if step is not None:
+                        out += step(None)
+                    step, now = fold(), row[0]
+                out += step(row)
+            yield pa.RecordBatch.from_pydict({n: [r[k] for r in out] for k, n in enumerate(names)}, schema=kinds)
+        if step is not None and (out := step(None)):
+            yield pa.RecordBatch.from_pydict({n: [r[k] for r in out] for k, n in enumerate(names)}, schema=kinds)
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
 def greedy_bins(sized: DataFrame, key: str, budget: int = BUDGET) -> DataFrame:
     """Rows (key, pos, tokens) with the bin they go to: a new bin when the open one, not empty, would overflow."""
-    own = F.array_sort(F.collect_list(F.struct("pos", "tokens")))
-    zero = F.struct(F.lit(0).cast("bigint").alias("bin"), F.lit(0).cast("bigint").alias("used"), F.lit(0).cast("bigint").alias("n"), F.array().cast("array<bigint>").alias("bins"))
 
-    def put(state: Column, row: Column) -> Column:
-        over = (state.used + row.tokens > budget) & (state.n > 0)
-        bin_ = F.when(over, state.bin + 1).otherwise(state.bin)
-        return F.struct(bin_.alias("bin"), F.when(over, row.tokens).otherwise(state.used + row.tokens).alias("used"), F.when(over, F.lit(1).cast("bigint")).otherwise(state.n + 1).alias("n"), F.array_append(state.bins, bin_).alias("bins"))
+    def fold():
+        bin_, used, n = 0, 0, 0
+
+        def put(row):
+            nonlocal bin_, used, n
+            if row is None:
+                return []
+            if used + row[2] > budget and n:
+                bin_, used, n = bin_ + 1, 0, 0
+            used, n = used + row[2], n + 1
+            return [(row[0], row[1], row[2], bin_)]
+
+        return put
 
-    packed = sized.select(key, F.col("pos").cast("bigint").alias("pos"), F.col("tokens").cast("bigint").alias("tokens")).groupBy(key).agg(own.alias("rows"))
-    filled = packed.withColumn("bins", F.aggregate("rows", zero, put, lambda s: s.bins))
-    return filled.select(key, F.explode(F.arrays_zip("rows", "bins")).alias("x")).select(key, F.col("x.rows.pos").alias("pos"), F.col("x.rows.tokens").alias("tokens"), F.col("x.bins").alias("bin"))
+    rows = sized.select(key, F.col("pos").cast("bigint").alias("pos"), F.col("tokens").cast("bigint").alias("tokens"))
+    return in_order(rows, key, ["pos"], fold, StructType([*rows.schema.fields, StructField("bin", LongType())]))
 
 
 def with_preamble(bins: DataFrame, preambles: DataFrame, key: str, budget: int = BUDGET) -> DataFrame:
@@ -63,18 +97,41 @@ def line_blocks(lines: DataFrame, key: str, budget: int = BUDGET) -> DataFrame:
     return lines.groupBy(key, F.floor(F.col("pos") / n).cast("bigint").alias("block")).agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.sum(F.octet_length("line")).alias("bytes"))
 
 
-def budgeted(blocks: DataFrame, key: str, order: str, text: str, budget: int, rule: str) -> DataFrame:
-    """Blocks of each key in order, joined by nothing, within a byte budget: key, blocks, bytes.
+def budgeted(blocks: DataFrame, key: str, order: str, text: str, budget: int, rule: str, group: str | None = None) -> DataFrame:
+    """Blocks of each key in order within a byte budget: key, blocks, bytes.
 
     before: stops before the block that would overflow.
     after: stops after the block that reaches the budget; the whole is cut to it.
     cut: the block that would overflow is cut to fit.
-    skip: blocks that would overflow what is there are left out, later ones may still fit their own key.
+    skip: the blocks of all groups of a key share the budget, in the order of groups; a block that
+    does not leave the whole below the budget ends its group, and the next group goes on. Blocks that
+    were taken are joined by one byte each.
     """
     size = F.octet_length(text)
+    if rule == "skip":
+        rows = blocks.select(key, F.coalesce(size, F.lit(0)).cast("bigint").alias("_size"), F.col(group).alias("_group"), F.col(order).alias("_order"))
+
+        def fold():
+            used, n, ended, name = 0, 0, object(), None
+
+            def put(row):
+                nonlocal used, n, ended, name
+                if row is None:
+                    return [(name, n, used)]
+                name = row[0]
+                if row[2] != ended:
+                    if used + row[1] < budget:
+                        used, n = used + row[1] + (used > 0), n + 1
+                    else:
+                        ended = row[2]
+                return []
+
+            return put
+
+        return in_order(rows, key, ["_group", "_order"], fold, StructType([rows.schema[0], StructField("blocks", LongType()), StructField("bytes", LongType())]))
     run = Window.partitionBy(key).orderBy(order)
     total = blocks.withColumn("_size", size).withColumn("_sum", F.sum("_size").over(run))
-    if rule in ("before", "skip"):
+    if rule == "before":
         return total.filter(F.col("_sum") <= budget).groupBy(key).agg(F.count("*").alias("blocks"), F.sum("_size").alias("bytes"))
     if rule == "after":
         return total.filter(F.col("_sum") - F.col("_size") <= budget).groupBy(key).agg(F.count("*").alias("blocks"), F.least(F.sum("_size"), F.lit(budget)).alias("bytes"))
@@ -83,6 +140,21 @@ def budgeted(blocks: DataFrame, key: str, order: str, text: str, budget: int, ru
     raise ValueError(rule)
 
 
+def joined(rows: DataFrame, key: str, order: str, text: str, most: int) -> DataFrame:
+    """Per key: its texts in order, a line each, up to so many bytes; the one that would go beyond is cut.
+
+    Every text takes a byte at least with its line's end, so no more than `most` first ones of a key
+    are ever moved.
+    """
+    at = Window.partitionBy(key).orderBy(order)
+    first = rows.select(key, F.col(order).alias("_order"), F.coalesce(text, F.lit("")).alias("_text")).withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy("_order"))).filter(F.col("_rank") <= most)
+    start = F.sum(F.octet_length("_text") + 1).over(at.orderBy("_order").rowsBetween(Window.unboundedPreceding, -1))
+    kept = first.withColumn("_start", F.coalesce(start, F.lit(0))).filter(F.col("_start") < most)
+    fits = F.when(F.col("_start") + F.octet_length("_text") <= most, F.col("_text")).otherwise(T.first_bytes(F.col("_text"), F.lit(most) - F.col("_start")))
+    lines = F.array_sort(F.collect_list(F.struct("_order", fits.alias("line"))))
+    return kept.groupBy(key).agg(F.array_join(F.transform(lines, lambda x: x.line), "\n").alias("text"))
+
+
 def brace_blocks(files: DataFrame) -> DataFrame:
     """Public declarations of files (file, text), each up to where its braces close or to `;`: file, ord, kind, decl.
 
@@ -152,11 +224,94 @@ def statements(texts: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.string()))
 
 
+@F.arrow_udf(BooleanType())
+def balanced(texts: pa.Array) -> pa.Array:
+    """Whether a text could be parsed as code at all: brackets pair up, and strings and comments end."""
+    token = re.compile(r"""//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\])*"|'(?:\\.[^']*|[^'\\])'|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<loose>"|/\*)""", re.S)
+    pair, out = {")": "(", "]": "[", "}": "{"}, []
+    for t in texts.to_pylist():
+        held, good = [], True
+        for m in token.finditer(t or ""):
+            if m["open"]:
+                held.append(m[0])
+            elif m["close"]:
+                good &= bool(held) and held.pop() == pair[m[0]]
+            good &= not m["loose"]
+        out.append(good and not held)
+    return pa.array(out, pa.bool_())
+
+
+def parse_gate(code: Column, path: Column) -> Column:
+    """Code, or for code that can't be parsed a stub that says so, and whether it is a stub: code, stubbed."""
+    good = balanced(code)
+    stub = F.concat(F.lit("// TODO: no valid translation of `"), path, F.lit("`: the output was truncated or invalid and needs a manual port.\n"))
+    return F.struct(F.when(good, F.coalesce(code, F.lit(""))).otherwise(stub).alias("code"), (~good).alias("stubbed"))
+
+
+@F.arrow_udf(DoubleType())
+def arithmetic(texts: pa.Array) -> pa.Array:
+    """The value of an expression of numbers, + - * / ^ and brackets; null if it isn't one or divides by zero.
+
+    ^ binds tightest and to the right, and takes the whole part of its right side; a minus before a
+    number or bracket binds tighter still.
+    """
+    token = re.compile(r"\s*(?:(\d+(?:\.\d*)?|\.\d+)|([-+*/^()]))")
+    binds = {"+": 1, "-": 1, "*": 2, "/": 2, "^": 3, "neg": 4}
+    do = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": lambda a, b: a / b, "^": lambda a, b: a ** int(b)}
+
+    def value(text: str) -> float | None:
+        numbers: list[float] = []
+        waiting: list[str] = []
+
+        def settle() -> None:
+            op = waiting.pop()
+            last = numbers.pop()
+            numbers.append(-last if op == "neg" else do[op](numbers.pop(), last))
+
+        at, operand = 0, True
+        while at < len(text.rstrip()):
+            m = token.match(text, at)
+            if m is None or (m[1] and not operand):
+                return None
+            at, op = m.end(), m[2]
+            if m[1]:
+                numbers.append(float(m[1]))
+                operand = False
+            elif op == "(" and operand:
+                waiting.append(op)
+            elif op == ")" and not operand:
+                while waiting and waiting[-1] != "(":
+                    settle()
+                if not waiting:
+                    return None
+                waiting.pop()
+            elif op == "-" and operand:
+                waiting.append("neg")
+            elif operand or op in "()":
+                return None
+            else:
+                while waiting and waiting[-1] != "(" and (binds[waiting[-1]] > binds[op] or (binds[waiting[-1]] == binds[op] and op != "^")):
+                    settle()
+                waiting.append(op)
+                operand = True
+        if operand or "(" in waiting:
+            return None
+        while waiting:
+            settle()
+        return numbers[0]
+
+    out = []
+    for t in texts.to_pylist():
+        try:
+            out.append(value(t or ""))
+        except (ArithmeticError, ValueError):
+            out.append(None)
+    return pa.array(out, pa.float64())
+
+
 @F.arrow_udf(STRINGS)
 def path_heads(texts: pa.Array) -> pa.Array:
     """Sorted first segments of paths `a::b` in code, not those in strings, characters or comments."""
-    import re
-
     token = re.compile(r'//[^\n]*|/\*.*?(?:\*/|\Z)|r#*"(?:.*?)"#*|"(?:\\.|[^"\\])*(?:"|\Z)|\'(?:\\.[^\']*|[^\'\\])\'|(?P<head>[A-Za-z_][A-Za-z0-9_]*)(?=\s*::)|[A-Za-z_][A-Za-z0-9_]*|::', re.S)
     out = []
     for t in texts.to_pylist():
@@ -169,10 +324,32 @@ def path_heads(texts: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.string()))
 
 
+def _open_at_end(line: Column) -> Column:
+    """Whether a line that begins outside a block comment ends inside one.
+
+    What is read first counts: a line comment hides all after it, and block comments do not nest.
+    """
+    return F.regexp_replace(line, r"/\*.*?\*/|//.*", " ").contains("/*")
+
+
 def in_comment(lines: DataFrame, key: str) -> DataFrame:
-    """Lines with whether they begin inside a block comment, by what opened and closed before."""
-    before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return lines.withColumn("inside", F.coalesce(F.sum(C.occurrences(F.col("line"), "/*") - C.occurrences(F.col("line"), "*/")).over(before), F.lit(0)) > 0)
+    """Lines with whether they begin inside a block comment.
+
+    A line ends inside or outside, whatever it began as, or keeps the state, or turns it round (`/*/`).
+    So a line's state is that after the last line that settles it, turned by each line that turns it.
+    """
+    line = F.coalesce(F.col("line"), F.lit(""))
+    closed = F.locate("*/", line)
+    outside, inside = _open_at_end(line), F.when(closed == 0, True).otherwise(_open_at_end(F.substring(line, closed + 2, F.length(line))))
+    at = Window.partitionBy(key).orderBy("pos")
+    before = at.rowsBetween(Window.unboundedPreceding, -1)
+    marked = lines.withColumns({"_out": outside, "_in": inside})
+    marked = marked.withColumn("_turns", F.coalesce(F.sum((F.col("_out") & ~F.col("_in")).cast("int")).over(at), F.lit(0)))
+    settles = F.when(F.col("_out") == F.col("_in"), F.struct("_out", "_turns"))
+    marked = marked.withColumns({"_last": F.last(settles, ignorenulls=True).over(before), "_now": F.coalesce(F.last("_turns").over(before), F.lit(0))})
+    state = F.coalesce(F.col("_last._out"), F.lit(False))
+    turned = (F.col("_now") - F.coalesce(F.col("_last._turns"), F.lit(0))) % 2 == 1
+    return marked.withColumn("inside", state != turned).drop("_out", "_in", "_turns", "_last", "_now")
 
 
 def use_lines_once(lines: DataFrame, key: str) -> DataFrame:
@@ -194,6 +371,11 @@ def attribute_above(lines: DataFrame, key: str) -> DataFrame:
     return lines.withColumn("above", F.last(F.when(~F.trim("line").startswith("///"), F.trim("line")), ignorenulls=True).over(above))
 
 
+def newest_first(df: DataFrame, key: str, time: str, order: str) -> DataFrame:
+    """Rows with their place from 1 among their key's, the newest first; rows of one time stay in order."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(time), order)))
+
+
 def renumbered(df: DataFrame, key: str, order: str) -> DataFrame:
     """Rows with their place from 0 among their key's."""
     return df.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)

@@ -66,13 +66,23 @@ def _(t):
 
 
 RUN = "SELECT source, doc_id, strlen(text) AS z, sum(strlen(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS s FROM documents"
-for _rule, _where, _bytes in (("before", "s <= 24000", "sum(z)"), ("after", "s - z <= 24000", "least(sum(z), 24000)"), ("cut", "s - z < 24000", "least(sum(z), 24000)"), ("skip", "s <= 24000", "sum(z)")):
+for _rule, _where, _bytes in (("before", "s <= 24000", "sum(z)"), ("after", "s - z <= 24000", "least(sum(z), 24000)"), ("cut", "s - z < 24000", "least(sum(z), 24000)")):
 
     @query(f"w05_budget_{_rule}", f"SELECT source, count(*) AS blocks, CAST({_bytes} AS BIGINT) AS bytes FROM ({RUN}) WHERE {_where} GROUP BY 1")
     def _(t, rule=_rule):
         return sequence.budgeted(t.documents, "source", "doc_id", "text", 24000, rule).withColumn("bytes", F.col("bytes").cast("bigint"))
 
 
+@query("w05_budget_skip", """WITH RECURSIVE r AS (SELECT source, lang, coalesce(strlen(text), 0) AS z, row_number() OVER (PARTITION BY source ORDER BY lang NULLS FIRST, doc_id) AS k FROM documents),
+    f AS (SELECT source, k, lang, CASE WHEN z < 9000 THEN z ELSE 0 END AS used, CASE WHEN z < 9000 THEN 1 ELSE 0 END AS n, CASE WHEN z < 9000 THEN '-' ELSE coalesce(lang, '+') END AS ended FROM r WHERE k = 1
+    UNION ALL SELECT r.source, r.k, r.lang, CASE WHEN ok THEN used + z + CASE WHEN used > 0 THEN 1 ELSE 0 END ELSE used END, CASE WHEN ok THEN n + 1 ELSE n END, CASE WHEN ok OR coalesce(r.lang, '+') = ended THEN ended ELSE coalesce(r.lang, '+') END
+    FROM (SELECT r.*, f.used, f.n, f.ended, coalesce(r.lang, '+') <> f.ended AND f.used + r.z < 9000 AS ok FROM f JOIN r ON r.source = f.source AND r.k = f.k + 1) r)
+    SELECT source, CAST(max_by(n, k) AS BIGINT) AS blocks, CAST(max_by(used, k) AS BIGINT) AS bytes FROM f GROUP BY 1""")
+def _(t):
+    """The texts of a source by language, all within one budget; a language stops where it would overflow."""
+    return sequence.budgeted(t.documents, "source", "doc_id", "text", 9000, "skip", "lang")
+
+
 CODE = "use x;\npub struct A { a: u8, b: { c } }\nfn private() {}\npub fn go(x: u8) -> u8 {\n  1\n}\npub const N: u8 = 3;\npub enum E {\n  P,\n  Q { r: u8 },\n}"
 
 
@@ -102,9 +112,15 @@ def _(t):
     return t.part.select("p_partkey", F.array_join(sequence.path_heads(text), ",").alias("heads"))
 
 
-@query("w10_in_comment", f"WITH {LINES}, x AS (SELECT doc_id, pos, CASE WHEN pos % 4 = 1 THEN 1 WHEN pos % 4 = 3 THEN -1 ELSE 0 END AS d FROM l) SELECT doc_id, pos, coalesce(sum(d) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS inside FROM x")
+#: Lines that open, close, hide and turn comments.
+COMMENTED = ("x", "a /* b", "c */ d", "// see /* here", "/* a /* b */", "*/ y", "/*/", "/* a */ b /* c", "z */ // */ /*", "a / * b", "s // */", "/**/ /*")
+
+
+@query("w10_in_comment", f"""WITH {LINES}, m AS (SELECT doc_id, pos, CASE (doc_id * 7 + pos * pos + pos * 5) % 12 {' '.join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(COMMENTED))} END AS line FROM l),
+    p AS (SELECT doc_id, pos, coalesce(string_agg(line, chr(10)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before FROM m)
+    SELECT doc_id, pos, contains(regexp_replace(before, '(?s)/\\*.*?\\*/|//[^\\n]*', ' ', 'g'), '/*') AS inside FROM p""")
 def _(t):
-    line = F.when(F.col("pos") % 4 == 1, F.lit("a /* b")).when(F.col("pos") % 4 == 3, F.lit("c */ d")).otherwise(F.lit("x"))
+    line = F.element_at(F.array(*map(F.lit, COMMENTED)), ((F.col("doc_id") * 7 + F.col("pos") * F.col("pos") + F.col("pos") * 5) % 12 + 1).cast("int"))
     return sequence.in_comment(_lines(t).withColumn("line", line), "doc_id").select("doc_id", "pos", "inside")
 
 
@@ -140,10 +156,7 @@ def _(t):
 
 @query("w16_newest_first", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS place FROM events")
 def _(t):
-    from pyspark.sql import Window
-
-    newest = Window.partitionBy("user_id").orderBy(F.desc("ts"), "event_id")
-    return t.events.select("event_id", F.row_number().over(newest).cast("bigint").alias("place"))
+    return sequence.newest_first(t.events.select("event_id", "user_id", "ts"), "user_id", "ts", "event_id").select("event_id", F.col("place").cast("bigint").alias("place"))
 
 
 @query("snk04_upsert", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'second' WHEN c_custkey % 3 = 0 THEN 'first' ELSE c_mktsegment END AS value FROM customer UNION ALL SELECT -1, 'added'")

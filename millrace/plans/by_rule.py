@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import classify as C
+from millrace.operators import relate
 from millrace.plans.catalog import query
 from millrace.sources import records, tree
 
@@ -92,7 +93,7 @@ def _(t):
     return t.events.select("event_id", records.report_tier(report).alias("tier"))
 
 
-@query("src17_common_root", "SELECT project AS archive, CASE WHEN count(DISTINCT split_part(path, '/', 1)) = 1 THEN min(split_part(path, '/', 1)) END AS root FROM files WHERE ord % 9 IN (0, 1) OR project = 'src1' GROUP BY 1")
+@query("src17_common_root", "SELECT project AS archive, CASE WHEN count(DISTINCT split_part(path, '/', 1)) = 1 AND bool_or(contains(path, '/')) THEN min(split_part(path, '/', 1)) END AS root FROM files GROUP BY 1")
 def _(t):
     return tree.common_root(t.files.select(F.col("project").alias("archive"), F.col("path").alias("name")))
 
@@ -132,7 +133,7 @@ def _(t):
     return t.events.select("event_id", records.first_object(text).alias("object"))
 
 
-@query("src24_package_manager", "SELECT project, min_by(manager, k) AS manager FROM (SELECT source AS project, doc_id % 8 AS k, CASE doc_id % 8 WHEN 0 THEN 'pip' WHEN 1 THEN 'pip/poetry' WHEN 2 THEN 'pipenv' WHEN 3 THEN 'npm/yarn' WHEN 4 THEN 'go modules' WHEN 5 THEN 'bundler' WHEN 6 THEN 'maven' ELSE 'gradle' END AS manager FROM documents WHERE doc_id % 5 = 0) GROUP BY 1")
+@query("src24_package_manager", "SELECT project, min_by(manager, k) AS manager FROM (SELECT source AS project, doc_id % 8 AS k, CASE doc_id % 8 WHEN 0 THEN 'pip' WHEN 1 THEN 'pip/poetry' WHEN 2 THEN 'pipenv' WHEN 3 THEN 'npm/yarn' WHEN 4 THEN 'go modules' WHEN 5 THEN 'bundler' WHEN 6 THEN 'maven' ELSE 'gradle' END AS manager FROM documents) GROUP BY 1")
 def _(t):
     name = F.element_at(F.array(*[F.lit(f) for f, _ in tree.PACKAGE_MARKERS]), (F.col("doc_id") % 8 + 1).cast("int"))
     return tree.package_manager(t.documents.select(F.col("source").alias("project"), name.alias("path")))
@@ -181,17 +182,41 @@ def _(t):
 
 @query("r07_no_self_import", "SELECT src, dst FROM (SELECT o_orderkey % 50 AS src, o_custkey % 50 AS dst FROM orders) WHERE src <> dst")
 def _(t):
-    return t.orders.select((F.col("o_orderkey") % 50).alias("src"), (F.col("o_custkey") % 50).alias("dst")).filter("src <> dst")
-
-
-def _like(words: tuple[tuple[str, ...], ...]) -> str:
-    return " OR ".join("(" + " AND ".join(f"contains(m, '{w}')" for w in ws) + ")" for ws in words)
-
-
-BY_CODE = "CASE " + " ".join(f"WHEN code IN ({', '.join(repr(c) for c in codes)}) THEN " + (f"CASE WHEN {_like(tuple((w,) for w in C.REFINED[f][1]))} THEN '{C.REFINED[f][0]}' ELSE '{f}' END" if f in C.REFINED else f"'{f}'") for f, codes in C.CODES.items()) + " END"
-BY_TEXT = "CASE " + " ".join(f"WHEN {_like(rules)} THEN '{f}'" for f, rules in C.MESSAGES) + " ELSE 'Other' END"
+    return relate.between_files(t.orders.select((F.col("o_orderkey") % 50).alias("src"), (F.col("o_custkey") % 50).alias("dst")))
+
+
+# The families of diagnostics, spelled out once more for the checking engine.
+BY_CODE = (
+    "CASE WHEN code IN ('E0106', 'E0495', 'E0597', 'E0621', 'E0622', 'E0623', 'E0700') THEN 'MissingLifetime' WHEN code IN ('E0277', 'E0283', 'E0284', 'E0369', 'E0391', "
+    "'E0275') THEN CASE WHEN (contains(m, 'send')) OR (contains(m, 'sync')) OR (contains(m, 'future')) OR (contains(m, 'async')) OR (contains(m, 'unpin')) THEN 'AsyncMismatch' "
+    "ELSE 'TraitBoundFailure' END WHEN code IN ('E0382', 'E0505', 'E0506', 'E0507', 'E0508', 'E0509') THEN 'OwnershipMove' WHEN code IN ('E0499', 'E0500', 'E0501', 'E0502', "
+    "'E0503', 'E0504', 'E0515', 'E0521') THEN 'BorrowConflict' WHEN code IN ('E0308', 'E0309', 'E0310', 'E0365', 'E0606', 'E0607') THEN CASE WHEN (contains(m, 'integer')) OR "
+    "(contains(m, 'overflow')) OR (contains(m, 'truncat')) THEN 'IntegerOverflow' ELSE 'TypeMismatch' END WHEN code IN ('E0412', 'E0422', 'E0423', 'E0425', 'E0432', 'E0433', "
+    "'E0603', 'E0614') THEN 'MissingImport' WHEN code IN ('E0728', 'E0752', 'E0753', 'E0654', 'E0746') THEN 'AsyncMismatch' WHEN code IN ('E0004', 'E0005') THEN "
+    "'PatternExhaustiveness' WHEN code IN ('E0021') THEN 'InternalCompilerError' END"
+)
+BY_TEXT = (
+    "CASE WHEN (contains(m, 'lifetime')) OR (contains(m, 'does not live long enough')) OR (contains(m, 'borrowed value does not live')) THEN 'MissingLifetime' WHEN "
+    "(contains(m, 'cannot move out')) OR (contains(m, 'use of moved value')) OR (contains(m, 'moved out of')) THEN 'OwnershipMove' WHEN (contains(m, 'cannot borrow')) OR "
+    "(contains(m, 'borrow of moved value')) OR (contains(m, 'two mutable borrows')) THEN 'BorrowConflict' WHEN (contains(m, 'send') AND contains(m, 'not implemented')) OR "
+    "(contains(m, 'future') AND contains(m, 'not implemented')) OR (contains(m, 'async')) OR (contains(m, 'await')) THEN 'AsyncMismatch' WHEN (contains(m, 'the trait') AND "
+    "contains(m, 'is not implemented')) OR (contains(m, 'trait bound')) THEN 'TraitBoundFailure' WHEN (contains(m, 'mismatched types')) OR (contains(m, 'expected') AND "
+    "contains(m, 'found')) THEN 'TypeMismatch' WHEN (contains(m, 'unresolved import')) OR (contains(m, 'not found in this scope')) OR (contains(m, 'no module named')) OR "
+    "(contains(m, 'cannot find')) THEN 'MissingImport' WHEN (contains(m, 'overflow')) OR (contains(m, 'truncat')) THEN 'IntegerOverflow' WHEN (contains(m, 'macro')) THEN "
+    "'MacroError' WHEN (contains(m, 'non-exhaustive')) OR (contains(m, 'pattern') AND contains(m, 'not covered')) THEN 'PatternExhaustiveness' WHEN (contains(m, 'unused')) OR "
+    "(contains(m, 'dead code')) THEN 'UnusedCode' WHEN (contains(m, 'internal compiler error')) THEN 'InternalCompilerError' ELSE 'Other' END"
+)
 FAMILY = f"(SELECT *, coalesce({BY_CODE}, {BY_TEXT}) AS family FROM (SELECT *, lower(message) AS m FROM diags))"
-DIMENSION = "(VALUES " + ", ".join(f"('{f}', {p}, {str(a).lower()})" for f, p, a in C.FAMILIES) + ") d(family, priority, auto_fixable)"
+DIMENSION = (
+    "(VALUES ('MissingImport', 10, true), ('UnusedCode', 9, true), ('TypeMismatch', 8, true), ('IntegerOverflow', 8, true), ('PatternExhaustiveness', 7, true), "
+    "('TraitBoundFailure', 6, false), ('MacroError', 5, false), ('AsyncMismatch', 5, false), ('Other', 4, false), ('BorrowConflict', 3, false), ('OwnershipMove', 3, false), "
+    "('MissingLifetime', 2, false), ('InternalCompilerError', 0, false)) d(family, priority, auto_fixable)"
+)
+PRIORITY = (
+    "CASE family WHEN 'MissingImport' THEN 10 WHEN 'UnusedCode' THEN 9 WHEN 'TypeMismatch' THEN 8 WHEN 'IntegerOverflow' THEN 8 WHEN 'PatternExhaustiveness' THEN 7 WHEN "
+    "'TraitBoundFailure' THEN 6 WHEN 'MacroError' THEN 5 WHEN 'AsyncMismatch' THEN 5 WHEN 'Other' THEN 4 WHEN 'BorrowConflict' THEN 3 WHEN 'OwnershipMove' THEN 3 WHEN "
+    "'MissingLifetime' THEN 2 WHEN 'InternalCompilerError' THEN 0 END"
+)
 RANK = "CASE level WHEN 'help' THEN 0 WHEN 'warning' THEN 2 WHEN 'error' THEN 3 WHEN 'error: internal compiler error' THEN 4 ELSE 1 END"
 
 
@@ -419,7 +444,7 @@ def _(t):
     return t.part.select("p_partkey", T.segment_key(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("key"))
 
 
-@query("f12_jaccard", "SELECT doc_id, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 9) AS jaccard FROM (SELECT doc_id, list_distinct(string_split(substr(text, 1, 200), ' ')) AS a, list_distinct(string_split(substr(text, 101, 200), ' ')) AS b FROM documents)")
+@query("f12_jaccard", "SELECT doc_id, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 9) AS jaccard FROM (SELECT doc_id, list_distinct(string_split(text, ' ')) AS a, list_distinct(string_split(lower(text), ' ')) AS b FROM documents)")
 def _(t):
     words = lambda c: F.array_distinct(F.split(c, " "))
     return t.documents.select("doc_id", F.round(T.jaccard(words("text"), words(F.lower("text"))), 9).alias("jaccard"))
@@ -494,7 +519,7 @@ def _(t):
     return t.events.select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.unix_timestamp("ts").alias("secs"))
 
 
-@query("f25_percent_encoding", "SELECT doc_id, url_encode(substr(text, 1, 60)) AS encoded FROM documents")
+@query("f25_percent_encoding", "SELECT doc_id, url_encode(text) AS encoded FROM documents")
 def _(t):
     return t.documents.select("doc_id", T.percent_encoded(F.col("text")).alias("encoded"))
 

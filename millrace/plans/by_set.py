@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.operators import classify as C
 from millrace.operators import graph, relate, retrieve, rollup, sequence, verify
-from millrace.plans.by_rule import FAMILY, LANG, RANK
+from millrace.plans.by_rule import FAMILY, LANG, PRIORITY, RANK
 from millrace.plans.catalog import query
 from millrace.sources import tree
 
@@ -39,7 +39,7 @@ def _(t):
 
 @query("j04_manifest_results", "SELECT d.doc_id, d.lang, CAST(l.quality AS BIGINT) AS quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def _(t):
-    return t.documents.join(t.labels, "doc_id", "left").select("doc_id", "lang", F.col("quality").cast("bigint").alias("quality"))
+    return relate.with_results(t.documents, t.labels, "doc_id").select("doc_id", "lang", F.col("quality").cast("bigint").alias("quality"))
 
 
 @query("j05_file_packages", "SELECT d.doc_id, coalesce('q' || l.quality, '') AS package FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
@@ -178,7 +178,7 @@ def _(t):
     return verify.captured(one.unionByName(two)).select("name", "nondeterministic")
 
 
-@query("j22_leave_one_out", """WITH s AS (SELECT doc_id, lang, unnest(list_distinct(string_split(substr(text, 1, 120), ' '))) AS w FROM documents WHERE doc_id % 5 = 0), z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+@query("j22_leave_one_out", """WITH s AS (SELECT doc_id, lang, unnest(list_distinct(string_split(text, ' '))) AS w FROM documents), z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
     p AS (SELECT a.doc_id AS q, b.doc_id AS e, count(*) AS c FROM s a JOIN s b ON a.w = b.w AND a.lang = b.lang AND a.doc_id <> b.doc_id GROUP BY 1, 2)
     SELECT q AS query_id, e AS entry_id, round(c / (x.n + y.n - c), 9) AS jaccard FROM p JOIN z x ON x.doc_id = q JOIN z y ON y.doc_id = e""")
 def _(t):
@@ -229,7 +229,6 @@ def _(t):
     return t.files.agg(F.count("*").alias("files"), F.count(C.language(F.col("path"))).alias("sources"), F.count_distinct("project").alias("projects"), F.sum("length").alias("bytes"))
 
 
-PRIORITY = "CASE family " + " ".join(f"WHEN '{f}' THEN {p}" for f, p, _ in C.FAMILIES) + " END"
 RANKED = f"SELECT family, CAST(priority AS BIGINT) AS priority, count, row_number() OVER (ORDER BY priority DESC, count DESC, family) AS rank FROM (SELECT family, {PRIORITY} AS priority, count(*) AS count FROM {FAMILY} WHERE {RANK} >= 3 GROUP BY 1)"
 
 
@@ -259,10 +258,9 @@ def _(t):
     return own.groupBy(F.regexp_extract("path", "^(.*)/", 1).alias("root")).agg(F.count("*").alias("files"), F.min("ord").alias("first"))
 
 
-@query("a06_error_text", f"SELECT run_id, string_agg(message, chr(10) ORDER BY ord) AS text FROM diags WHERE {RANK} >= 3 AND ord < 2000 GROUP BY 1")
+@query("a06_error_text", f"SELECT run_id, string_agg(message, chr(10) ORDER BY ord) AS text FROM (SELECT run_id, ord, substr(message, 1, CAST(4000 - start AS INTEGER)) AS message FROM (SELECT *, sum(strlen(message) + 1) OVER (PARTITION BY run_id ORDER BY ord ROWS UNBOUNDED PRECEDING) - strlen(message) - 1 AS start FROM diags WHERE {RANK} >= 3) WHERE start < 4000) GROUP BY 1")
 def _(t):
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "message"))), lambda x: x.message), "\n")
-    return C.errors(t.diags).groupBy("run_id").agg(joined.alias("text"))
+    return sequence.joined(C.errors(t.diags), "run_id", "ord", "message", 4000)
 
 
 @query("a07_symbols_per_text", "SELECT page_id, CAST(len(list_distinct(regexp_extract_all(html, '\\b[a-z][A-Za-z0-9_]*(?:\\.|::)[A-Za-z_][A-Za-z0-9_]*'))) AS BIGINT) AS symbols FROM pages")
@@ -329,7 +327,7 @@ def _(t):
     return t.items.groupBy("module").agg(F.count("*").alias("items"), F.count_distinct("name").alias("names"))
 
 
-@query("a20_fingerprint", "SELECT project, sha256(string_agg(line, chr(10) ORDER BY line)) AS fingerprint, count(*) AS files FROM (SELECT project, concat(path, ':', sha256(content)) AS line FROM files) GROUP BY 1")
+@query("a20_fingerprint", "SELECT project, sha256(concat_ws(':', count(*), " + ", ".join(f"sum(CAST('0x' || substr(d, {15 * k + 1}, 15) AS BIGINT))" for k in range(4)) + ")) AS fingerprint, count(*) AS files FROM (SELECT project, sha256(concat(path, ':', sha256(content))) AS d FROM files) GROUP BY 1")
 def _(t):
     return tree.fingerprint(t.files)
 
@@ -445,14 +443,37 @@ def _(t):
     return t.documents.select("doc_id").unionByName(t.labels.select("doc_id"))
 
 
-@query("i01_levels", "SELECT src AS path, CAST(CASE left(src, 1) WHEN 'o' THEN 3 WHEN 'c' THEN 2 ELSE 1 END AS BIGINT) AS level FROM (SELECT DISTINCT src FROM edges) UNION ALL SELECT DISTINCT dst, CAST(0 AS BIGINT) FROM edges WHERE starts_with(dst, 'r')")
+TWO = """(SELECT src, dst FROM edges UNION SELECT concat('o', o_orderkey), concat('c', c_custkey) FROM orders JOIN customer ON c_custkey = o_orderkey % 100 + 1)"""
+
+
+@query("i01_levels", f"""WITH e AS {TWO}, n AS (SELECT path, CASE left(path, 1) WHEN 'o' THEN 3 WHEN 'c' THEN 2 WHEN 'n' THEN 1 ELSE 0 END AS level, CAST(substr(path, 2) AS BIGINT) AS ord FROM (SELECT src AS path FROM e UNION SELECT dst FROM e)),
+    l0 AS (SELECT path, row_number() OVER (ORDER BY ord) AS spot FROM n WHERE level = 0),
+    l1 AS (SELECT n.path, row_number() OVER (ORDER BY max(spot), n.ord) AS spot FROM n JOIN e ON e.src = n.path JOIN l0 ON l0.path = e.dst GROUP BY n.path, n.ord),
+    l2 AS (SELECT n.path, row_number() OVER (ORDER BY max(spot), n.ord) AS spot FROM n JOIN e ON e.src = n.path JOIN l1 ON l1.path = e.dst GROUP BY n.path, n.ord),
+    l3 AS (SELECT n.path, row_number() OVER (ORDER BY max(spot), n.ord) AS spot FROM n JOIN e ON e.src = n.path JOIN l2 ON l2.path = e.dst GROUP BY n.path, n.ord),
+    every AS (SELECT path, 0 AS level, spot FROM l0 UNION ALL SELECT path, 1, spot FROM l1 UNION ALL SELECT path, 2, spot FROM l2 UNION ALL SELECT path, 3, spot FROM l3)
+    SELECT path, CAST(level AS BIGINT) AS level, row_number() OVER (ORDER BY level, spot) - 1 AS place FROM every""")
 def _(t):
-    edges = _edges(t)
+    """Orders depend on two customers, these on their nation, and nations on their region."""
+    number = F.col("o_orderkey") % 100 + 1
+    more = t.orders.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("src"), number.alias("c_custkey")).join(t.customer.select("c_custkey"), "c_custkey")
+    edges = _edges(t).select("src", "dst").unionByName(more.select("src", F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("dst")))
     nodes = edges.select(F.col("src").alias("path")).unionByName(edges.select(F.col("dst").alias("path"))).distinct()
-    return graph.levels(nodes, edges)
+    return graph.queue_order(nodes.withColumn("ord", F.substring("path", 2, 20).cast("bigint")), edges)
+
+
+NAMES = "SELECT p_partkey AS ord, concat('n', p_partkey % 150) AS name, concat('f', p_size % 3, '/n', p_size % 5, '/', CASE WHEN p_partkey % 4 = 0 THEN '' ELSE concat('D-', p_partkey % 7, '/') END, 'n', p_partkey % 150) AS path FROM part UNION ALL SELECT 1000000 + p_partkey, concat('n', p_partkey % 20, '_', p_size % 4 + 2), 'x' FROM part WHERE p_partkey % 40 = 1"
 
 
-@query("i09_unique_names", "SELECT ord, CASE WHEN n = 1 THEN name WHEN k = 1 THEN u ELSE concat(u, '_', k) END AS \"unique\" FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY n, ord) AS k FROM (SELECT *, CASE WHEN n = 1 THEN name ELSE concat('f', ord % 3, '_', name) END AS u FROM (SELECT p_partkey AS ord, concat('n', p_size) AS name, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS n FROM part)))")
+@query("i09_unique_names", f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (ORDER BY ord) AS k, [lower(replace(x, '-', '_')) FOR x IN string_split(path, '/')] AS seg FROM ({NAMES})),
+    c AS (SELECT k, ord, list_concat([name], [array_to_string(seg[len(seg) - n + 1:], '_') FOR n IN range(2, len(seg) + 1)], [concat(name, '_', n) FOR n IN range(2, 60)]) AS choices FROM r),
+    u AS (SELECT k, ord, choices[1] AS "unique", [choices[1]] AS used FROM c WHERE k = 1
+    UNION ALL SELECT k, ord, pick, list_append(used, pick) FROM (SELECT c.k, c.ord, used, list_filter(choices, lambda x: NOT list_contains(used, x))[1] AS pick FROM u JOIN c ON c.k = u.k + 1))
+    SELECT ord, "unique" FROM u""")
 def _(t):
-    names = t.part.select(F.concat(F.lit("n"), F.col("p_size").cast("string")).alias("name"), F.concat(F.lit("src/f"), (F.col("p_partkey") % 3).cast("string"), F.lit("/x.py")).alias("path"), F.col("p_partkey").alias("ord"))
-    return graph.unique_names(names).select("ord", "unique")
+    n = lambda c, m: (F.col(c) % m).cast("string")
+    name = F.concat(F.lit("n"), n("p_partkey", 150))
+    folder = F.when(F.col("p_partkey") % 4 == 0, "").otherwise(F.concat(F.lit("D-"), n("p_partkey", 7), F.lit("/")))
+    rows = t.part.select(F.col("p_partkey").alias("ord"), name.alias("name"), F.concat(F.lit("f"), n("p_size", 3), F.lit("/n"), n("p_size", 5), F.lit("/"), folder, name).alias("path"))
+    taken = t.part.filter("p_partkey % 40 = 1").select((F.col("p_partkey") + 1000000).alias("ord"), F.concat(F.lit("n"), n("p_partkey", 20), F.lit("_"), (F.col("p_size") % 4 + 2).cast("string")).alias("name"), F.lit("x").alias("path"))
+    return graph.unique_names(rows.unionByName(taken)).select("ord", "unique")

@@ -9,12 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only where that is unset, as in tests, one of our own."""
+    """The folder that the session names in spark.checkpoint.dir, or one of our own on a local master.
+
+    A cluster must name one: its executors don't share the driver's temporary folders.
+    """
     jsc = spark.sparkContext._jsc.sc()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None and jsc.getCheckpointDir().isDefined():
         named = jsc.getCheckpointDir().get()
-    named = named or tempfile.mkdtemp(prefix="millrace-loops-")
+    if named is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="millrace-loops-")
     if not jsc.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(named)
     return named

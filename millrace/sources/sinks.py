@@ -34,6 +34,20 @@ def upserted(current: DataFrame, changes: DataFrame, key: str, order: str) -> Da
     return both.withColumn("_rank", F.row_number().over(latest)).filter("_rank = 1").drop("_rank", "_new")
 
 
+def report_json(report: DataFrame) -> DataFrame:
+    """Per specification of a verification report: its counts and verdict as one JSON text."""
+    return report.select("spec", F.to_json(F.struct("matched", "total", "quarantined", "verdict")).alias("json"))
+
+
+def cases_yaml(cases: DataFrame) -> DataFrame:
+    """Per specification: its cases as YAML, by name; what isn't compared exactly is said."""
+    quoted = lambda c: F.concat(F.lit("'"), F.replace(F.col(c), F.lit("'"), F.lit("''")), F.lit("'"))
+    compare = F.concat_ws(", ", *[F.when(F.col(f"cmp_{k}") != "exact", F.concat(F.lit(f"{k}: "), F.col(f"cmp_{k}"))) for k in ("stdout", "stderr", "exit")])
+    one = F.concat(F.lit("- name: "), quoted("name"), F.when(compare != "", F.concat(F.lit("\n  compare: {"), compare, F.lit("}"))).otherwise(""), F.when(F.col("nondeterministic"), "\n  nondeterministic: true").otherwise(""))
+    listed = F.array_sort(F.collect_list(F.struct("name", one.alias("text"))))
+    return cases.groupBy("spec").agg(F.concat(F.lit("cases:\n"), F.array_join(F.transform(listed, lambda x: x.text), "\n"), F.lit("\n")).alias("yaml"))
+
+
 def summary_json(runs: DataFrame) -> DataFrame:
     """Per run: a JSON summary; the total is what was translated and what failed."""
     return runs.select("run_id", F.to_json(F.struct("run_id", "translated", "failed", (F.col("translated") + F.col("failed")).alias("files_total"))).alias("summary"))

@@ -31,10 +31,14 @@ def small_enough(length: Column) -> Column:
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """Files below a folder: path (relative), length, content. The size bound is pushed to the reader."""
+    """Files below a folder: path (relative), length, content. The size bound is pushed to the reader.
+
+    Spark's reader leaves out files without a byte.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).filter(small_enough(F.col("length")))
     base = root.rstrip("/") + "/"
-    relative = F.when(F.locate(base, F.col("path")) > 0, F.expr(f"substring(path, locate('{base}', path) + {len(base)})")).otherwise(F.col("path"))
+    at = F.locate(base, F.col("path"))
+    relative = F.when(at > 0, F.substring(F.col("path"), at + len(base), F.length("path"))).otherwise(F.col("path"))
     return files.select(relative.alias("path"), "length", "content").filter(visible(F.col("path")))
 
 
@@ -82,10 +86,38 @@ def unzip(archives: DataFrame, bytes_: int = ARCHIVE_BYTES, entries: int = ARCHI
     return found.filter(safe(F.col("name")) & not_junk(F.col("name")))
 
 
+def zipped(files: DataFrame, bytes_: int = ARCHIVE_BYTES) -> DataFrame:
+    """Rows (project, path, content) to one archive for each project: archive, content.
+
+    Entries stand below the project's name, in the order of paths; build output isn't packed. An
+    archive is one value, so a project over the limit fails the query.
+    """
+
+    def pack(rows: pa.Table) -> pa.Table:
+        project, buffer = rows.column("project")[0].as_py(), io.BytesIO()
+        if sum(map(len, rows.column("content").to_pylist())) > bytes_:
+            raise ValueError(f"project {project} is over the limit")
+        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+            for r in rows.sort_by("path").to_pylist():
+                entry = zipfile.ZipInfo(f"{project}/{r['path']}")
+                entry.external_attr = 0o644 << 16
+                z.writestr(entry, r["content"], zipfile.ZIP_DEFLATED)
+        return pa.table({"archive": pa.array([project], pa.string()), "content": pa.array([buffer.getvalue()], pa.binary())})
+
+    kept = files.filter(~F.concat(F.lit("/"), "path").contains("/target/"))
+    return kept.select("project", "path", F.col("content").cast("binary").alias("content")).groupBy("project").applyInArrow(pack, "archive string, content binary")
+
+
 def fingerprint(files: DataFrame) -> DataFrame:
-    """Per project: one digest that changes when any path or content does."""
-    one = F.concat_ws(":", "path", F.sha2(F.col("content").cast("binary"), 256))
-    return files.groupBy("project").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(one)), "\n"), 256).alias("fingerprint"), F.count("*").alias("files"))
+    """Per project: one digest that changes when any path or content does.
+
+    The digests of its files are added up in four parts of 60 bits, so no order and no list is needed,
+    and what is moved has the same size for any project.
+    """
+    one = F.sha2(F.concat_ws(":", "path", F.sha2(F.col("content").cast("binary"), 256)).cast("binary"), 256)
+    part = lambda k: F.sum(F.conv(F.substring("_one", 15 * k + 1, 15), 16, 10).cast("decimal(38,0)"))
+    sums = F.concat_ws(":", F.count("*").cast("string"), *[part(k).cast("string") for k in range(4)])
+    return files.select("project", one.alias("_one")).groupBy("project").agg(F.sha2(sums.cast("binary"), 256).alias("fingerprint"), F.count("*").alias("files"))
 
 
 def extensions(files: DataFrame) -> DataFrame:
