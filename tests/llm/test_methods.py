@@ -195,6 +195,46 @@ def test_vantage_tree():
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(loose, who, strict=True)]) >= 0.9
 
 
+@pytest.mark.parametrize("shard, factor", [(65536, 1.0), (60, 1.0), (60, 0.6)])
+def test_nearest_equals_all_distances(spark, monkeypatch, shard, factor):
+    r = np.random.default_rng(21)
+    monkeypatch.setattr(vptree, "LEAF", 8)
+    centres = r.normal(size=(12, 6)) * 4
+    x = (centres[r.integers(0, 12, 900)] + r.normal(size=(900, 6))).round(1)  # with ties
+    x[300:600] = x[300]  # a third is one vector, and its pivot's shard is cut
+    ids = (np.arange(900) - 450) * 3
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)]
+    rows += rows[:40] + [(-1, [1.0, 2.0]), (-1, [1.0, 2.0]), (-2, [1.0, 2.5])]  # repeated rows, and another length
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(4)
+    asked = df.filter("vec_id % 5 = 0 or vec_id in (-1, -2)")
+    found: dict = {}
+    for v in vptree.nearest(df, asked, 10, factor, shard).orderBy("query_id", "rank").collect():
+        assert v["rank"] == len(found.setdefault(v["query_id"], [])) + 1
+        found[v["query_id"]].append((v["vec_id"], v["score"]))
+    x = x.astype(np.float32).astype(float)
+    want = {-1: [(-2, 0.5)], -2: [(-1, 0.5)]}
+    for q in range(900):
+        if ids[q] % 5 == 0:
+            d = vptree.distances(x[q][None], x)[0]
+            d[q] = np.inf
+            want[int(ids[q])] = [(int(ids[k]), float(d[k])) for k in np.lexsort((ids, d))[:10]]
+    assert found.keys() == want.keys()
+    if factor == 1:
+        assert found == want
+    else:
+        assert np.mean([len({v for v, _ in found[q]} & {v for v, _ in w}) / len(w) for q, w in want.items()]) >= 0.9
+
+
+def test_pivots_pass_over_only_what_cannot_be_nearer():
+    pivots = vptree.Pivots({2: np.array([[0.0, 0.0], [10.0, 0.0], [0.0, 100.0]])})
+    pivots.radius, pivots.shards = {(2, 0): 1.0, (2, 1): 2.0, (2, 2): 1.0}, {(2, 0): 2, (2, 1): 1, (2, 2): 1}
+    q = np.array([[0.5, 0.0]])
+    assert pivots.routes(q, np.array([1.0]), 1.0) == [[0, 0, 0, 1]]
+    assert pivots.routes(q, np.array([7.5]), 1.0) == [[0, 0, 0, 1, 1, 0]]
+    assert pivots.routes(q, np.array([np.inf]), 1.0) == [[0, 0, 0, 1, 1, 0, 2, 0]]
+    assert pivots.routes(np.zeros((1, 3)), np.array([1.0]), 1.0) == [[]]
+
+
 def near_vectors(seed, n, d):
     """Random vectors, of which a third are near others by all degrees."""
     r = np.random.default_rng(seed)
