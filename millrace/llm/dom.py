@@ -14,9 +14,15 @@ SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])").split
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is text up to their end tag, none of it shown.
-RAW = frozenset("script style template noscript iframe xmp noembed noframes svg math object canvas select textarea".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr picture".split())
+#: Elements whose content is read up to their end tag and not shown: scripts and styles with what
+#: stands in for scripts, fields of forms, other pages, and formulas once more in another notation.
+RAW = frozenset("script style template noscript iframe noembed noframes select textarea annotation annotation-xml".split())
+#: Elements of which only some is shown: drawings show their texts, and an xmp is shown as it stands.
+PARTLY = frozenset(["svg", "xmp"])
+INLINE_RAW = frozenset(["svg", "annotation", "annotation-xml"])
+ANY_TAG = re.compile(r"<[^>]*>")
+SVG_TEXT = re.compile(r"<text\b[^>]*>(.*?)</text\s*>", re.S | re.I)
+INLINE = frozenset("a abbr acronym b bdi bdo big canvas cite code data del dfn em font i ins kbd label mark math nobr object q rp rt ruby s samp small span strike strong sub sup time tt u var wbr picture semantics mrow mi mn mo ms mtext msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded mphantom menclose mspace mtable mtr mtd".split())
 #: What an open element of the first kind is closed by.
 CLOSES = {
     "p": frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li dt dd tr td th body".split()),
@@ -139,11 +145,17 @@ class Page:
                 if name == "hr":
                     flush()
                 continue
-            if name in RAW:
+            if name in RAW or name in PARTLY:
+                begin = pos
                 if not source[found.start() : pos].endswith("/>"):
                     close = re.compile(f"</{re.escape(name)}\\b[^>]*(?:>|\\Z)", re.I).search(source, pos)
                     pos = close.end() if close else size
-                if name not in ("svg", "math", "canvas"):
+                    inner = source[begin : close.start() if close else size]
+                    if name == "svg":
+                        buffer += [f" {ANY_TAG.sub(' ', x)} " for x in SVG_TEXT.findall(inner)]
+                    elif name == "xmp":
+                        buffer.append(html.escape(inner))
+                if name not in INLINE_RAW:
                     flush()
                 continue
             flush()
