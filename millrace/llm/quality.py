@@ -3,10 +3,10 @@
 Positive-unlabelled learning minimises the non-negative unbiased risk: with class prior p, the risk
 of calling positives positive, weighted by p, plus the risk of calling negatives negative, which is
 that of the unlabelled text less p times that of the positives and is kept from falling below zero.
-The prior is estimated as the share of good documents among those with a label, if labels hold both
-classes. From positives alone it is estimated from the two samples: a first classifier tells positives
-from unlabelled text on one half, and on the other half the prior is the smallest ratio of their shares
-above a threshold, the threshold being picked with both shares' confidence bounds.
+The prior is estimated from the two samples alone: classifiers that tell positives from unlabelled
+text are fitted on all folds but one and score that one, and the prior is the ratio of the shares of
+unlabelled and of positive text above a threshold, which is picked as that with the smallest ratio,
+confidence bounds included.
 
 A text is described by what can be counted in one reading of it: bytes by kind, words, lines, and how
 often they repeat. The network is small and is sent to the executors with the query.
@@ -28,8 +28,8 @@ from millrace.llm.common import fresh, held_out, learnable, small_batches, unit_
 
 #: Documents of each sample that the model is fitted on, about: those with the smallest hashes.
 TRAIN_DOCS = 8000
-#: Labelled documents of the rarer class from which the prior is their share.
-ENOUGH = 10
+#: Parts that each sample is cut into to estimate the class prior.
+FOLDS = 5
 #: A document is called good from this score on.
 GOOD = 0.7
 SEED = 20
@@ -135,19 +135,29 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return net
 
 
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 150) -> float:
-    """The share of positives in the unlabelled sample, from the two samples alone."""
-    if len(positive) < 20 or len(unlabelled) < 20:
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 60, folds: int = FOLDS) -> float:
+    """The share of positives in the unlabelled sample, from the two samples alone.
+
+    It takes two of each to fit on one and score the other; with fewer nothing can be estimated, and
+    the prior is one half.
+    """
+    if min(len(positive), len(unlabelled)) < 2:
         return 0.5
-    # half of each teaches the first classifier: its risk is that of telling the samples apart
-    every = np.concatenate([positive[::2], unlabelled[::2]]).astype(np.float64)
-    net = Net(every.mean(0), every.std(0) + 1e-6, 16, np.random.default_rng(SEED))
-    p, u = net.prepared(positive[::2]), net.prepared(unlabelled[::2])
-    adam = Adam(net.w, 0.01, 1e-4)
-    for _ in range(steps):
-        a, b = net.gradient(p, -sigmoid(-net.odds(p)) / len(p)), net.gradient(u, sigmoid(net.odds(u)) / len(u))
-        adam.step([x + y for x, y in zip(a, b, strict=True)])
-    p, u = np.sort(net.odds(net.prepared(positive[1::2]))), np.sort(net.odds(net.prepared(unlabelled[1::2])))
+    scored: tuple[list, list] = ([], [])
+    for fold in range(folds):
+        parts = [(x[np.arange(len(x)) % folds != fold], x[np.arange(len(x)) % folds == fold]) for x in (positive, unlabelled)]
+        if not all(len(x) for x, _ in parts):
+            continue
+        every = np.concatenate([x for x, _ in parts]).astype(np.float64)
+        net = Net(every.mean(0), every.std(0) + 1e-6, 16, np.random.default_rng(SEED))
+        p, u = (net.prepared(x) for x, _ in parts)
+        adam = Adam(net.w, 0.01, 1e-3)
+        for _ in range(steps):
+            a, b = net.gradient(p, -sigmoid(-net.odds(p)) / len(p)), net.gradient(u, sigmoid(net.odds(u)) / len(u))
+            adam.step([x + y for x, y in zip(a, b, strict=True)])
+        for k, (_, rest) in enumerate(parts):
+            scored[k].append(net.odds(net.prepared(rest)))
+    p, u = (np.sort(np.concatenate(x)) for x in scored)
     over_p, over_u = 1 - np.searchsorted(p, p) / len(p), 1 - np.searchsorted(u, p) / len(u)
     slack = sum(math.sqrt(math.log(4 / 0.1) / 2 / len(x)) for x in (p, u))
     best = int(np.argmin((over_u + 1.01 * slack) / np.maximum(over_p, 1e-9)))
@@ -177,7 +187,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> M
     known = labels.filter(learnable("doc_id") & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     trusted = known.filter("quality = 1").select("doc_id")
     own = docs.select("doc_id", "text").filter(learnable("doc_id"))
-    n_known, n_trusted, n_own = known.count(), trusted.count(), own.count()
+    n_trusted, n_own = trusted.count(), own.count()
     if not n_trusted or not n_own:
         return Model()
     few = trusted.filter(unit_hash("doc_id", F.lit(1)) < train_docs / n_trusted).withColumn("trusted", F.lit(True))  # about train_docs ids
@@ -197,8 +207,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> M
     positive, unlabelled = (x[rows.column(k).fill_null(False).to_numpy(zero_copy_only=False).astype(bool)] for k in ("trusted", "web"))
     if not len(positive) or not len(unlabelled):
         return Model()
-    both = min(n_trusted, n_known - n_trusted) >= ENOUGH
-    prior = n_trusted / n_known if both else class_prior(positive, unlabelled)
+    prior = class_prior(positive, unlabelled)
     return Model(fit(positive, unlabelled, prior), prior)
 
 
@@ -228,7 +237,9 @@ def classify(docs: DataFrame, labels: DataFrame, model: Model | None = None, goo
 def kept(docs: DataFrame, labels: DataFrame, model: Model | None = None, least: float = 0.5) -> DataFrame:
     """The documents, with their own columns, that are likelier good than not.
 
-    The bound is below that of `predicted`: a filter of a corpus should let doubtful texts pass.
+    The bound is below that of `predicted`: a filter of a corpus should let doubtful texts pass. Null
+    and empty texts are judged as texts without anything, repeated rows each; if nothing could be
+    learned, all stay. An empty table gives no rows, and columns of any name are passed through.
     """
     small_batches(docs.sparkSession)
     model = model or learn(docs, labels)
