@@ -5,9 +5,9 @@ document gets a profile of its own from its whole text, and the language whose p
 the out-of-place distance wins: the sum, over the document's n-grams, of how far each is from its
 place in the language's profile, or the profile's length where it is missing.
 
-Letters are lower-cased and mapped to 63 symbols (a-z keep one each, other letters share the rest by
-code point), anything else is a word boundary; n-grams of 1 to 4 symbols fit a 32-bit integer, and a
-document's ranking is one sort of such integers.
+Letters are lower-cased, and each is a symbol of its own (beyond code point 32749 some share one);
+anything else is a word boundary. N-grams of 1 to 4 symbols fit a 64-bit integer, and a document's
+ranking is one sort of such integers.
 """
 
 from __future__ import annotations
@@ -26,8 +26,10 @@ from millrace.llm.common import fresh, held_out, learnable, small_batches, unit_
 PROFILE = 400
 #: Documents that a language's profile is learned from, about: those with the smallest hashes.
 TRAIN_DOCS = 2000
-#: Symbols are 6 bits.
-LONGEST = 4
+#: Languages that are learned at most: the most frequent ones.
+LANGS = 256
+#: Symbols of an n-gram at most, the bits of a symbol, and the prime below 2^15 that code points are taken modulo.
+LONGEST, BITS, SYMBOLS = 4, 15, 32749
 #: How fast a share falls with the distance, which is 0 to 1.
 TEMPERATURE = 0.02
 
@@ -35,28 +37,30 @@ TEMPERATURE = 0.02
 @lru_cache(maxsize=1)
 def symbols() -> np.ndarray:
     """Code point to symbol; 0 for what isn't a letter."""
-    out = np.zeros(0x110000, np.uint8)
-    for c in range(0x110000):
-        if chr(c).isalpha():
-            out[c] = c - 96 if 97 <= c <= 122 else 27 + c % 37
-    return out
+    points = np.arange(0x110000)
+    letter = np.fromiter((chr(c).isalpha() for c in points), bool, len(points))
+    return np.where(letter, 1 + points % SYMBOLS, 0).astype(np.uint16)
 
 
-def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of a text and how often each occurs, n-grams ascending."""
+def grams(text: str) -> np.ndarray:
+    """The n-grams of a text, in no order. The upper bits say how many symbols an n-gram has."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = symbols()[points]
-    s = np.concatenate([[0], s, [0]]).astype(np.uint32)
+    s = np.concatenate([[0], symbols()[points], [0]]).astype(np.uint64)
     s = s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])]
-    found = [s[s != 0] | (1 << 24)]
+    found = [s[s != 0] | np.uint64(1 << BITS * LONGEST)]
     packed = s
     for n in range(2, LONGEST + 1):
-        packed = (packed[:-1] << 6) | s[n - 1 :]
+        packed = (packed[:-1] << np.uint64(BITS)) | s[n - 1 :]
         inside = np.ones(len(packed), bool)
         for k in range(1, n - 1):
             inside &= s[k : len(s) - n + 1 + k] != 0
-        found.append(packed[inside] | np.uint32(n << 24) if n < LONGEST else packed[inside] | np.uint32(4 << 24))
-    every = np.sort(np.concatenate(found))
+        found.append(packed[inside] | np.uint64(n << BITS * LONGEST))
+    return np.concatenate(found)
+
+
+def counted(every: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams, ascending, and how often each occurs."""
+    every = np.sort(every)
     if not len(every):
         return every, every.astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
@@ -64,12 +68,11 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ranked(ids: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
-    """The `size` most frequent n-grams, most frequent first; ties go to the smaller n-gram."""
-    key = counts.astype(np.int64) * (1 << 32) - ids.astype(np.int64)
-    if len(key) > size:
-        top = np.argpartition(-key, size - 1)[:size]
-        ids, key = ids[top], key[top]
-    return ids[np.argsort(-key)]
+    """The `size` most frequent of ascending n-grams, most frequent first; ties go to the smaller n-gram."""
+    if not len(ids):
+        return ids
+    most = int(counts.max())
+    return ids[np.argsort((most - counts).astype(np.uint16 if most < 1 << 16 else np.int64), kind="stable")[:size]]
 
 
 class Profiles:
@@ -78,14 +81,14 @@ class Profiles:
     def __init__(self, by_lang: dict[str, np.ndarray], size: int = PROFILE):
         self.langs = sorted(by_lang)
         self.size = size
-        self.ids = np.unique(np.concatenate([np.zeros(0, np.uint32), *by_lang.values()]))
+        self.ids = np.unique(np.concatenate([np.zeros(0, np.uint64), *by_lang.values()]))
         self.place = np.full((len(self.ids), len(self.langs)), -1, np.int64)
         for j, lang in enumerate(self.langs):
             self.place[np.searchsorted(self.ids, by_lang[lang]), j] = np.arange(len(by_lang[lang]))
 
     def distances(self, text: str) -> np.ndarray | None:
         """Out-of-place distance to each profile, from 0 to 1; None for a text without letters."""
-        top = ranked(*grams(text), self.size)
+        top = ranked(*counted(grams(text)), self.size)
         if not len(top):
             return None
         if not len(self.ids):
@@ -105,50 +108,40 @@ class Profiles:
         return self.langs[best], float(share[best] / share.sum())
 
 
-def learn(docs: DataFrame, lang: str = "lang", doc_id: str = "doc_id", text: str = "text", train_docs: int = TRAIN_DOCS, size: int = PROFILE) -> Profiles:
-    """Profiles from the learnable documents with a language.
+def learn(docs: DataFrame, lang: str = "lang", doc_id: str = "doc_id", text: str = "text", train_docs: int = TRAIN_DOCS, size: int = PROFILE, langs: int = LANGS) -> Profiles:
+    """Profiles from the learnable documents with a language, for the `langs` most frequent languages.
 
     At most about `train_docs` documents of a language are used, whole: those whose id hashes below
-    the share that gives so many. N-grams are counted where the documents are, and what the driver
-    gets is one row for each task and language with its most frequent n-grams.
+    the share that gives so many. These are dealt by language, and one task counts a language's
+    n-grams, so a profile doesn't depend on where rows lie; the driver gets the profiles.
     """
     spark = docs.sparkSession
-    known = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter(learnable("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    known = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter(learnable("doc_id") & F.col("lang").isNotNull())
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()}
     if not counts:
         return Profiles({}, size)
     share = F.create_map(*[F.lit(x) for lang_, n in counts.items() for x in (lang_, min(1.0, train_docs / n))])
-    sample = known.filter(unit_hash("doc_id") < share[F.col("lang")])
-    keep = 50 * size
+    sample = known.filter(F.col("text").isNotNull() & (unit_hash("doc_id") < F.element_at(share, F.col("lang"))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
+            new: dict[str, list] = {}
             for lang_, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids, n = grams(t)
+                new.setdefault(lang_, []).append(grams(t))
+            for lang_, found in new.items():
+                ids, n = counted(np.concatenate(found))
                 if lang_ in total:
                     every, at = np.unique(np.concatenate([total[lang_][0], ids]), return_inverse=True)
                     n = np.bincount(at, np.concatenate([total[lang_][1], n]), len(every)).astype(np.int64)
                     ids = every
                 total[lang_] = ids, n
-        out = {lang_: (top := np.sort(ranked(ids, n, keep)), n[np.searchsorted(ids, top)]) for lang_, (ids, n) in total.items()}
-        yield pa.RecordBatch.from_pydict(
-            {
-                "lang": pa.array(list(out), pa.string()),
-                "ids": pa.array([x.astype(np.int64) for x, _ in out.values()], pa.list_(pa.int64())),
-                "n": pa.array([n for _, n in out.values()], pa.list_(pa.int64())),
-            }
-        )
-
-    parts = sample.select("lang", "text").coalesce(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(count, "lang string, ids array<bigint>, n array<bigint>").collect()
-    by_lang = {}
-    for lang_ in sorted(counts):
-        own = [(np.array(r["ids"], np.int64), np.array(r["n"], np.int64)) for r in parts if r["lang"] == lang_]
-        if own:
-            every, at = np.unique(np.concatenate([x for x, _ in own]), return_inverse=True)
-            n = np.bincount(at, np.concatenate([n for _, n in own]), len(every)).astype(np.int64)
-            by_lang[lang_] = ranked(every.astype(np.uint32), n, size)
-    return Profiles(by_lang, size)
+        profiles = [ranked(ids, n, size).view(np.int64) for ids, n in total.values()]
+        yield pa.RecordBatch.from_pydict({"lang": pa.array(list(total), pa.string()), "ids": pa.array(profiles, pa.list_(pa.int64()))})
+
+    small_batches(spark)
+    rows = sample.select("lang", "text").repartition("lang").mapInArrow(count, "lang string, ids array<bigint>").collect()
+    return Profiles({r["lang"]: np.array(r["ids"], np.int64).view(np.uint64) for r in rows if r["ids"]}, size)
 
 
 def predicted(text: Column, profiles: Profiles) -> Column:
@@ -179,7 +172,9 @@ def kept(docs: DataFrame, profiles: Profiles | None = None, least: float = 0.3)
     """The documents in a known language, with their own columns.
 
     Rejected are `und` and texts whose best language has a share below `least`, barely more than
-    chance among four languages: no language stands out.
+    chance among four languages: no language stands out. So null and empty texts go, and all texts if
+    no language could be learned; repeated rows are judged each, an empty table gives no rows, and
+    columns of any name are passed through.
     """
     small_batches(docs.sparkSession)
     profiles = profiles or learn(docs)
