@@ -11,6 +11,7 @@ come from counts by (length, hash bucket), so no task ever holds all pieces of a
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import Counter
@@ -83,16 +84,45 @@ class WordEncoder:
             return b"".join(map(self.ids.__getitem__, words))
 
 
+#: What a file must say of its tokenizer for WordEncoder to give what the library gives.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def splits_at_words(path: str) -> bool:
+    """Whether a file is of a tokenizer that WordEncoder encodes for."""
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    before = told.get("pre_tokenizer") or {}
+    steps = before.get("pretokenizers", []) if before.get("type") == "Sequence" else []
+    bytes_ = len(steps) == 2 and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex", True)
+    model = told["model"]
+    whole = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    plain = all(not t[k] for t in told.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    return plain and whole and bytes_ and steps[0] == SPLIT and (told.get("normalizer") or {}).get("normalizers") == NORMALIZERS
+
+
+class TextEncoder:
+    """Ids of texts for any other tokenizer of the library, text by text."""
+
+    def __init__(self, path: str):
+        self.tok = json_tokenizer(path)
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def encoder(path: str) -> WordEncoder | TextEncoder:
+    return WordEncoder(path) if splits_at_words(path) else TextEncoder(path)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, ids: bool = False) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, and with `ids` the ids themselves.
 
     A document is its ids and then `end_id`; null and empty texts are `end_id` alone. Only documents
-    longer than `capacity` are cut. Repeated rows give pieces each.
+    longer than `capacity` are cut. Repeated rows give pieces each, and an empty table none. Other
+    columns are not read.
     """
     small_batches(docs.sparkSession)
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
@@ -240,7 +270,8 @@ def best_two_fit(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
     """All documents as pieces packed into sequences of at most `capacity` tokens.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id and offset (and ids, if asked for);
-    offsets in a sequence are gapless from 0. An empty table gives no rows. Other columns of the
-    documents are not read, so clashing names do not matter.
+    offsets in a sequence are gapless from 0. Null and empty texts are a piece of `end_id` alone, rows
+    with a null id are packed like others, and repeated rows each. An empty table gives no rows. Other
+    columns of the documents are not read, so clashing names do not matter.
     """
     return pack(written(pieces(docs, path, capacity, end_id, ids), "pieces"), capacity)
