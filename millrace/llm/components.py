@@ -11,7 +11,8 @@ from millrace.llm.common import discard, written
 def components(links: DataFrame) -> DataFrame:
     """Per node that has a link to another: node, component (the smallest node reachable).
 
-    `links` has two columns with the ends of each link; direction, repeats and loops do not matter.
+    `links` has two columns with the ends of each link; direction, repeats and loops do not matter, and
+    a link with a null end is none. A table without links gives no rows.
     Each round hooks every node with a smaller neighbour to its smallest one, follows the hooks to
     their ends by doubling, and goes on with the links between different ends, so rounds grow with
     the logarithm of the graph. Every step is written to the shared folder: joins read plain tables,

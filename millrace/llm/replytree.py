@@ -79,7 +79,7 @@ def thread(conversations: DataFrame) -> DataFrame:
 
     Turns are ordered by turn, then role and text; a null conv_id is one conversation like others.
     """
-    tree = F.coalesce(F.col("conv_id").cast("string"), F.lit(""))
+    tree = F.when(F.col("conv_id").isNull(), "").otherwise(F.concat(F.lit("="), F.col("conv_id").cast("string")))
     order = Window.partitionBy("tree").orderBy("turn", "role", "text")
     return conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), tree.alias("tree")).withColumn("node", F.row_number().over(order).cast("bigint")).select("conv_id", "tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
@@ -87,6 +87,9 @@ def thread(conversations: DataFrame) -> DataFrame:
 def paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
     """Per message of each chosen path: tree, leaf, branch (rank, from 1), depth (0 at the leaf), node.
 
+    A message with a null tree or node is on no path; a null score adds nothing. An empty table gives
+    no rows; other columns are not read.
+
     `messages` has tree, node (unique in its tree), parent (null at a root) and score, and is read
     several times. A message whose parent isn't there is a root; messages on a cycle are on no path.
     Branches of a tree are ranked by the sum of their scores, ties to the smaller leaf; the first
@@ -99,8 +102,8 @@ def paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
     found = written(leaves.select("tree", F.col("node").alias("leaf"), F.lit(0).cast("bigint").alias("depth"), "node"), "paths")
     step = 1
     jumps = up.select("tree", "node", "to")
-    last = up
-    while not last.isEmpty():
+    last, n = up, up.count()
+    while n:
         above = found.join(jumps, ["tree", "node"]).select("tree", "leaf", (F.col("depth") + step).alias("depth"), F.col("to").alias("node"))
         longer = written(found.unionByName(above), "paths")
         discard(found)
@@ -109,10 +112,15 @@ def paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
         twice = written(jumps.join(next_, ["tree", "to"]).select("tree", "node", F.col("_to").alias("to")), "jumps")
         if last is not up:
             discard(last)
+        left = twice.count()
         last, step = twice, step * 2
         jumps = twice.select("tree", "node", "to")
+        if left == n:  # no message is that deep below a root: whatever is left leads round a cycle
+            found = found.join(jumps.select("tree", F.col("node").alias("leaf")), ["tree", "leaf"], "left_anti")
+            break
+        n = left
     scored = found.join(own.select("tree", "node", "score"), ["tree", "node"])
-    total = scored.groupBy("tree", "leaf").agg(F.sum("score").alias("total"))
+    total = scored.groupBy("tree", "leaf").agg(F.sum(F.coalesce("score", F.lit(0.0))).alias("total"))
     rank = Window.partitionBy("tree").orderBy(F.desc("total"), "leaf")
     chosen = total.withColumn("branch", F.row_number().over(rank)).select("tree", "leaf", "branch")
     if branches is not None:
@@ -123,10 +131,12 @@ def paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
 def conversations_of(messages: DataFrame, branches: int | None = None) -> DataFrame:
     """Per chosen path: tree, branch, n_turns, formatted (the text) and loss (spans that count).
 
+    Null roles and texts are empty. An empty table gives no rows; other columns are not read.
     A path's messages meet in one row, since its text is one string; paths of one tree do not meet.
     """
     small_batches(messages.sparkSession)
-    turns = paths(messages, branches).join(messages.select("tree", "node", "role", "text"), ["tree", "node"])
+    said = messages.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = paths(messages, branches).join(said, ["tree", "node"])
     rows = turns.groupBy("tree", "leaf", "branch").agg(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("at"), "role", "text"))).alias("turns"))
 
     @F.arrow_udf("struct<formatted: string, loss: array<struct<begin: bigint, end: bigint>>>")
