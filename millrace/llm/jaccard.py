@@ -30,6 +30,8 @@ from millrace.llm.shingles import WORDS, bucket, shingles, sketch
 
 #: Similarity in hundredths from which documents are linked.
 PERCENT = 75
+#: Documents, by the sketch, from which on a shingle's groups are not gathered in one place.
+HOT = 1 << 17
 #: Groups that a prefix shingle pairs at once; those of more groups are linked to one of them first.
 FAMILY = 24
 #: Bits of the table of ids that verification reads texts for; a wrong bit costs time only.
@@ -39,7 +41,8 @@ SEEN = 200_000
 
 
 def described(docs: DataFrame, counts: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Per row: doc_id, n (size of its set), sig (digest of the set), grp (its prefix and size), prefix.
+    """Per row: doc_id, n (size of its set), sig (digest of the set), grp (its prefix and size), prefix,
+    and hot, the place in the prefix from which on its shingles are frequent ones.
 
     A prefix that the task has emitted before comes as null: its group has it already.
     """
@@ -53,7 +56,7 @@ def described(docs: DataFrame, counts: np.ndarray, words: int = WORDS, percent:
         seen: set[int] = set()
         table = shared.value
         for batch in batches:
-            n, sig, grp, prefix = [], [], [], []
+            n, sig, grp, prefix, hot = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text, words)
                 n.append(len(s))
@@ -61,10 +64,14 @@ def described(docs: DataFrame, counts: np.ndarray, words: int = WORDS, percent:
                 if not len(s):
                     grp.append(0)
                     prefix.append(None)
+                    hot.append(0)
                     continue
-                first = s[np.argsort(table[bucket(s, bits)], kind="stable")[: len(s) - -(-percent * len(s) // 100) + 1]]
-                g = xxhash.xxh3_64_intdigest(first.tobytes() + len(s).to_bytes(8, "little"))
-                grp.append(g - (1 << 63))
+                frequent = table[bucket(s, bits)]
+                order = np.argsort(frequent, kind="stable")[: len(s) - -(-percent * len(s) // 100) + 1]
+                first = s[order]
+                hot.append(int(np.searchsorted(frequent[order], HOT, "right")))
+                g = group_of(first, len(s))
+                grp.append(g)
                 if g in seen:
                     prefix.append(None)
                 else:
@@ -73,11 +80,45 @@ def described(docs: DataFrame, counts: np.ndarray, words: int = WORDS, percent:
                     seen.add(g)
                     prefix.append(first.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.array(grp, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
-                ["doc_id", "n", "sig", "grp", "prefix"],
+                [batch.column(0), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.array(grp, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(hot, pa.int32())],
+                ["doc_id", "n", "sig", "grp", "prefix", "hot"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(describe, f"doc_id {kind}, n int, sig binary, grp bigint, prefix array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(describe, f"doc_id {kind}, n int, sig binary, grp bigint, prefix array<bigint>, hot int")
+
+
+def rests(docs: DataFrame, few: DataFrame, counts: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Per node of `few` (grp, node, component): grp, node, component, token, its shingles one of which a
+    linked set of the same group must have, too.
+
+    Sets of a group share their prefix. A link needs so many more of the rest in common that, of the
+    rest from rare to frequent, they share one among the first.
+    """
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(counts)
+    bits = int(len(counts)).bit_length() - 1
+    kind = docs.select("doc_id").schema[0].dataType.simpleString()
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grp, tokens = [], []
+            for text in batch.column(1).to_pylist():
+                s = shingles(text, words)
+                order = np.argsort(shared.value[bucket(s, bits)], kind="stable")
+                p = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
+                more = max(1, -(-2 * percent * len(s) // (100 + percent)) - p)
+                grp.append(group_of(s[order[:p]], len(s)) if p else 0)
+                tokens.append(s[order[p : len(s) - more + 1]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grp, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["node", "grp", "tokens"])
+
+    ends = few.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    found = among(docs.select(F.col("doc_id").alias("id"), "text"), ends).mapInArrow(firsts, f"node {kind}, grp bigint, tokens array<bigint>")
+    return few.join(found, ["grp", "node"]).select("grp", "node", "component", F.explode("tokens").alias("token")).distinct()
+
+
+def group_of(prefix: np.ndarray, n: int) -> int:
+    """The number of the group that sets with this prefix and size are in."""
+    return xxhash.xxh3_64_intdigest(prefix.tobytes() + n.to_bytes(8, "little")) - (1 << 63)
 
 
 def needed(p: str, q: str, percent: int = PERCENT) -> Column:
@@ -97,11 +138,18 @@ def postings(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per prefix shingle in two groups or more, and group: token, grp, n, pos, family (groups of the
     shingle), and first (the group that has it at the earliest place).
 
-    Places too late for a link with the smallest group of the shingle are left out.
+    Places too late for a link with the smallest group of the shingle are left out. The groups of a
+    shingle are gathered by one shuffle, unless it is frequent: what is asked of a frequent one is added
+    up before a shuffle and joined to its groups, and such a join can be split.
     """
-    every = rows.filter("prefix is not null").select("grp", "n", F.posexplode("prefix").alias("pos", "token")).repartition("token").dropDuplicates(["token", "grp"])
+    own = rows.filter("prefix is not null")
+    every = own.select("grp", "n", F.posexplode(F.slice("prefix", F.lit(1), F.col("hot"))).alias("pos", "token")).repartition("token").dropDuplicates(["token", "grp"])
     family = Window.partitionBy("token")
     shared = every.withColumn("family", F.count("*").over(family)).filter("family > 1").withColumn("_least", F.min("n").over(family)).withColumn("first", F.min(F.struct("pos", "grp", "n")).over(family))
+    hot = own.filter("hot < size(prefix)").select("grp", "n", "hot", F.posexplode(F.slice("prefix", F.col("hot") + 1, F.size("prefix"))).alias("pos", "token")).select("grp", "n", (F.col("pos") + F.col("hot")).alias("pos"), "token")
+    hot = written(hot.dropDuplicates(["token", "grp"]), "frequent")
+    told = hot.groupBy("token").agg(F.count("*").alias("family"), F.min("n").alias("_least"), F.min(F.struct("pos", "grp", "n")).alias("first")).filter("family > 1")
+    shared = shared.unionByName(hot.join(told, "token"))
     return shared.filter((F.col("n") - F.col("pos")) * (100 + percent) >= (F.col("n") + F.greatest(F.col("_least"), F.col("n") * percent / 100)) * percent).drop("_least")
 
 
@@ -173,7 +221,8 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: int
 
 def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n, sig, grp, node) and, of the nodes with a link, their components."""
-    rows = written(described(docs, sketch(docs, words=words), words, percent), "described")
+    counts = sketch(docs, words=words)
+    rows = written(described(docs, counts, words, percent), "described")
     nodes = written(rows.filter("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("node"), F.first("grp").alias("grp"), F.first("n").alias("n")), "nodes")
     shared = written(postings(rows, percent), "postings")
     members = nodes.select("grp", "node")
@@ -184,8 +233,8 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple
         return out.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).filter("a <> b")
 
     # groups of several nodes: same prefix and size, sets that differ beyond the prefix
-    ends = Window.partitionBy("grp")
-    several = nodes.select("grp", "node", F.count("*").over(ends).alias("family"), F.min("node").over(ends).alias("first"), F.max("node").over(ends).alias("last")).filter("family > 1")
+    ends = nodes.groupBy("grp").agg(F.count("*").alias("family"), F.min("node").alias("first"), F.max("node").alias("last")).filter("family > 1")
+    several = written(members.join(ends, "grp"), "several")
 
     # large families: every group with the one that has the shingle earliest, which has least of its own
     over = F.col("family") > FAMILY
@@ -205,9 +254,10 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple
         open_ = open_.join(of_group, "grp")
     else:
         open_ = open_.withColumn("lo", F.col("grp")).withColumn("hi", F.col("grp"))
-    # groups outside the component of the earliest one meet all of the shingle; those inside are settled
-    token = Window.partitionBy("token")
-    open_ = open_.withColumn("_main", F.min(F.struct("pos", "grp", "lo")).over(token)).withColumn("main", (F.col("lo") == F.col("hi")) & (F.col("lo") == F.col("_main.lo"))).drop("_main")
+    # groups outside the shingle's largest component meet all of the shingle; those inside are settled
+    open_ = written(open_, "open")
+    largest = open_.filter("lo = hi").groupBy("token", "lo").count().groupBy("token").agg(F.min_by("lo", F.struct(-F.col("count"), "lo")).alias("_main"))
+    open_ = open_.join(largest, "token", "left").withColumn("main", F.coalesce((F.col("lo") == F.col("hi")) & (F.col("lo") == F.col("_main")), F.lit(False))).drop("_main")
     side = lambda k: ["token", *[F.col(c).alias(f"{k}_{c}") for c in ("grp", "n", "pos", "lo", "hi", "main")]]
     apart = (F.col("x_lo") != F.col("x_hi")) | (F.col("y_lo") != F.col("y_hi")) | (F.col("x_lo") != F.col("y_lo"))
     met = open_.filter("not main").select(side("x")).join(open_.select(side("y")), "token")
@@ -218,15 +268,23 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple
     met = met.groupBy("x", "y").agg(F.count("*").alias("k"), F.max("i").alias("i"), F.max("j").alias("j"), F.first("p").alias("p"), F.first("q").alias("q"))
     # up to the last shared shingle the common ones are counted; after it, what remains of the shorter rest
     met = met.filter((F.col("k") + F.least(F.col("p") - F.col("i"), F.col("q") - F.col("j")) - 1) * (100 + percent) >= (F.col("p") + F.col("q")) * percent)
-    within = several.join(at.select("node", "component"), "node").select("grp", "node", "component")
-    twice = within.select("grp", F.col("node").alias("a"), F.col("component").alias("c")).join(within.select("grp", F.col("node").alias("b"), F.col("component").alias("d")), "grp").filter("a < b and c <> d").select("a", "b")
-    pairs = written(expanded(met.select("x", "y")).unionByName(twice).distinct(), "pairs")
+    pairs = expanded(met.select("x", "y"))
+    # sets of one group that are still apart meet by what they share of the rest
+    within = several.select("grp", "node").join(at.select("node", "component"), "node")
+    split = within.groupBy("grp").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi").select("grp")
+    few = written(within.join(split, "grp").select("grp", "node", "component"), "apart")
+    if not few.isEmpty():
+        own = written(rests(docs, few, counts, words, percent), "rests")
+        other = own.select("grp", "token", F.col("node").alias("b"), F.col("component").alias("d"))
+        pairs = pairs.unionByName(own.select("grp", "token", F.col("node").alias("a"), F.col("component").alias("c")).join(other, ["grp", "token"]).filter("a < b and c <> d").select("a", "b"))
+    pairs = written(pairs.distinct(), "pairs")
     if not pairs.isEmpty():
         links = links.unionByName(verified(pairs, docs, words, percent))
         found = written(components(links), "components")
     else:
         found = known
     discard(shared)
+    discard(several)
     return rows.select("doc_id", "n", "sig").join(nodes.select("sig", "node"), "sig", "left"), found
 
 

@@ -57,6 +57,40 @@ def test_jaccard_join_equals_all_pairs(spark, monkeypatch, seed, family):
     assert found == {i: (len(sets[i]), label[i]) for i in range(len(texts))}
 
 
+@pytest.mark.parametrize("hot", [1, 30])
+def test_frequent_shingles_lose_no_link(spark, monkeypatch, hot):
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "FAMILY", 3)
+    texts = made_texts(41, 150)
+    sets = [set(shingles.shingles(t).tolist()) for t in texts]
+    label = reach(len(texts), [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs).collect()} == dict(enumerate(label))
+
+
+def test_one_prefix_of_many_sets_that_do_not_link(spark):
+    """The rare shingles at the beginning are the same in all; what follows is one of few, each frequent."""
+    r = random.Random(42)
+    head = " ".join(f"head{k}" for k in range(12))
+    blocks = [" ".join(f"b{k}x{j}" for j in range(6)) for k in range(30)]
+    texts = [head + " " + " ".join(r.sample(blocks, 5)) for _ in range(3000)]
+    texts += [" ".join(r.sample(blocks, 5)) for _ in range(3000)]  # so that the blocks are more frequent than the head
+    texts += [texts[0] + " more", texts[0].replace("head0", "head")]
+    sets = [frozenset(shingles.shingles(t).tolist()) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    found = {v["doc_id"]: v["component_id"] for v in jaccard.near_duplicates(docs).collect()}
+    by: dict = {}
+    for k, s in enumerate(sets):
+        for x in s:
+            by.setdefault(x, []).append(k)
+    common: dict = {}
+    for ks in by.values():
+        for a, b in itertools.combinations(ks, 2):
+            common[a, b] = common.get((a, b), 0) + 1
+    label = reach(len(texts), [(a, b) for (a, b), n in common.items() if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n)])
+    assert found == dict(enumerate(label))
+
+
 def test_shingles_are_of_lower_cased_ascii_words():
     assert len(shingles.shingles("A b\tC\x0bd e")) == 1
     assert (shingles.shingles("A b c d e") == shingles.shingles("a B  c\nd e")).all()
