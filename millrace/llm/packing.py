@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -27,8 +28,10 @@ from millrace.llm.bytebpe import LETTERS, NUMBERS, SPACE, json_tokenizer
 from millrace.llm.common import small_batches, written
 
 CAPACITY = 2048
-#: Distinct words that a worker keeps with their ids.
-MEMO_ENTRIES = 250_000
+#: Distinct words that each of a worker's two dictionaries of ids holds.
+MEMO_ENTRIES = 150_000
+#: Bits of the table of marks of words that came once.
+SEEN_BITS = 21
 #: Hash buckets that each length's pieces are ranked in, at least, and pieces for which one more is taken.
 RANK_BUCKETS, BUCKET_ROWS = 64, 200_000
 
@@ -44,6 +47,44 @@ def byte_letters() -> dict[int, int]:
     return {b: b for b in shown} | {b: 256 + n for n, b in enumerate(hidden)}
 
 
+#: Numbers to little-endian 32-bit ones, by how many there are.
+PACKERS = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
+
+class WordIds(dict):
+    """The ids of words, as bytes, computed once each while they are in use.
+
+    A word is kept when it comes for the second time: of its first, only a mark stays. A full dictionary
+    becomes the old one, from which words that come again are taken over.
+    """
+
+    def __init__(self, path: str, entries: int):
+        tok = json_tokenizer(path)
+        self.entries, self.old, self.seen = entries, {}, bytearray(1 << SEEN_BITS)
+        self.tokenize = tok.model.tokenize
+        self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACE}{LETTERS}{NUMBERS}]+").findall
+        self.letters = byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            if word.isascii() and word.isalpha():
+                ids = [t.id for t in self.tokenize(word)]
+            else:
+                ids = [t.id for piece in self.split(word) for t in self.tokenize(piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters))]
+            found = PACKERS[len(ids)](*ids) if len(ids) < len(PACKERS) else struct.pack(f"<{len(ids)}I", *ids)
+            h = hash(word)
+            slot, mark = h & (1 << SEEN_BITS) - 1, h >> 40 & 255 | 1
+            if self.seen[slot] != mark:
+                self.seen[slot] = mark
+                return found
+        if len(self) >= self.entries:
+            self.old = dict(self)
+            self.clear()
+        self[word] = found
+        return found
+
+
 class WordEncoder:
     """Ids of texts for a tokenizer that lower-cases, drops white space and never merges across words.
 
@@ -54,34 +95,15 @@ class WordEncoder:
 
     def __init__(self, path: str, entries: int = MEMO_ENTRIES):
         self.tok = json_tokenizer(path)
-        self.model = self.tok.model
-        self.entries = entries
-        self.ids: dict[str, bytes] = {}
         added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACE}{LETTERS}{NUMBERS}]+").findall
-        self.letters = byte_letters()
-
-    def word(self, word: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.split(word):
-            shown = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
-            ids += [t.id for t in self.model.tokenize(shown)]
-        return np.array(ids, "<u4").tobytes()
+        self.ids = WordIds(path, entries)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit numbers."""
         if DIRECT.search(text) or (self.added is not None and self.added.search(text)):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = text.lower().split()
-        try:
-            return b"".join(map(self.ids.__getitem__, words))
-        except KeyError:
-            if len(self.ids) > self.entries:
-                self.ids = {}
-            for w in set(words).difference(self.ids):
-                self.ids[w] = self.word(w)
-            return b"".join(map(self.ids.__getitem__, words))
+        return b"".join(map(self.ids.__getitem__, text.lower().split()))
 
 
 #: What a file must say of its tokenizer for WordEncoder to give what the library gives.
