@@ -92,7 +92,10 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Delete a table of written() once nothing reads it any more."""
+    """Delete a table of written() once nothing reads it any more; any other frame is left alone.
+
+    What a returned frame still reads stays until the owner of the shared folder clears it.
+    """
     path = getattr(df, "_millrace_path", None)
     if path:
         jvm = df.sparkSession.sparkContext._jvm

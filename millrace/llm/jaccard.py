@@ -216,6 +216,7 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: int
     common = F.size(F.array_intersect("a_items", "b_items"))
     links = written(both.filter(common * (100 + percent) >= (F.size("a_items") + F.size("b_items")) * percent).select("a", "b").distinct(), "verified")
     discard(known)
+    discard(likely)
     return links
 
 
@@ -244,6 +245,8 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple
     pairs = written(expanded(large).unionByName(inside).distinct(), "pairs")
     links = verified(pairs, docs, words, percent) if not pairs.isEmpty() else pairs
     known = written(components(links), "known")
+    if links is not pairs:
+        discard(pairs)
     some = not known.isEmpty()
 
     # all groups of a shingle, unless they are known to be in one component
@@ -255,7 +258,7 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple
     else:
         open_ = open_.withColumn("lo", F.col("grp")).withColumn("hi", F.col("grp"))
     # groups outside the shingle's largest component meet all of the shingle; those inside are settled
-    open_ = written(open_, "open")
+    open_ = held = written(open_, "open")
     largest = open_.filter("lo = hi").groupBy("token", "lo").count().groupBy("token").agg(F.min_by("lo", F.struct(-F.col("count"), "lo")).alias("_main"))
     open_ = open_.join(largest, "token", "left").withColumn("main", F.coalesce((F.col("lo") == F.col("hi")) & (F.col("lo") == F.col("_main")), F.lit(False))).drop("_main")
     side = lambda k: ["token", *[F.col(c).alias(f"{k}_{c}") for c in ("grp", "n", "pos", "lo", "hi", "main")]]
@@ -273,18 +276,22 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple
     within = several.select("grp", "node").join(at.select("node", "component"), "node")
     split = within.groupBy("grp").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi").select("grp")
     few = written(within.join(split, "grp").select("grp", "node", "component"), "apart")
+    own = None
     if not few.isEmpty():
         own = written(rests(docs, few, counts, words, percent), "rests")
         other = own.select("grp", "token", F.col("node").alias("b"), F.col("component").alias("d"))
         pairs = pairs.unionByName(own.select("grp", "token", F.col("node").alias("a"), F.col("component").alias("c")).join(other, ["grp", "token"]).filter("a < b and c <> d").select("a", "b"))
-    pairs = written(pairs.distinct(), "pairs")
-    if not pairs.isEmpty():
-        links = links.unionByName(verified(pairs, docs, words, percent))
-        found = written(components(links), "components")
+    met_pairs = written(pairs.distinct(), "pairs")
+    more = None
+    if not met_pairs.isEmpty():
+        more = verified(met_pairs, docs, words, percent)
+        found = written(components(links.unionByName(more)), "components")
+        discard(known)
     else:
         found = known
-    discard(shared)
-    discard(several)
+    for t in (shared, several, held, few, own, met_pairs, links, more):
+        if t is not None:
+            discard(t)
     return rows.select("doc_id", "n", "sig").join(nodes.select("sig", "node"), "sig", "left"), found
 
 
