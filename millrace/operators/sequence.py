@@ -311,15 +311,24 @@ def arithmetic(texts: pa.Array) -> pa.Array:
 
 @F.arrow_udf(STRINGS)
 def path_heads(texts: pa.Array) -> pa.Array:
-    """Sorted first segments of paths `a::b` in code, not those in strings, characters or comments."""
-    token = re.compile(r'//[^\n]*|/\*.*?(?:\*/|\Z)|r#*"(?:.*?)"#*|"(?:\\.|[^"\\])*(?:"|\Z)|\'(?:\\.[^\']*|[^\'\\])\'|(?P<head>[A-Za-z_][A-Za-z0-9_]*)(?=\s*::)|[A-Za-z_][A-Za-z0-9_]*|::', re.S)
+    """Sorted first segments of paths `a::b` in code, not those in strings, characters or comments.
+
+    A name is a head if `::` follows at once and neither `:` nor `.` is before it; inside the brackets of
+    an import, names go on from its prefix and are none.
+    """
+    token = re.compile(r'(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<text>r#*".*?"#*|"(?:\\.|[^"\\])*(?:"|\Z)|\'(?:\\.[^\']*|[^\'\\])\')|(?P<name>[A-Za-z_][A-Za-z0-9_]*)(?P<path>(?=::))?|(?P<mark>\S)', re.S)
     out = []
     for t in texts.to_pylist():
-        heads, inner = set(), False
+        heads, before, depth = set(), "\n", -1  # depth of brackets in an import; -1 outside
         for m in token.finditer(t or ""):
-            if m["head"] and not inner:
-                heads.add(m["head"])
-            inner = m[0] == "::"
+            if m["name"]:
+                if m["name"] == "use" and before in "\n;{}":
+                    depth = 0
+                if m["path"] is not None and before not in ":." and depth < 1:
+                    heads.add(m["name"])
+            elif m["mark"] and depth >= 0:
+                depth = -1 if m["mark"] == ";" else depth + (m["mark"] == "{") - (m["mark"] == "}")
+            before = m["mark"] or ("\n" if m["comment"] else "a")
         out.append(sorted(heads))
     return pa.array(out, pa.list_(pa.string()))
 

@@ -100,15 +100,41 @@ def _(t):
     return sequence.split_contract(sequence.brace_blocks(_code(t))).select("file", "signatures")
 
 
-@query("w08_statements", "SELECT p_partkey, concat('let a = f(1; 2);|let b = \";\";|let c = '';'';|end', p_size) AS found FROM part")
-def _(t):
-    text = F.concat(F.lit("let a = f(1; 2); let b = \";\"; let c = ';'; end"), F.col("p_size").cast("string"))
+#: Texts and their statements: brackets, quotes, characters, escapes, nothing, and an end that isn't closed.
+STATEMENTS = (
+    ("let a = f(1; 2); let b = \";\"; let c = ';'; end", "let a = f(1; 2);|let b = \";\";|let c = ';';|end"),
+    ("", ""),
+    (";;", ";|;"),
+    ("x = {{ a; b }}; y = [1; 2]", "x = {{ a; b }};|y = [1; 2]"),
+    ("s = \"\\\";\"; t", "s = \"\\\";\";|t"),
+    ("a(; b; c", "a(; b; c"),
+    ("c = '\\n'; d<'a>; e", "c = '\\n';|d<'a>;|e"),
+    ("  p ;\n q  ; ", "p ;|q  ;"),
+)
+
+
+@query("w08_statements", "SELECT p_partkey, CASE p_partkey % 8 " + " ".join("WHEN {} THEN '{}'".format(k, want.replace("'", "''")) for k, (_, want) in enumerate(STATEMENTS)) + " END AS found FROM part")
+def _(t):
+    text = F.element_at(F.array(*[F.lit(x) for x, _ in STATEMENTS]), (F.col("p_partkey") % 8 + 1).cast("int"))
     return t.part.select("p_partkey", F.array_join(sequence.statements(text), "|").alias("found"))
 
 
-@query("w09_path_heads", "SELECT p_partkey, concat('a,h', p_size, ',std') AS heads FROM part")
+#: Texts and the heads of their paths: strings, raw strings, characters, comments, nesting, nothing.
+HEADS = (
+    ("use std::io; /* no::x */ a::b::c(); let s = \"q::r\"; // z::y\nlet c = ':'; h::f();", "a,h,std"),
+    ("", ""),
+    ("x.y(z)", ""),
+    ("r#\"in::raw\"# + out::er(in_::ner())", "in_,out"),
+    ("/* open::a", ""),
+    ("crate::a::b :: c; Self ::new()", "crate"),
+    ("use a::{b::c, d}; e.f::<g::H>(); x: i::J; pub use j::K", "a,g,j"),
+    ("'a' ; '\\'' ; k::v::<T::U>()", "T,k"),
+)
+
+
+@query("w09_path_heads", "SELECT p_partkey, CASE p_partkey % 8 " + " ".join(f"WHEN {k} THEN '{want}'" for k, (_, want) in enumerate(HEADS)) + " END AS heads FROM part")
 def _(t):
-    text = F.concat(F.lit("use std::io; /* no::x */ a::b::c(); let s = \"q::r\"; // z::y\nlet c = ':'; h"), F.col("p_size").cast("string"), F.lit("::f();"))
+    text = F.element_at(F.array(*[F.lit(x) for x, _ in HEADS]), (F.col("p_partkey") % 8 + 1).cast("int"))
     return t.part.select("p_partkey", F.array_join(sequence.path_heads(text), ",").alias("heads"))
 
 
@@ -124,10 +150,13 @@ def _(t):
     return sequence.in_comment(_lines(t).withColumn("line", line), "doc_id").select("doc_id", "pos", "inside")
 
 
-@query("w11_use_lines_once", f"WITH {LINES} SELECT doc_id, pos FROM l WHERE pos % 3 <> 0 OR pos IN (0, 3)")
+@query("w11_use_lines_once", f"""WITH {LINES}, m AS (SELECT doc_id, pos, CASE (doc_id + pos * pos) % 7 WHEN 0 THEN 'same' WHEN 1 THEN 'user x' ELSE concat('use a', (doc_id + pos) % 5, ';') END AS x FROM l)
+    SELECT doc_id, pos FROM m WHERE NOT starts_with(x, 'use ') OR NOT EXISTS (SELECT 1 FROM m b WHERE b.doc_id = m.doc_id AND b.x = m.x AND b.pos < m.pos)""")
 def _(t):
-    line = F.when(F.col("pos") % 3 == 0, F.concat(F.lit(" use a"), (F.col("pos") % 6).cast("string"), F.lit(";"))).otherwise(F.lit("same"))
-    return sequence.use_lines_once(_lines(t).withColumn("line", line), "doc_id").select("doc_id", "pos")
+    """Imports repeat at any distance, some indented; other lines repeat, too, and stay."""
+    n = (F.col("doc_id") + F.col("pos") * F.col("pos")) % 7
+    use = F.concat(F.when(F.col("pos") % 2 == 0, "  ").otherwise(""), F.lit("use a"), ((F.col("doc_id") + F.col("pos")) % 5).cast("string"), F.lit("; "))
+    return sequence.use_lines_once(_lines(t).withColumn("line", F.when(n == 0, "same").when(n == 1, "user x").otherwise(use)), "doc_id").select("doc_id", "pos")
 
 
 @query("w12_new_leaves", "SELECT l_orderkey AS module, l_linenumber AS pos FROM lineitem a WHERE NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND b.l_suppkey = a.l_suppkey AND b.l_linenumber < a.l_linenumber) GROUP BY 1, 2")
@@ -138,14 +167,20 @@ def _(t):
     return new_leaves_only(uses).select("module", "pos")
 
 
-@query("w13_blank_runs", f"WITH {LINES} SELECT doc_id, pos FROM l WHERE pos % 3 <> 2")
+@query("w13_blank_runs", f"""WITH {LINES}, m AS (SELECT doc_id, pos, (doc_id + pos * pos) % 5 < 3 AS blank FROM l)
+    SELECT doc_id, pos FROM (SELECT *, lag(blank) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM m) WHERE NOT (blank AND coalesce(before, false))""")
 def _(t):
-    return sequence.blank_runs_once(_lines(t).withColumn("line", F.when(F.col("pos") % 3 == 0, "x").otherwise(" ")), "doc_id").select("doc_id", "pos")
+    """Blank lines in runs of any length, of nothing or of spaces."""
+    n = (F.col("doc_id") + F.col("pos") * F.col("pos")) % 5
+    return sequence.blank_runs_once(_lines(t).withColumn("line", F.when(n >= 3, "x").when(n == 1, "").otherwise("  ")), "doc_id").select("doc_id", "pos")
 
 
-@query("w14_attribute_above", f"WITH {LINES} SELECT doc_id, pos, CASE WHEN pos = 0 THEN NULL WHEN pos % 3 = 0 THEN concat('x', pos - 3) ELSE concat('x', pos - pos % 3) END AS above FROM l")
+@query("w14_attribute_above", f"""WITH {LINES}, m AS (SELECT doc_id, pos, (doc_id + pos * pos) % 4 < 3 AS told FROM l)
+    SELECT doc_id, pos, (SELECT concat('x', max(b.pos)) FROM m b WHERE b.doc_id = m.doc_id AND b.pos < m.pos AND NOT b.told HAVING count(*) > 0) AS above FROM m""")
 def _(t):
-    line = F.when(F.col("pos") % 3 == 0, F.concat(F.lit(" x"), F.col("pos").cast("string"))).otherwise(F.lit("/// doc"))
+    """Documentation in runs of any length, also at the beginning."""
+    told = (F.col("doc_id") + F.col("pos") * F.col("pos")) % 4 < 3
+    line = F.when(told, F.lit("  /// doc")).otherwise(F.concat(F.lit(" x"), F.col("pos").cast("string")))
     return sequence.attribute_above(_lines(t).withColumn("line", line), "doc_id").select("doc_id", "pos", "above")
 
 
