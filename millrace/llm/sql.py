@@ -41,3 +41,47 @@ WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embedd
 SELECT v.vec_id, (SELECT count(*) FROM links WHERE a = v.vec_id) AS n_links, least(v.vec_id, coalesce(l.b, v.vec_id)) AS component_id, least(v.vec_id, coalesce(l.b, v.vec_id)) = v.vec_id AS kept
 FROM v LEFT JOIN least_of l ON l.a = v.vec_id
 """
+
+_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# crc32 of a list of bytes, by the table that its polynomial gives
+_CRC = """crc AS MATERIALIZED (SELECT list(r ORDER BY i) AS crc FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS r FROM range(256) AS t(i)))"""
+
+
+def _crc32(text: str) -> str:
+    """crc32 of a text's UTF-8, for code points below U+0800; `crc` must be in scope."""
+    points = f"list_transform(string_split({text}, ''), lambda x: ord(x))"
+    data = f"flatten(list_transform({points}, lambda p: CASE WHEN p < 128 THEN [p] ELSE [192 + (p >> 6), 128 + (p & 63)] END))"
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform({data}, lambda x: x::BIGINT)), lambda c, x: xor(c >> 8, crc[1 + (xor(c, x) & 255)])), 4294967295)"
+
+
+op11_spelling_variants = f"""
+WITH RECURSIVE {_CRC},
+    runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[a-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY 1, 2),
+    drawn AS MATERIALIZED (SELECT run, n, {_crc32("doc_id::VARCHAR || ':' || run")} AS h FROM runs, crc),
+    words AS MATERIALIZED (SELECT CASE WHEN h % 31 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n FROM drawn GROUP BY 1 HAVING length(word) >= 7 AND sum(n) >= 2),
+    less AS MATERIALIZED (SELECT word, n, p, word[:p] || word[p + 2:] AS rest FROM (SELECT word, n, unnest(range(length(word))) AS p FROM words)),
+    one AS (SELECT x.word AS a, x.n AS n_a, y.word AS b, y.n AS n_b FROM less x JOIN less y ON x.rest = y.rest AND x.p = y.p AND x.word <> y.word
+        UNION SELECT w.word, w.n, l.word, l.n FROM words w JOIN less l ON w.word = l.rest UNION SELECT l.word, l.n, w.word, w.n FROM words w JOIN less l ON w.word = l.rest),
+    near AS (SELECT a AS word, count(*) AS n_near, max(n_b) AS most FROM one GROUP BY 1),
+    best AS (SELECT a AS word, min(b) AS b FROM one JOIN near ON near.word = a AND n_b = most WHERE n_b >= 10 * n_a GROUP BY 1),
+    way AS (SELECT word, word AS at FROM words UNION SELECT way.word, b FROM way JOIN best ON best.word = way.at),
+    roots AS (SELECT way.word, way.at AS root FROM way WHERE way.at NOT IN (SELECT word FROM best))
+SELECT words.word, best.b AS form, roots.root, words.n, coalesce(near.n_near, 0) AS n_near, CASE WHEN best.b IS NOT NULL THEN near.most END AS form_n
+FROM words LEFT JOIN near USING (word) LEFT JOIN best USING (word) JOIN roots USING (word)
+"""
+
+op12_source_divergence = f"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER.format("text")} AS text FROM documents),
+    t AS (SELECT k, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+    kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY 1, 2 HAVING count(DISTINCT k) >= 30),
+    groups AS (SELECT DISTINCT lang, source FROM d),
+    counts AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+    every AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, kept.n AS lang_n FROM groups g JOIN kept ON kept.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+    shares AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER g + 5 * count(*) OVER g) AS p, 1 + (1000000000::HUGEINT * (lang_n + 5)) // (sum(lang_n) OVER g + 5 * count(*) OVER g) AS q FROM every WINDOW g AS (PARTITION BY lang, source)),
+    apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+    pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(apart.value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart ON apart.lang = a.lang AND apart.source = a.source AND apart.item = b.source),
+    parts AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM parts)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
