@@ -85,3 +85,24 @@ WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesc
     ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM parts)
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
 """
+
+op13_katz_scores = f"""
+WITH {_CRC},
+    d AS MATERIALIZED (SELECT doc_id, {_crc32("doc_id::VARCHAR")} % 5 = 1 AS held_out, list_append(regexp_extract_all({_LOWER.format("text")}, '[^\\x20\\x09-\\x0D]+'), chr(10)) AS w FROM documents, crc),
+    t AS MATERIALIZED (SELECT doc_id, held_out, unnest(list_prepend(' ', w)[:len(w)]) AS h, unnest(w) AS w FROM d),
+    uni AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1),
+    bi AS (SELECT h, w, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1, 2),
+    having_ AS (SELECT 1 AS k, c, count(*) AS n FROM uni GROUP BY c UNION ALL SELECT 2, c, count(*) FROM bi GROUP BY c),
+    cuts AS (SELECT k, cut, (cut + 1) * b.n / a.n AS x FROM having_ a JOIN having_ b USING (k) JOIN range(2, 6) AS r(cut) ON b.c = cut + 1 WHERE a.c = 1),
+    shares AS (SELECT k, cut, a.c, ((a.c + 1) * b.n / (a.c * a.n) - x) / (1 - x) AS keeps FROM cuts JOIN having_ a USING (k) JOIN having_ b USING (k) WHERE x < 1 AND a.c <= cut AND b.c = a.c + 1),
+    chosen AS (SELECT k, max(cut) AS cut FROM (SELECT k, cut FROM shares GROUP BY 1, 2 HAVING count(*) = cut AND min(keeps) > 0 AND max(keeps) < 1) GROUP BY 1),
+    kept AS (SELECT k, c, CASE WHEN cut IS NULL THEN c - 0.5::DOUBLE ELSE c * coalesce(keeps, 1) END AS d FROM having_ LEFT JOIN chosen USING (k) LEFT JOIN shares USING (k, cut, c)),
+    total AS (SELECT sum(c) AS n, count(*) AS v, sum(c - d) / sum(c) AS unknown FROM uni JOIN (SELECT c, d FROM kept WHERE k = 1) USING (c)),
+    p AS (SELECT w, c, d / n AS p FROM uni JOIN (SELECT c, d FROM kept WHERE k = 1) USING (c), total),
+    seen AS (SELECT h, w, c, d FROM bi JOIN (SELECT c, d FROM kept WHERE k = 2) USING (c)),
+    sums AS (SELECT h, sum(seen.c) AS c, fsum(seen.c - d) AS taken, fsum(p.p) AS s FROM seen JOIN p USING (w) GROUP BY 1),
+    after AS (SELECT h, c + (taken = 0)::INT AS c, CASE WHEN taken = 0 THEN 1 ELSE taken END / (c + (taken = 0)::INT) / (1 - s) AS back FROM sums),
+    each AS (SELECT doc_id, held_out, p.c, log10((coalesce(p.c, 0) + 0.5) / (n + 0.5 * (v + 1))) AS base, log10(CASE WHEN seen.w IS NOT NULL THEN seen.d / after.c ELSE coalesce(back, 1) * coalesce(p.p, unknown) END) AS score
+        FROM t LEFT JOIN p ON p.w = t.w LEFT JOIN seen ON seen.h = t.h AND seen.w = t.w LEFT JOIN after ON after.h = t.h, total)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, (SELECT n FROM total)::BIGINT AS train_tokens, fsum(base) AS base_score, fsum(score) AS score FROM each GROUP BY 1, 2
+"""
