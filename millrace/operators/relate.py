@@ -76,29 +76,12 @@ def packages_of(edges: DataFrame, packages: DataFrame) -> DataFrame:
     return found.withColumn("ord", F.row_number().over(order) - 1)
 
 
-def mentions(texts: DataFrame, names: DataFrame, key: str, text: str, name: str) -> DataFrame:
-    """Which names occur in which texts as words: key, name.
-
-    An equi-join on words, not a loop over all pairs: names are compared with the distinct words of a
-    text, so names of several words don't match.
-    """
-    words = texts.select(key, F.explode(F.array_distinct(F.split(F.lower(F.col(text)), "[^\\p{L}\\p{N}_]+"))).alias("_w"))
-    return words.join(names.select(name, F.lower(F.col(name)).alias("_w")).distinct(), "_w").select(key, name)
-
-
 def attributed(diags: DataFrame, roots: DataFrame) -> DataFrame:
     """Errors of each package's root file that aren't about imports: root, errors."""
     at = C.errors(diags).filter(C.not_import(F.col("code")))
     return at.join(roots.select("root", F.concat(F.lit("src/"), "root", F.lit("/mod.rs")).alias("file")), "file").groupBy("root").agg(F.count("*").alias("errors"))
 
 
-def by_suffix(diags: DataFrame, files: DataFrame) -> DataFrame:
-    """Diagnostics and files where one path ends with the other: joined on the last segment, then compared."""
-    a = diags.withColumn("_last", F.substring_index(F.translate("file", "\\", "/"), "/", -1))
-    b = files.select("path", F.substring_index(F.translate("path", "\\", "/"), "/", -1).alias("_last"))
-    return a.join(b, "_last").filter(C.same_suffix(F.col("file"), F.col("path"))).drop("_last")
-
-
 def defined(uses: DataFrame, items: DataFrame) -> DataFrame:
     """Identifiers (use) with their definitions (name, module), one row each."""
     return uses.join(items, uses["use"] == items["name"])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import classify as C
-from millrace.operators import graph, relate, retrieve, rollup, sequence, verify
+from millrace.operators import contain, graph, relate, retrieve, rollup, sequence, verify
 from millrace.plans.by_rule import FAMILY, LANG, PRIORITY, RANK
 from millrace.plans.catalog import query
 from millrace.sources import tree
@@ -56,10 +56,22 @@ def _(t):
     return relate.packages_of(_edges(t), packages).withColumn("ord", F.col("ord").cast("bigint"))
 
 
-@query("j07_mentions", "SELECT DISTINCT doc_id, name FROM (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'))) AS name FROM documents) WHERE name IN ('the', 'der', 'queue', 'una', 'erst')")
+#: Words and sentences of passages, as names: with dots, commas and spaces, many inside one another, in either case.
+NAMES_SAID = "(SELECT item_id AS root, unnest(list_concat(string_split(text, ' '), string_split(text, '. '))) AS name FROM benchmark)"
+
+
+def _said(t):
+    return t.benchmark.select(F.col("item_id").alias("root"), F.explode(F.concat(F.split("text", " "), F.split("text", "\\. "))).alias("name"))
+
+
+@query("j07_mentions", f"SELECT doc_id, name FROM documents JOIN (SELECT DISTINCT name FROM {NAMES_SAID}) ON contains(text, name)")
+def _(t):
+    return contain.mentions(t.documents, _said(t), "doc_id", "text", "name")
+
+
+@query("j07_mentioned_roots", f"SELECT doc_id, name, root FROM documents JOIN (SELECT name, min(root) AS root FROM {NAMES_SAID} GROUP BY 1 HAVING count(DISTINCT root) = 1) ON contains(text, name)")
 def _(t):
-    names = t.spark.createDataFrame([(x,) for x in ("the", "der", "queue", "una", "erst")], "name string")
-    return relate.mentions(t.documents, names, "doc_id", "text", "name")
+    return contain.mentioned_roots(t.documents, _said(t), "doc_id", "text")
 
 
 @query("j08_attributed", f"SELECT split_part(file, '/', 2) AS root, count(*) AS errors FROM diags WHERE {RANK} >= 3 AND (code IS NULL OR code NOT IN ('E0432', 'E0433', 'E0405', 'E0412')) AND split_part(file, '/', 2) IN ('core', 'api') GROUP BY 1")
@@ -67,10 +79,16 @@ def _(t):
     return relate.attributed(t.diags, t.spark.createDataFrame([("core",), ("api",), ("zzz",)], "root string"))
 
 
-@query("j09_by_suffix", "SELECT ord, file, concat('/w/', file) AS path FROM diags WHERE split_part(file, '/', 2) <> 'lib' UNION ALL SELECT ord, file, 'mod.rs' FROM diags")
+@query("j09_by_suffix", """WITH d AS (SELECT ord, CASE ord % 6 WHEN 0 THEN path WHEN 1 THEN concat('/w/', path) WHEN 2 THEN concat('src\\do', path) WHEN 3 THEN replace(path, '/', '\\') WHEN 4 THEN regexp_replace(path, '^[^/]*/', '') ELSE 'mod.rs' END AS file FROM files),
+    p AS (SELECT DISTINCT path FROM files UNION ALL SELECT 'mod.rs' UNION ALL SELECT '/w/src/core/mod.rs'),
+    x AS (SELECT DISTINCT file, path FROM (SELECT DISTINCT file, replace(file, '\\', '/') AS a FROM d) JOIN (SELECT path, replace(path, '\\', '/') AS b FROM p) ON ends_with(a, b) OR ends_with(b, a))
+    SELECT ord, file, path FROM d JOIN x USING (file)""")
 def _(t):
-    files = t.spark.createDataFrame([(f"/w/src/{x}/mod.rs",) for x in ("core", "util", "api", "tests")] + [("mod.rs",), ("/w/x.rs",)], "path string")
-    return relate.by_suffix(t.diags.select("ord", "file"), files)
+    """Files with a folder or part of a name before them, other separators, or without their first folder; and a short one."""
+    path, kind = F.col("path"), F.col("ord") % 6
+    file = F.when(kind == 0, path).when(kind == 1, F.concat(F.lit("/w/"), path)).when(kind == 2, F.concat(F.lit("src\\do"), path)).when(kind == 3, F.translate(path, "/", "\\")).when(kind == 4, F.regexp_replace(path, "^[^/]*/", "")).otherwise("mod.rs")
+    more = t.spark.createDataFrame([("mod.rs",), ("/w/src/core/mod.rs",)], "path string")
+    return contain.by_suffix(t.files.select("ord", file.alias("file")), t.files.select("path").distinct().unionByName(more))
 
 
 @query("j10_definitions", "SELECT i.use, i.n, it.module FROM (SELECT DISTINCT o_orderkey AS n, concat('Item_', o_orderkey % 500) AS use FROM orders) i JOIN items it ON it.name = i.use")

@@ -35,3 +35,22 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows from files in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """The same rows from a table below the shared folder, which dropped() deletes once nothing reads it any more."""
+    path = folder(df.sparkSession, what)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._millrace_path = path  # type: ignore[attr-defined]
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete tables of stored(); any other frame is left alone."""
+    for df in frames:
+        path = getattr(df, "_millrace_path", None)
+        if path:
+            context = df.sparkSession.sparkContext
+            p = context._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
