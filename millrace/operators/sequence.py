@@ -16,6 +16,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, Stri
 
 from millrace.functions import text as T
 from millrace.operators import classify as C
+from millrace.operators import scan
 
 #: Types as objects: a string would need a session to be parsed in.
 STRINGS = ArrayType(StringType())
@@ -59,38 +60,6 @@ def in_order(df: DataFrame, key: str, order: list[str], fold: Callable[[], Calla
     return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
-def greedy_bins(sized: DataFrame, key: str, budget: int = BUDGET) -> DataFrame:
-    """Rows (key, pos, tokens) with the bin they go to: a new bin when the open one, not empty, would overflow."""
-
-    def fold():
-        bin_, used, n = 0, 0, 0
-
-        def put(row):
-            nonlocal bin_, used, n
-            if row is None:
-                return []
-            if used + row[2] > budget and n:
-                bin_, used, n = bin_ + 1, 0, 0
-            used, n = used + row[2], n + 1
-            return [(row[0], row[1], row[2], bin_)]
-
-        return put
-
-    rows = sized.select(key, F.col("pos").cast("bigint").alias("pos"), F.col("tokens").cast("bigint").alias("tokens"))
-    return in_order(rows, key, ["pos"], fold, StructType([*rows.schema.fields, StructField("bin", LongType())]))
-
-
-def with_preamble(bins: DataFrame, preambles: DataFrame, key: str, budget: int = BUDGET) -> DataFrame:
-    """Bins (key, bin, tokens) with a text's preamble (key, tokens) in the first if it fits, else before it; renumbered."""
-    first = bins.join(preambles.select(key, F.col("tokens").alias("_pre")), key, "left")
-    fits = F.coalesce(F.col("_pre"), F.lit(0)) + F.first("tokens").over(Window.partitionBy(key).orderBy("bin")) <= budget
-    first = first.withColumn("_fits", fits)
-    added = first.filter("bin = 0 and not _fits and _pre is not null").select(key, F.lit(-1).cast("bigint").alias("bin"), F.col("_pre").alias("tokens"))
-    own = first.select(key, "bin", (F.col("tokens") + F.when((F.col("bin") == 0) & F.col("_fits"), F.coalesce("_pre", F.lit(0))).otherwise(0)).alias("tokens"))
-    order = Window.partitionBy(key).orderBy("bin")
-    return own.unionByName(added).withColumn("bin", F.row_number().over(order) - 1)
-
-
 def line_blocks(lines: DataFrame, key: str, budget: int = BUDGET) -> DataFrame:
     """Blocks of a fixed number of lines: key, block, first, last, bytes."""
     n = max(50, budget * 4 // 80)
@@ -106,10 +75,15 @@ def budgeted(blocks: DataFrame, key: str, order: str, text: str, budget: int, ru
     skip: the blocks of all groups of a key share the budget, in the order of groups; a block that
     does not leave the whole below the budget ends its group, and the next group goes on. Blocks that
     were taken are joined by one byte each.
+
+    Running sums come from a prefix scan, so a key's blocks may be any number. For `skip` they leave of each
+    group what fits the budget by itself, at most as many blocks with text as bytes; only that goes on in order.
     """
-    size = F.octet_length(text)
+    keys = [key] if rule != "skip" else [key, group]
+    sized = blocks.select(*keys, F.col(order).alias("_order"), F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("_size"))
+    rows = scan.placed(sized, keys, ["_order"])
     if rule == "skip":
-        rows = blocks.select(key, F.coalesce(size, F.lit(0)).cast("bigint").alias("_size"), F.col(group).alias("_group"), F.col(order).alias("_order"))
+        total = scan.running(rows, keys, _sum=("sum", F.col("_size"))).filter(F.col("_sum") - F.col("_size") < budget)
 
         def fold():
             used, n, ended, name = 0, 0, object(), None
@@ -128,9 +102,9 @@ def budgeted(blocks: DataFrame, key: str, order: str, text: str, budget: int, ru
 
             return put
 
-        return in_order(rows, key, ["_group", "_order"], fold, StructType([rows.schema[0], StructField("blocks", LongType()), StructField("bytes", LongType())]))
-    run = Window.partitionBy(key).orderBy(order)
-    total = blocks.withColumn("_size", size).withColumn("_sum", F.sum("_size").over(run))
+        few = total.select(key, "_size", F.col(group).alias("_group"), "_order")
+        return in_order(few, key, ["_group", "_order"], fold, StructType([few.schema[0], StructField("blocks", LongType()), StructField("bytes", LongType())]))
+    total = scan.running(rows, keys, _sum=("sum", F.col("_size")))
     if rule == "before":
         return total.filter(F.col("_sum") <= budget).groupBy(key).agg(F.count("*").alias("blocks"), F.sum("_size").alias("bytes"))
     if rule == "after":
@@ -386,8 +360,9 @@ def newest_first(df: DataFrame, key: str, time: str, order: str) -> DataFrame:
 
 
 def renumbered(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Rows with their place from 0 among their key's."""
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)
+    """Rows with their place from 0 among their key's, however many a key has."""
+    rows = scan.placed(df, [key], [order])
+    return scan.running(rows, [key], place=("sum", F.lit(1).cast("bigint"))).withColumn("place", F.col("place") - 1).drop(scan.PART, scan.AT)
 
 
 @F.arrow_udf(RANGES)

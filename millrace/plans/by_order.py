@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import classify as C
-from millrace.operators import sequence
+from millrace.operators import bins, sequence
 from millrace.plans import machine
 from millrace.plans.catalog import query
 from millrace.sources import records, sinks
@@ -44,7 +44,7 @@ BINS = SPANS.replace("WITH ", "WITH RECURSIVE ", 1) + """, r AS (SELECT *, row_n
 
 @query("w02_greedy_bins", f"{BINS} SELECT path, pos, tokens, bin FROM b")
 def _(t):
-    return sequence.greedy_bins(sequence.spans(_marked(t)), "path", 200)
+    return bins.greedy_bins(sequence.spans(_marked(t)), "path", 200)
 
 
 @query("w03_preamble", f"""{BINS}, g AS (SELECT path, bin, CAST(sum(tokens) AS BIGINT) AS tokens FROM b GROUP BY 1, 2), p AS (SELECT path, CAST(ceil((sum(strlen(line) + 1) - 1) / 4.0) AS BIGINT) AS pre FROM m JOIN (SELECT path, min(pos) AS f FROM s GROUP BY 1) USING (path) WHERE pos < f GROUP BY 1),
@@ -54,10 +54,10 @@ def _(t):
 def _(t):
     lines = _marked(t)
     spans = sequence.spans(lines)
-    bins = sequence.greedy_bins(spans, "path", 200).groupBy("path", "bin").agg(F.sum("tokens").alias("tokens"))
+    binned = bins.greedy_bins(spans, "path", 200).groupBy("path", "bin").agg(F.sum("tokens").alias("tokens"))
     before = lines.join(spans.groupBy("path").agg(F.min("pos").alias("_first")), "path").filter("pos < _first")
     preambles = before.groupBy("path").agg(F.ceil((F.sum(F.octet_length("line") + 1) - 1) / 4).cast("bigint").alias("tokens"))
-    return sequence.with_preamble(bins, preambles, "path", 200).withColumn("bin", F.col("bin").cast("bigint"))
+    return bins.with_preamble(binned, preambles, "path", 200).withColumn("bin", F.col("bin").cast("bigint"))
 
 
 @query("w04_line_blocks", f"WITH {LINES} SELECT doc_id, pos // 50 AS block, min(pos) AS first, max(pos) AS last, CAST(sum(strlen(line)) AS BIGINT) AS bytes FROM l GROUP BY 1, 2")

@@ -39,12 +39,20 @@ def _(t):
     return progress.parsed(found.select(F.col("json").alias("value"))).select("run_id", "seq", "kind")
 
 
-@query("st06_rate_gate", """WITH RECURSIVE r AS (SELECT user_id % 50 AS worker, event_id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS came, row_number() OVER (PARTITION BY user_id % 50 ORDER BY CAST(epoch(date_trunc('second', ts)) AS BIGINT), event_id) AS k FROM events),
+@query("st06_rate_gate", """WITH r AS (SELECT event_id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS came FROM events), n AS (SELECT *, row_number() OVER (ORDER BY came, event_id) * 900 AS n FROM r)
+    SELECT event_id, CAST(n + max(came - n) OVER (ORDER BY n) AS BIGINT) AS fires FROM n""")
+def _(t):
+    """One gate for all requests."""
+    return progress.gated(t.events.select("event_id", F.unix_timestamp("ts").alias("came")), "came", "event_id", 900).select("event_id", "fires")
+
+
+@query("st06_gate_of_workers", """WITH RECURSIVE r AS (SELECT user_id % 50 AS worker, event_id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS came, row_number() OVER (PARTITION BY user_id % 50 ORDER BY CAST(epoch(date_trunc('second', ts)) AS BIGINT), event_id) AS k FROM events),
     f AS (SELECT worker, event_id, k, came AS fires FROM r WHERE k = 1 UNION ALL SELECT r.worker, r.event_id, r.k, greatest(r.came, f.fires + 40000) FROM f JOIN r ON r.worker = f.worker AND r.k = f.k + 1)
     SELECT event_id, fires FROM f""")
 def _(t):
+    """One gate for each worker."""
     requests = t.events.select((F.col("user_id") % 50).alias("worker"), "event_id", F.unix_timestamp("ts").alias("came"))
-    return progress.gated(requests, "worker", "came", "event_id", 40000).select("event_id", "fires")
+    return progress.gated(requests, "came", "event_id", 40000, ["worker"]).select("event_id", "fires")
 
 
 @query("st07_single_run", """WITH RECURSIVE r AS (SELECT o_custkey, o_orderkey, o_orderkey // 4 AS b, o_orderkey // 4 + o_orderkey % 9 * 2000 AS e, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey // 4, o_orderkey) AS k FROM orders),

@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
+from millrace.operators import scan
 from millrace.operators.classify import stage_percent
 from millrace.operators.sequence import in_order
 
@@ -126,16 +127,18 @@ def events_of_reads(reads: DataFrame, key: str, order: str, text: str) -> DataFr
     return in_order(rows, key, ["_order"], fold, StructType([rows.schema[0], StructField("n", LongType()), StructField("json", StringType())]))
 
 
-def gated(requests: DataFrame, key: str, time: str, order: str, gap: int) -> DataFrame:
-    """Requests with `fires`, when a gate lets them through that keeps calls of a key `gap` apart.
+def gated(requests: DataFrame, time: str, order: str, gap: int, keys: list[str] | None = None) -> DataFrame:
+    """Requests with `fires`, when a gate lets them through that keeps calls `gap` apart.
 
-    Each fires on arrival or `gap` after the one before, whichever is later; so the n-th fires at the
-    latest of what earlier arrivals and the gaps since them come to.
+    One gate is for all workers, or one for each value of `keys`. A request fires on arrival or `gap` after
+    the one before, whichever is later; so the n-th fires at the latest of what earlier arrivals and the gaps
+    since them come to: a running maximum, by a prefix scan whose parts are side by side in time.
     """
-    at = Window.partitionBy(key).orderBy(time, order)
-    n = F.row_number().over(at)
-    spaced = requests.withColumn("_n", n * gap)
-    return spaced.withColumn("fires", F.col("_n") + F.max(F.col(time) - F.col("_n")).over(at.rowsBetween(Window.unboundedPreceding, 0))).drop("_n")
+    keys = keys or []
+    rows = scan.placed(requests, keys, [time, order])
+    counted = scan.running(rows, keys, _n=("sum", F.lit(gap).cast("bigint")))
+    spaced = scan.running(counted, keys, _late=("max", F.col(time) - F.col("_n")))
+    return spaced.withColumn("fires", F.col("_n") + F.col("_late")).drop("_n", "_late", scan.PART, scan.AT)
 
 
 def admitted(requests: DataFrame, key: str, begin: str, end: str, order: str) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import graph, sequence
+from millrace.operators import bins, graph, sequence
 from millrace.sources import tree
 from millrace.streaming import progress
 
@@ -84,7 +84,7 @@ def test_comments_are_followed_mark_by_mark(spark):
 
 def test_bins_begin_anew_at_each_key(spark):
     rows = [(k % 3, k, (k * 7) % 5 + 1) for k in range(200)] + [(9, 1, 50), (9, 2, 1)]
-    found = sorted((v["f"], v["pos"], v["bin"]) for v in sequence.greedy_bins(spark.createDataFrame(rows, "f int, pos int, tokens int").repartition(7), "f", 10).collect())
+    found = sorted((v["f"], v["pos"], v["bin"]) for v in bins.greedy_bins(spark.createDataFrame(rows, "f int, pos int, tokens int").repartition(7), "f", 10).collect())
     want = []
     for f in sorted({v[0] for v in rows}):
         bin_ = used = n = 0
