@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import classify as C
-from millrace.operators import bins, sequence
+from millrace.operators import bins, lexers, sequence
 from millrace.plans import machine
 from millrace.plans.catalog import query
 from millrace.sources import records, sinks
@@ -138,6 +138,60 @@ def _(t):
     return t.part.select("p_partkey", F.array_join(sequence.path_heads(text), ",").alias("heads"))
 
 
+def _as_code(pairs, text="text"):
+    """Documents' words and marks turned into those of code, for Spark and for the checking engine."""
+    col, sql = F.col(text), text
+    for a, b in pairs:
+        col = F.replace(col, F.lit(a), F.lit(b))
+        sql = "replace({}, '{}', '{}')".format(sql, a.replace("'", "''"), b.replace("'", "''"))
+    return col, sql
+
+
+#: Brackets that close and don't, strings and characters with marks in them, lifetimes, many lines.
+STATEMENT_CODE, STATEMENT_SQL = _as_code([(". ", ";\n"), (", ", " { "), (" de ", " } "), (" the ", " } "), (" der ", " } "), (" es ", ' "s;\\"}{" '), (" la ", " '{' "), (" of ", " 'a "), (" und ", " '\\'' "), (" el ", "; pub fn "), (" an ", "; fn ")])
+
+
+@query("w08_split_statements", rf"""WITH c AS (SELECT doc_id, regexp_extract_all({STATEMENT_SQL}, '(?s)"(?:\\.|[^"\\])*(?:"|\z)|''\\.[^'']*''|''[^''\\]''|[^"''{{}};]+|.') AS w FROM documents WHERE text <> ''),
+    t AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM c),
+    d AS (SELECT *, sum(CASE w WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS depth FROM t),
+    n AS (SELECT *, w = ';' AND depth = 0 AS ends, coalesce(sum((w = ';' AND depth = 0)::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM d),
+    s AS (SELECT doc_id, CAST(n AS BIGINT) AS statement, regexp_replace(string_agg(CASE WHEN ends THEN '' ELSE w END, '' ORDER BY i), '^\s+|\s+$', '', 'g') AS text FROM n GROUP BY 1, 2)
+    SELECT doc_id, statement, CASE WHEN regexp_matches(text, '^(pub )?(async )?fn ') THEN concat(text, ' {{ todo!() }}') ELSE concat(text, ';') END AS text FROM s WHERE text <> ''""")
+def _(t):
+    """Statements of whole texts as they stand in a skeleton; texts are cut into chunks that any task may read."""
+    return lexers.stubs(lexers.statements(t.documents.select("doc_id", STATEMENT_CODE.alias("text")), "doc_id", "text"))
+
+
+#: Paths, members, names of types, comments and strings that hide paths.
+HEAD_CODE, HEAD_SQL = _as_code([(" de ", "::"), (" the ", "::"), (" der ", "::"), (" la ", "."), (", ", " /* "), (" un ", " */ "), (" of ", " */ "), (" die ", " */ "), (" el ", ' "'), (" an ", ' "'), (" une ", " // "), (". ", ";\n")])
+
+
+@query("w09_crate_heads", rf"""WITH c AS (SELECT doc_id, regexp_extract_all({HEAD_SQL}, '(?s)//[^\n]*(?:\n|\z)|/\*.*?(?:\*/|\z)|"(?:\\.|[^"\\])*(?:"|\z)|[\pL_][\pL\pN_]*(?:::)?|\S') AS w FROM documents WHERE text <> ''),
+    t AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM c),
+    p AS (SELECT *, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY i), '') AS before FROM t)
+    SELECT DISTINCT doc_id, w[:-3] AS head FROM p WHERE ends_with(w, '::') AND regexp_matches(w, '^\p{{Ll}}') AND NOT regexp_matches(before, '^(.*::|[:.])$')""")
+def _(t):
+    return lexers.crate_heads(t.documents.select("doc_id", HEAD_CODE.alias("text")), "doc_id", "text")
+
+
+#: Lines that begin declarations, braces within lines and over them.
+BLOCK_CODE, BLOCK_SQL = _as_code([(", ", " { "), (" de ", " } "), (" the ", " } "), (" und ", " } "), (" la ", " {} "), (". ", ";\n"), ("\nE", "\npub fn E"), ("\nT", "\n  pub struct T"), ("\nD", "\npub async fn D"), ("\nL", "\npub const L"), ("\nS", "\npub trait S")])
+
+
+@query("w06_declaration_blocks", rf"""WITH RECURSIVE l AS (SELECT doc_id, CAST(generate_subscripts(s, 1) AS BIGINT) AS k, unnest(s) AS line FROM (SELECT doc_id, string_split({BLOCK_SQL}, chr(10)) AS s FROM documents WHERE text <> '')),
+    b AS (SELECT *, trim(line) AS bare, regexp_replace(line, '[^{{}}]', '', 'g') AS br FROM l),
+    m AS (SELECT *, CAST(2 * length(replace(br, '}}', '')) - length(br) AS BIGINT) AS change, coalesce(list_min([2 * length(replace(br[:i], '}}', '')) - i FOR i IN range(1, length(br) + 1) IF br[i] = '}}']), 1000000) AS least, regexp_matches(bare, '^pub (fn|async fn|struct|enum|trait|type|const|static|mod|impl) ') AS begins, ends_with(bare, ';') AS ended FROM b),
+    f AS (SELECT doc_id, k, begins AS inside, CASE WHEN begins THEN 1 ELSE 0 END AS n, change AS depth, CASE WHEN NOT begins THEN NULL WHEN least <= 0 THEN 'b' WHEN ended AND change = 0 THEN 's' END AS closed FROM m WHERE k = 1
+    UNION ALL SELECT m.doc_id, m.k, m.inside, m.n, m.was + m.change, CASE WHEN NOT m.inside THEN NULL WHEN m.was + least <= 0 THEN 'b' WHEN ended AND m.was + m.change = 0 THEN 's' END
+    FROM (SELECT m.*, (f.inside AND f.closed IS NULL) OR m.begins AS inside, f.n + CASE WHEN NOT (f.inside AND f.closed IS NULL) AND m.begins THEN 1 ELSE 0 END AS n, CASE WHEN f.inside AND f.closed IS NULL THEN f.depth ELSE 0 END AS was FROM f JOIN m ON m.doc_id = f.doc_id AND m.k = f.k + 1) m),
+    g AS (SELECT doc_id, CAST(n - 1 AS BIGINT) AS block, string_agg(line, chr(10) ORDER BY k) AS text, max(closed) AS closed, trim(arg_min(line, k)) AS first FROM f JOIN l USING (doc_id, k) WHERE inside GROUP BY 1, 2)
+    SELECT doc_id, block, CASE WHEN regexp_matches(first, '^pub (async )?fn ') THEN 'fn' ELSE 'data' END AS kind, CASE WHEN regexp_matches(first, '^pub (async )?fn ') THEN concat(regexp_replace(regexp_replace(split_part(text, '{{', 1), '^\s+|\s+$', '', 'g'), ';+$', ''), ';') ELSE text END AS decl,
+    CASE closed WHEN 's' THEN regexp_replace(first, ';+$', '') ELSE trim(regexp_replace(first, '\{{+$', '')) END AS head FROM g WHERE closed IS NOT NULL""")
+def _(t):
+    """Declarations of whole texts; a text's lines are cut into chunks that any task may read."""
+    return lexers.declaration_blocks(t.documents.select("doc_id", BLOCK_CODE.alias("text")), "doc_id", "text")
+
+
 #: Lines that open, close, hide and turn comments.
 COMMENTED = ("x", "a /* b", "c */ d", "// see /* here", "/* a /* b */", "*/ y", "/*/", "/* a */ b /* c", "z */ // */ /*", "a / * b", "s // */", "/**/ /*")
 
