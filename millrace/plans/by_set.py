@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import classify as C
-from millrace.operators import contain, graph, relate, retrieve, rollup, sequence, verify
+from millrace.operators import contain, graph, ranges, relate, retrieve, rollup, sequence, verify
 from millrace.plans.by_rule import FAMILY, LANG, PRIORITY, RANK
 from millrace.plans.catalog import query
 from millrace.sources import tree
@@ -446,6 +446,25 @@ def _(t):
     return t.part.select("p_partkey", F.array_join(F.transform(sequence.disjoint(edits), lambda e: F.concat_ws("-", e.start.cast("string"), e.end.cast("string"))), ",").alias("taken"))
 
 
+#: Suggestions of two or three edits in files that many share; some insert, some replace much.
+EDITS = """SELECT c_custkey AS suggestion, concat('f', c_nationkey % 5) AS file, (c_custkey * 7919) % 2000 AS start, c_custkey % 7 * (c_custkey % 3) AS size FROM customer
+    UNION ALL SELECT c_custkey, concat('f', c_custkey % 5), (c_custkey * 104729) % 2000, c_custkey % 4 FROM customer
+    UNION ALL SELECT c_custkey, 'f0', (c_custkey * 1299709) % 2000, c_custkey % 90 FROM customer WHERE c_custkey % 5 = 0"""
+
+
+@query("d09_greedy_suggestions", f"""WITH RECURSIVE e AS ({EDITS}), s AS (SELECT suggestion, list({{'file': file, 'a': start, 'b': start + size}}) AS edits, row_number() OVER (ORDER BY suggestion) AS k FROM e GROUP BY 1),
+    f AS (SELECT k, suggestion, true AS taken, edits AS used FROM s WHERE k = 1
+    UNION ALL SELECT k, suggestion, taken, CASE WHEN taken THEN list_concat(used, edits) ELSE used END
+    FROM (SELECT s.k, s.suggestion, s.edits, f.used, len(list_filter(s.edits, lambda x: len(list_filter(f.used, lambda u: u.file = x.file AND CASE WHEN x.a = x.b THEN u.a <= x.a AND x.a < u.b ELSE x.a < u.b AND u.a < x.b END)) > 0)) = 0 AS taken FROM f JOIN s ON s.k = f.k + 1))
+    SELECT e.suggestion, e.file, e.start, e.start + e.size AS "end" FROM e JOIN f USING (suggestion) WHERE f.taken""")
+def _(t):
+    key = F.col("c_custkey")
+    row = lambda file, start, size: t.customer.select(key.alias("suggestion"), file.alias("file"), start.alias("start"), (start + size).alias("end"))
+    name = lambda n: F.concat(F.lit("f"), (n % 5).cast("string"))
+    edits = row(name(F.col("c_nationkey")), key * 7919 % 2000, key % 7 * (key % 3)).unionByName(row(name(key), key * 104729 % 2000, key % 4))
+    return ranges.disjoint_suggestions(edits.unionByName(row(F.lit("f0"), key * 1299709 % 2000, key % 90).filter("suggestion % 5 = 0")))
+
+
 @query("d10_error_files", f"SELECT run_id, file, row_number() OVER (PARTITION BY run_id ORDER BY first, file) AS ord FROM (SELECT run_id, file, min(ord) AS first FROM diags WHERE {RANK} >= 3 GROUP BY 1, 2)")
 def _(t):
     return relate.distinct_files(t.diags).withColumn("ord", F.col("ord").cast("bigint"))
