@@ -54,7 +54,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
         def rows() -> Iterator[pa.RecordBatch]:
             for (lang, source), (n, within) in total.items():
                 terms = pa.array(list(n), pa.binary()).cast(pa.string())
-                names = [pa.array([x], pa.string()).take(pa.array([0] * len(n))) for x in (lang, source)]
+                names = [pa.array([x], pa.string()).take(pa.array([0] * len(n), pa.int32())) for x in (lang, source)]
                 yield pa.RecordBatch.from_arrays([*names, terms, pa.array(n.values(), pa.int64()), pa.array([within[t] for t in n], pa.int64())], ["lang", "source", "term", "n", "docs"])
 
         for batch in batches:
