@@ -43,7 +43,7 @@ DISCOUNTED = 5
 #: Tokens of a chunk, about, and bytes of a text that are split at once.
 CHUNK, SLICE = 1 << 21, 4 << 20
 #: What chunks ask of a partition of a table, about, and occurrences of a history in a partition, at most.
-ASKED, HOT = 1 << 20, 1 << 21
+ASKED, HOT = 1 << 22, 1 << 21
 #: The numbers of no n-gram and of the beginning of a text; words have higher ones.
 NONE, BEGIN_ID = 0, 1
 #: Stand for the beginning and the end of a text; no word has white space.
@@ -87,6 +87,23 @@ def steps(ascending: np.ndarray) -> np.ndarray:
     return np.diff(ascending, prepend=np.uint64(0))
 
 
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return (np.cumsum(sizes) - sizes)[sizes > 0]
+
+
+def steps_within(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """What each number is above the one before in its group; the first of each group as it is."""
+    out, at = steps(values), _starts(sizes)
+    out[at] = values[at]
+    return out
+
+
+def sums_within(found: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of steps_within()."""
+    total, at = np.cumsum(found, dtype=np.uint64), _starts(sizes)
+    return total - np.repeat(total[at] - found[at], sizes[sizes > 0])
+
+
 class Places(dict):
     """Places of words in a chunk, in the order they come first."""
 
@@ -152,11 +169,11 @@ def chunked(docs: DataFrame, order: int, learns: Column, held: Column, doc_id: s
 
         def flush() -> pa.RecordBatch:
             tokens = np.concatenate(parts)
-            often = np.argsort(-np.bincount(tokens, minlength=len(places)), kind="stable")  # frequent words get small numbers
+            words = np.fromiter(map(xxhash.xxh3_64_intdigest, places), np.uint64, len(places))
+            often = np.lexsort((words, -np.bincount(tokens, minlength=len(places))))  # frequent words get small numbers
             rank = np.empty(len(often), np.uint32)
             rank[often] = np.arange(len(often))
-            words = np.fromiter(map(xxhash.xxh3_64_intdigest, places), np.uint64, len(places))[often]
-            blob = pack(rank[tokens], words, *np.array(pieces, np.uint64).T)
+            blob = pack(rank[tokens], steps(words[often]), *np.array(pieces, np.uint64).T)
             ids = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), pa.concat_arrays(names))
             return pa.RecordBatch.from_arrays([pa.array([base + made], pa.int64()), pa.array([0], pa.int32()), pa.array([0], pa.int32()), pa.array([blob], pa.binary()), pa.array([None], pa.list_(pa.int64())), ids], schema=schema)
 
@@ -200,8 +217,8 @@ class Chunk:
     """A chunk's tokens with what the tables have answered so far."""
 
     def __init__(self, blob: bytes):
-        tok, self.words, size, context, learn, held, self.key = unpack(blob)
-        self.tok, size = tok.astype(np.int64), size.astype(int)
+        tok, words, size, context, learn, held, self.key = unpack(blob)
+        self.tok, self.words, size = tok.astype(np.int64), np.cumsum(words, dtype=np.uint64), size.astype(int)
         self.starts = np.cumsum(size) - size
         self.held = held.astype(bool)
         self.place = np.arange(len(tok)) - np.repeat(self.starts, size)
@@ -270,13 +287,12 @@ class Chunk:
         self._extend()
         _, _, part, ids, bucket, asked, unit, words = self._units(buckets)
         n = np.bincount(self.of, self.counted[self.at], len(self.before)).astype(np.uint64)[asked]
-        lower = np.where(n > 0, self.lower[asked], 0.0)
+        lower = self.lower[asked]
         sizes = np.bincount(unit, minlength=len(ids))
         ends = np.cumsum(sizes)
         for b, at in zip(*_parts(bucket, np.arange(len(bucket))), strict=True):
             own = slice(ends[at[0]] - sizes[at[0]], ends[at[-1]])
-            values, which = np.unique(lower[own], return_inverse=True)
-            yield b, pack(steps(ids[at]), part[at], sizes[at], words[own], n[own], which, values)
+            yield b, pack(steps(ids[at]), part[at], sizes[at], steps_within(words[own], sizes[at]), n[own], *_shorter(self.level + 1, words[own], lower[own], n[own]))
 
     def answer(self, answers: dict[int, bytes], buckets: int, discounts: Discounts, numbered: bool) -> None:
         """Take counts, numbers and histories' sums; self.p becomes the probability of each token after one word more."""
@@ -288,10 +304,10 @@ class Chunk:
         ends = np.cumsum(sizes)
         for b, at in zip(*_parts(bucket, np.arange(len(bucket))), strict=True):
             own = asked[ends[at[0]] - sizes[at[0]] : ends[at[-1]]]
-            n[own], numbered_, *sums, lower = unpack(answers[b])
+            n[own], numbered_, *sums, which, values = unpack(answers[b])
             if numbered:
                 id_[own] = numbered_
-            np.add.at(seen, unit_history[at], lower.view(np.float64))
+            np.add.at(seen, unit_history[at], values.view(np.float64)[which.astype(int)])
             for r, s in enumerate(sums):
                 np.add.at(having[r], unit_history[at], s)
         taken, total = discounts.taken(having), self.n[history].astype(np.float64)
@@ -316,6 +332,22 @@ class Chunk:
         return [self.key.view(np.int64), self.held, add(np.int64(1)), add((n > 0).astype(np.int64)), add(base), add(np.log10(self.p))]
 
 
+def _shorter(level: int, words: np.ndarray, lower: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What shorter histories say, as places in a list of values: of each distinct word if that is all they know, else of each n-gram."""
+    if level == 2:
+        lower = lower[np.unique(words, return_index=True)[1]]
+    else:
+        lower = np.where(n > 0, lower, 0.0)
+    values, which = np.unique(lower, return_inverse=True)
+    return which, values
+
+
+def _shorter_of(level: int, words: np.ndarray, which: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """What shorter histories say of each n-gram."""
+    lower = values.view(np.float64)[which.astype(int)]
+    return lower[np.unique(words, return_inverse=True)[1]] if level == 2 else lower
+
+
 def _parts(ascending: np.ndarray, rows: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
     """Rows split by their partition."""
     if not len(rows):
@@ -367,23 +399,28 @@ def gram_table(level: int, buckets: int, kind: pa.DataType, numbered: bool) -> C
         every = lambda k: np.concatenate([a[k] for a in asked])
         history, part, sizes = np.concatenate([np.cumsum(a[0], dtype=np.uint64) for a in asked]), every(1), every(2).astype(int)
         _, first, unit = np.unique((history << np.uint64(20)) + part, return_index=True, return_inverse=True)
-        words, word = np.unique(every(3), return_inverse=True)
+        said = [sums_within(a[3], a[2].astype(int)) for a in asked]
+        words, word = np.unique(np.concatenate(said), return_inverse=True)
         width = max(len(words), 1)
         grams, of = np.unique(np.repeat(unit, sizes) * width + word, return_inverse=True)
         counts = every(4)
         n = np.bincount(of, counts.astype(float), len(grams)).astype(np.uint64)
         lower = np.zeros(len(grams))
-        lower[of[counts > 0]] = np.concatenate([a[6].view(np.float64)[a[5].astype(int)] for a in asked])[counts > 0]
+        lower[of[counts > 0]] = np.concatenate([_shorter_of(level, w, a[5], a[6]) for w, a in zip(said, asked, strict=True)])[counts > 0]
         seen, of_unit = n > 0, grams // width
         units = len(first)
         sums = [np.bincount(of_unit[seen if r == 0 else n == r], minlength=units) for r in range(DISCOUNTED + 1)]
         total = np.bincount(of_unit[seen], lower[seen], units)
         ids = _numbered(n, buckets, bucket) if numbered else np.zeros(len(n), np.uint64)
         own, own_units = np.split(of, np.cumsum([len(a[3]) for a in asked])[:-1]), np.split(unit, np.cumsum([len(a[0]) for a in asked])[:-1])
-        out = [(c, pack(n[o], ids[o], *[s[u] for s in sums], total[u])) for c, o, u in zip(chunks, own, own_units, strict=True) if c >= 0]
-        having = np.flatnonzero(sums[0])
-        values, which = np.unique(lower[seen], return_inverse=True)
-        model = pack(steps(history[first][having]), part[first][having], sums[0][having], words[grams[seen] % width], n[seen], which, values)
+        out = []
+        for c, o, u in zip(chunks, own, own_units, strict=True):
+            values, which = np.unique(total[u], return_inverse=True)
+            if c >= 0:
+                out.append((c, pack(n[o], ids[o], *[s[u] for s in sums], which, values)))
+        having, known = np.flatnonzero(sums[0]), words[grams[seen] % width]
+        sizes = sums[0][having]
+        model = pack(steps(history[first][having]), part[first][having], sizes, steps_within(known, sizes), n[seen], *_shorter(level, known, lower[seen], n[seen]))
         return _answers(bucket, level, kind, out, model, _summary(n))
 
     return merge
