@@ -499,6 +499,24 @@ def _(t):
     return graph.queue_order(nodes.withColumn("ord", F.substring("path", 2, 20).cast("bigint")), edges)
 
 
+@query("i01_chains_and_cycles", """WITH c AS (SELECT concat('c', c_custkey) AS path, c_custkey AS ord, c_custkey % 25 AS chain, c_custkey // 25 AS step FROM customer),
+    n AS (SELECT path, ord, CASE WHEN chain IN (3, 4) AND step >= 1 THEN NULL ELSE step END AS level, chain AS root FROM c
+        UNION ALL SELECT concat('o', o_orderkey), 1000000000 + o_orderkey, CASE WHEN chain IN (3, 4) AND step >= 1 THEN NULL ELSE step + 1 END, chain FROM orders JOIN c ON c.ord = o_custkey)
+    SELECT path, CAST(level AS BIGINT) AS level, row_number() OVER (ORDER BY level NULLS LAST, CASE WHEN level IS NULL THEN 0 ELSE root END, ord) - 1 AS place FROM n""")
+def _(t):
+    """Chains of customers, as long as the table lets them be, with orders on them; two chains come back to themselves, and all behind that hangs on it."""
+    key = F.col("c_custkey")
+    name = lambda k: F.concat(F.lit("c"), k.cast("string"))
+    edge = lambda rows, a, b: rows.select(a.alias("src"), b.alias("dst"))
+    customers = t.customer.select("c_custkey")
+    edges = edge(customers.filter("c_custkey >= 25"), name(key), name(key - 25))
+    edges = edges.unionByName(edge(customers.filter("c_custkey in (28, 29)"), name(key), name(key + 75)))
+    orders = t.orders.select("o_orderkey", F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("path"), F.col("o_custkey").alias("c_custkey")).join(customers, "c_custkey")
+    edges = edges.unionByName(edge(orders, F.col("path"), name(key)))
+    nodes = customers.select(name(key).alias("path"), key.alias("ord")).unionByName(orders.select("path", (F.col("o_orderkey") + 1000000000).alias("ord")))
+    return graph.queue_order(nodes, edges)
+
+
 NAMES = "SELECT p_partkey AS ord, concat('n', p_partkey % 150) AS name, concat('f', p_size % 3, '/n', p_size % 5, '/', CASE WHEN p_partkey % 4 = 0 THEN '' ELSE concat('D-', p_partkey % 7, '/') END, 'n', p_partkey % 150) AS path FROM part UNION ALL SELECT 1000000 + p_partkey, concat('n', p_partkey % 20, '_', p_size % 4 + 2), 'x' FROM part WHERE p_partkey % 40 = 1"
 
 
