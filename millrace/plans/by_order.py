@@ -345,6 +345,33 @@ def _(t):
     return progress.idle(progress.folded(t.progress), "2024-02-01 00:00:00", 60)
 
 
+@query("st05_watched_stream", """WITH RECURSIVE e AS (SELECT run_id, seq, kind, (epoch_us(ts) // 1000) AS ms, row_number() OVER (PARTITION BY run_id ORDER BY (epoch_us(ts) // 1000), seq) AS k FROM progress), x AS (SELECT 100000000 AS idle, 200000000 AS dead, max(ms) AS stop FROM e),
+    f AS (SELECT run_id, k, seq, ms AS last, kind IN ('done', 'failed') AS closed, CASE WHEN kind IN ('done', 'failed') THEN kind END AS said, CAST(NULL AS BIGINT) AS idle_at, CAST(NULL AS BIGINT) AS died_at, CAST(NULL AS BIGINT) AS was FROM e WHERE k = 1
+    UNION ALL SELECT run_id, k, CASE WHEN passed THEN was ELSE seq END, CASE WHEN passed THEN since ELSE ms END, passed OR kind IN ('done', 'failed'), CASE WHEN NOT passed AND kind IN ('done', 'failed') THEN kind END, idle_at, died_at, was
+    FROM (SELECT *, (was_closed OR died_at IS NOT NULL) AND ms - since <= dead AS passed FROM (SELECT *, coalesce(died_at, since0) AS since FROM
+        (SELECT e.run_id, e.k, e.seq, e.kind, e.ms, f.seq AS was, f.closed AS was_closed, f.last AS since0, dead, CASE WHEN NOT f.closed AND e.ms - f.last > idle THEN f.last + idle END AS idle_at, CASE WHEN NOT f.closed AND e.ms - f.last > dead THEN f.last + dead END AS died_at FROM f JOIN e ON e.run_id = f.run_id AND e.k = f.k + 1, x)))),
+    l AS (SELECT f.*, stop, idle, dead FROM f, x WHERE NOT closed QUALIFY k = max(k) OVER (PARTITION BY run_id)),
+    z AS (SELECT l.* FROM l JOIN (SELECT run_id, max(k) AS k FROM f GROUP BY 1) USING (run_id, k)),
+    r AS (SELECT run_id, said AS kind, seq, last AS ms, false AS made_up FROM f WHERE said IS NOT NULL UNION ALL SELECT run_id, 'idle', was, idle_at, true FROM f WHERE idle_at IS NOT NULL UNION ALL SELECT run_id, 'failed', was, died_at, true FROM f WHERE died_at IS NOT NULL
+        UNION ALL SELECT run_id, 'idle', seq, last + idle, true FROM z WHERE stop - last > idle UNION ALL SELECT run_id, 'failed', seq, last + dead, true FROM z WHERE stop - last > dead)
+    SELECT run_id, kind, seq, ms, made_up FROM r""")
+def _(t):
+    """Events come in four lots, in the order of their time; each lot is a batch of the stream, and each second one a start of its own."""
+    from millrace.sources.durable import folder
+    from millrace.streaming import watch
+
+    inbox, out, checkpoint = (folder(t.spark, x) for x in ("events", "reports", "watch"))
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    first, last = t.progress.agg(F.min(ms), F.max(ms)).first()
+    lot = F.least(F.lit(3), F.floor((ms - F.lit(first)) * 4 / max((last or 0) - (first or 0), 1)))
+    for k in range(4):
+        own = t.progress.filter(lot == k).select(F.to_json(F.struct("run_id", "seq", "kind", "stage", "ts")).alias("value"))
+        own.repartition(2).write.mode("append").text(inbox)
+        if k % 2:
+            watch.watch_files(t.spark, inbox, out, checkpoint, 100_000, 200_000, 2)
+    return t.spark.read.schema(watch.REPORT).parquet(out).select("run_id", "kind", "seq", F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', CAST(at AS timestamp_ntz))").alias("ms"), "made_up")
+
+
 @query("st08_rate_and_eta", """SELECT run_id, files, round(CASE WHEN e > 0 AND files > 0 THEN files / e END, 9) AS rate, round(least(70.0, 10 + files / 40 * 60), 9) AS percent, round(greatest(0, 40 - files) / CASE WHEN e > 0 AND files > 0 THEN files / e END, 3) AS seconds_left
     FROM (SELECT run_id, count(*) FILTER (WHERE kind = 'file_complete') AS files, epoch(date_trunc('second', max(ts))) - epoch(date_trunc('second', min(ts))) AS e FROM progress GROUP BY 1)""")
 def _(t):
