@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from millrace.operators import sequence, verify
 from millrace.plans.by_set import DIFFS, MASKS
 from millrace.plans.catalog import query
-from millrace.sources import sinks, tree
+from millrace.sources import sinks, tree, walk
 from millrace.sources.durable import folder
 from millrace.streaming import progress
 
@@ -27,6 +27,18 @@ def _(t):
     return tree.scan(t.spark, root).select("path", F.length("content").cast("bigint").alias("length"))
 
 
+@query("src01_pruned_tree", """SELECT path, CAST(max(length) AS BIGINT) AS length FROM (SELECT concat(project, '/', path) AS path, CASE WHEN ord % 11 = 0 THEN 0 ELSE length END AS length, row_number() OVER (PARTITION BY project, path ORDER BY ord) AS k FROM files)
+    WHERE k = 1 AND length <= 5000 AND NOT regexp_matches(path, '(^|/)(\\.[^/]*|node_modules|__pycache__|__MACOSX|venv|dist|build|target)(/|$)') GROUP BY 1""")
+def _(t):
+    """The documents as files of a tree, some without a byte; hidden and skipped folders are never listed."""
+    from pyspark.sql import Window
+
+    root = folder(t.spark, "tree")
+    first = t.files.withColumn("k", F.row_number().over(Window.partitionBy("project", "path").orderBy("ord"))).filter("k = 1")
+    walk.planted(first.select(F.concat_ws("/", "project", "path").alias("path"), F.when(F.col("ord") % 11 == 0, "").otherwise(F.col("content")).alias("content")), root)
+    return walk.scan(t.spark, root, most=5000).select("path", F.length("content").cast("bigint").alias("length"))
+
+
 @query("src21_event_reads", "SELECT run_id, seq, kind FROM progress WHERE seq % 10 NOT IN (3, 4, 5)")
 def _(t):
     """Lines are cut anywhere, some reads hold the end of one and the beginning of the next, and some lines are no events."""
@@ -39,6 +51,23 @@ def _(t):
     return progress.parsed(found.select(F.col("json").alias("value"))).select("run_id", "seq", "kind")
 
 
+@query("src21_event_stream", "SELECT run_id, seq, kind FROM progress WHERE seq % 10 NOT IN (3, 4, 5)")
+def _(t):
+    """Each run's stream is a file; reads are 97 bytes, wherever that cuts. The second half of the runs comes to a stream that starts again."""
+    from millrace.sources.durable import folder
+    from millrace.streaming import reads
+
+    event = F.concat(F.lit("data: "), F.to_json(F.struct("run_id", "seq", "kind", "stage", "ts", F.lit("é日").alias("text"))))
+    line = F.when(F.col("seq") % 10 == 3, "data: {broken").when(F.col("seq") % 10 == 4, ": still here\r").when(F.col("seq") % 10 == 5, "data:  ").otherwise(event)
+    inbox, out, checkpoint = (folder(t.spark, x) for x in ("streams", "events", "reads"))
+    for half in (0, 1):
+        own = t.progress.filter(F.col("run_id") % 2 == half)
+        own.select(F.col("run_id").alias("run"), line.alias("value")).repartition("run").sortWithinPartitions("run").write.mode("append").partitionBy("run").text(inbox)
+        reads.read_once(t.spark, inbox, out, checkpoint, 97)
+    found = t.spark.read.schema("stream string, n bigint, json string").parquet(out)
+    return progress.parsed(found.select(F.col("json").alias("value"))).select("run_id", "seq", "kind")
+
+
 @query("st06_rate_gate", """WITH r AS (SELECT event_id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS came FROM events), n AS (SELECT *, row_number() OVER (ORDER BY came, event_id) * 900 AS n FROM r)
     SELECT event_id, CAST(n + max(came - n) OVER (ORDER BY n) AS BIGINT) AS fires FROM n""")
 def _(t):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +17,42 @@ def append_json(df: DataFrame, path: str) -> None:
 
 
 def write_stage(df: DataFrame, root: str, stage: str) -> None:
-    """Replace a stage's checkpoint; it counts once its success marker is there."""
-    df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/{stage}")
+    """Replace a stage's checkpoint as a whole: readers see the rows of before or the new ones, never a mixture.
+
+    Rows go to a folder of their own, with a number above all others there, and count once its success marker is
+    there, which comes last. So a write that fails leaves the rows of before, and of two writers at once the higher
+    number counts; of equal numbers, the later name. The version before stays for those who read it; older ones go.
+    """
+    spark = df.sparkSession
+    number = max([n for n, _, _ in _versions(spark, root, stage)], default=0) + 1
+    df.write.parquet(f"{root.rstrip('/')}/{stage}/{number:08}-{uuid.uuid4().hex}")
+    whole = [name for _, name, complete in _versions(spark, root, stage) if complete]
+    fs, at = _folder(spark, f"{root.rstrip('/')}/{stage}")
+    for name in whole[:-2]:
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at, name), True)
+
+
+def read_stage(spark: SparkSession, root: str, stage: str) -> DataFrame:
+    """The rows that a stage's checkpoint holds now."""
+    whole = [name for _, name, complete in _versions(spark, root, stage) if complete]
+    if not whole:
+        raise FileNotFoundError(f"{root}/{stage} has no complete version")
+    return spark.read.parquet(f"{root.rstrip('/')}/{stage}/{whole[-1]}")
+
+
+def _folder(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _versions(spark: SparkSession, root: str, stage: str) -> list[tuple[int, str, bool]]:
+    """Versions of a stage in order: number, name, and whether it is complete."""
+    fs, at = _folder(spark, f"{root.rstrip('/')}/{stage}")
+    if not fs.exists(at):
+        return []
+    names = sorted(s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory() and s.getPath().getName().split("-")[0].isdigit())
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return [(int(name.split("-")[0]), name, fs.exists(path(path(at, name), "_SUCCESS"))) for name in names]
 
 
 def append_history(df: DataFrame, path: str) -> None:
@@ -80,11 +116,9 @@ def replaced_region(text: Column, path: Column, body: Column) -> Column:
 
 def stages_done(spark: SparkSession, root: str, stages: list[str]) -> list[str]:
     """Stages that are complete, up to the first one that isn't."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     done = []
     for stage in stages:
-        p = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{stage}/_SUCCESS")
-        if not p.getFileSystem(conf).exists(p):
+        if not any(complete for _, _, complete in _versions(spark, root, stage)):
             break
         done.append(stage)
     return done

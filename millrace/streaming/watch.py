@@ -11,6 +11,7 @@ timer when other runs go on, or else by the run's own next event.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -114,12 +115,19 @@ def watch_files(spark: SparkSession, inbox: str, out: str, checkpoint: str, idle
     """Reports of all event files that have come, added to a folder of Parquet once each; a later call goes on where this one ended."""
     from millrace.streaming.progress import stream_files
 
+    with with_rocks(spark):
+        reports = watched(stream_files(spark, inbox, per_trigger), idle, dead)
+        reports.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(out).awaitTermination()
+
+
+@contextmanager
+def with_rocks(spark: SparkSession) -> Iterator[None]:
+    """The store that keyed state with timers asks for, as long as a query starts and runs; the session's own comes back after it."""
     name = "spark.sql.streaming.stateStore.providerClass"
     own = spark.conf.get(name, None)
-    spark.conf.set(name, ROCKS)  # keyed state with timers asks for it
+    spark.conf.set(name, ROCKS)
     try:
-        query = watched(stream_files(spark, inbox, per_trigger), idle, dead).writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(out)
-        query.awaitTermination()
+        yield
     finally:
         if own is None:
             spark.conf.unset(name)
