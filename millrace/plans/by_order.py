@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import classify as C
-from millrace.operators import bins, lexers, sequence
+from millrace.operators import bins, lexers, repair, sequence
 from millrace.plans import machine
+from millrace.plans.by_rule import RANK
 from millrace.plans.catalog import query
 from millrace.sources import records, sinks
 from millrace.streaming import progress
@@ -140,17 +141,25 @@ def _(t):
     return t.part.select("p_partkey", F.array_join(sequence.path_heads(text), ",").alias("heads"))
 
 
-def _as_code(pairs, text="text"):
-    """Documents' words and marks turned into those of code, for Spark and for the checking engine."""
-    col, sql = F.col(text), text
+def _as_code(pairs):
+    """Documents' words and marks turned into those of code."""
+    code = F.col("text")
     for a, b in pairs:
-        col = F.replace(col, F.lit(a), F.lit(b))
-        sql = "replace({}, '{}', '{}')".format(sql, a.replace("'", "''"), b.replace("'", "''"))
-    return col, sql
+        code = F.replace(code, F.lit(a), F.lit(b))
+    return code
+
+
+def _as_code_sql(pairs):
+    """The same for the checking engine."""
+    code = "text"
+    for a, b in pairs:
+        code = "replace({}, '{}', '{}')".format(code, a.replace("'", "''"), b.replace("'", "''"))
+    return code
 
 
 #: Brackets that close and don't, strings and characters with marks in them, lifetimes, many lines.
-STATEMENT_CODE, STATEMENT_SQL = _as_code([(". ", ";\n"), (", ", " { "), (" de ", " } "), (" the ", " } "), (" der ", " } "), (" es ", ' "s;\\"}{" '), (" la ", " '{' "), (" of ", " 'a "), (" und ", " '\\'' "), (" el ", "; pub fn "), (" an ", "; fn ")])
+STATEMENT_CODE = [(". ", ";\n"), (", ", " { "), (" de ", " } "), (" the ", " } "), (" der ", " } "), (" es ", ' "s;\\"}{" '), (" la ", " '{' "), (" of ", " 'a "), (" und ", " '\\'' "), (" el ", "; pub fn "), (" an ", "; fn ")]
+STATEMENT_SQL = _as_code_sql(STATEMENT_CODE)
 
 
 @query("w08_split_statements", rf"""WITH c AS (SELECT doc_id, regexp_extract_all({STATEMENT_SQL}, '(?s)"(?:\\.|[^"\\])*(?:"|\z)|''\\.[^'']*''|''[^''\\]''|[^"''{{}};]+|.') AS w FROM documents WHERE text <> ''),
@@ -161,11 +170,12 @@ STATEMENT_CODE, STATEMENT_SQL = _as_code([(". ", ";\n"), (", ", " { "), (" de ",
     SELECT doc_id, statement, CASE WHEN regexp_matches(text, '^(pub )?(async )?fn ') THEN concat(text, ' {{ todo!() }}') ELSE concat(text, ';') END AS text FROM s WHERE text <> ''""")
 def _(t):
     """Statements of whole texts as they stand in a skeleton; texts are cut into chunks that any task may read."""
-    return lexers.stubs(lexers.statements(t.documents.select("doc_id", STATEMENT_CODE.alias("text")), "doc_id", "text"))
+    return lexers.stubs(lexers.statements(t.documents.select("doc_id", _as_code(STATEMENT_CODE).alias("text")), "doc_id", "text"))
 
 
 #: Paths, members, names of types, comments and strings that hide paths.
-HEAD_CODE, HEAD_SQL = _as_code([(" de ", "::"), (" the ", "::"), (" der ", "::"), (" la ", "."), (", ", " /* "), (" un ", " */ "), (" of ", " */ "), (" die ", " */ "), (" el ", ' "'), (" an ", ' "'), (" une ", " // "), (". ", ";\n")])
+HEAD_CODE = [(" de ", "::"), (" the ", "::"), (" der ", "::"), (" la ", "."), (", ", " /* "), (" un ", " */ "), (" of ", " */ "), (" die ", " */ "), (" el ", ' "'), (" an ", ' "'), (" une ", " // "), (". ", ";\n")]
+HEAD_SQL = _as_code_sql(HEAD_CODE)
 
 
 @query("w09_crate_heads", rf"""WITH c AS (SELECT doc_id, regexp_extract_all({HEAD_SQL}, '(?s)//[^\n]*(?:\n|\z)|/\*.*?(?:\*/|\z)|"(?:\\.|[^"\\])*(?:"|\z)|[\pL_][\pL\pN_]*(?:::)?|\S') AS w FROM documents WHERE text <> ''),
@@ -173,11 +183,12 @@ HEAD_CODE, HEAD_SQL = _as_code([(" de ", "::"), (" the ", "::"), (" der ", "::")
     p AS (SELECT *, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY i), '') AS before FROM t)
     SELECT DISTINCT doc_id, w[:-3] AS head FROM p WHERE ends_with(w, '::') AND regexp_matches(w, '^\p{{Ll}}') AND NOT regexp_matches(before, '^(.*::|[:.])$')""")
 def _(t):
-    return lexers.crate_heads(t.documents.select("doc_id", HEAD_CODE.alias("text")), "doc_id", "text")
+    return lexers.crate_heads(t.documents.select("doc_id", _as_code(HEAD_CODE).alias("text")), "doc_id", "text")
 
 
 #: Lines that begin declarations, braces within lines and over them.
-BLOCK_CODE, BLOCK_SQL = _as_code([(", ", " { "), (" de ", " } "), (" the ", " } "), (" und ", " } "), (" la ", " {} "), (". ", ";\n"), ("\nE", "\npub fn E"), ("\nT", "\n  pub struct T"), ("\nD", "\npub async fn D"), ("\nL", "\npub const L"), ("\nS", "\npub trait S")])
+BLOCK_CODE = [(", ", " { "), (" de ", " } "), (" the ", " } "), (" und ", " } "), (" la ", " {} "), (". ", ";\n"), ("\nE", "\npub fn E"), ("\nT", "\n  pub struct T"), ("\nD", "\npub async fn D"), ("\nL", "\npub const L"), ("\nS", "\npub trait S")]
+BLOCK_SQL = _as_code_sql(BLOCK_CODE)
 
 
 @query("w06_declaration_blocks", rf"""WITH RECURSIVE l AS (SELECT doc_id, CAST(generate_subscripts(s, 1) AS BIGINT) AS k, unnest(s) AS line FROM (SELECT doc_id, string_split({BLOCK_SQL}, chr(10)) AS s FROM documents WHERE text <> '')),
@@ -191,7 +202,7 @@ BLOCK_CODE, BLOCK_SQL = _as_code([(", ", " { "), (" de ", " } "), (" the ", " }
     CASE closed WHEN 's' THEN regexp_replace(first, ';+$', '') ELSE trim(regexp_replace(first, '\{{+$', '')) END AS head FROM g WHERE closed IS NOT NULL""")
 def _(t):
     """Declarations of whole texts; a text's lines are cut into chunks that any task may read."""
-    return lexers.declaration_blocks(t.documents.select("doc_id", BLOCK_CODE.alias("text")), "doc_id", "text")
+    return lexers.declaration_blocks(t.documents.select("doc_id", _as_code(BLOCK_CODE).alias("text")), "doc_id", "text")
 
 
 #: Lines that open, close, hide and turn comments.
@@ -541,3 +552,41 @@ def _(t):
     files = t.documents.select(F.col("doc_id").alias("file"), F.concat(F.lit("a = 1\nlib"), (F.col("doc_id") % 4).cast("string"), F.lit(" = 2")).alias("text"))
     out = C.commented_out(records.numbered(files, "file", "text"), C.unresolvable(log))
     return out.filter(F.col("line").startswith("# removed: ")).groupBy("file").agg(F.count("*").alias("removed"))
+
+
+#: Dependencies of a document's manifest, and those that no registry has.
+MANIFEST = "SELECT doc_id AS file, j AS pos, (doc_id * (j + 1)) % 13 AS lib FROM documents, range(0, 9) AS r(j) WHERE j < doc_id % 9"
+
+
+@query("i12_dependency_loop", f"""WITH m AS ({MANIFEST}), b AS (SELECT file, lib, count(*) AS lines, row_number() OVER (PARTITION BY file ORDER BY min(pos)) AS k FROM m WHERE lib % 3 = 1 GROUP BY 1, 2)
+    SELECT file, CAST(sum(CASE WHEN k <= 2 THEN lines ELSE 0 END) AS BIGINT) AS removed, CAST(max(k) AS BIGINT) > 2 AS left_over FROM b GROUP BY 1""")
+def _(t):
+    """Each log names the first dependency that it can't find, so a manifest takes a cycle for each, two at most here."""
+    number = lambda c: F.regexp_extract(c, "^lib([0-9]+) =", 1).try_cast("int")
+    libs = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda j: F.struct(j.cast("bigint").alias("pos"), F.concat(F.lit("lib"), (F.col("doc_id") * (j + 1) % 13).cast("string"), F.lit(' = "1"')).alias("line")))
+    manifests = t.documents.select(F.col("doc_id").alias("file"), F.explode(libs).alias("l")).filter("l.pos < file % 9").select("file", "l.pos", "l.line")
+
+    def log_of(lines):
+        missing = lines.withColumn("n", number("line")).filter("n % 3 = 1").groupBy("file").agg(F.min_by("n", "pos").alias("n"))
+        return missing.select(F.col("file").alias("run_id"), F.concat(F.lit("error: no matching package named `lib"), F.col("n").cast("string"), F.lit("` found")).alias("line"))
+
+    lines, summary = repair.dependencies_repaired(manifests, log_of, 2)
+    removed = lines.filter(F.col("line").startswith("# removed: ")).groupBy("file").agg(F.count("*").alias("removed"))
+    left = summary.groupBy("file").agg(F.max_by("after", "cycle").alias("after"))
+    return removed.join(left, "file").select("file", "removed", (F.col("after") > 0).alias("left_over"))
+
+
+@query("i04_repair_cycles", f"""WITH e AS (SELECT run_id, ord % 5 AS kind, count(*) AS n FROM diags WHERE {RANK} >= 3 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER w AS cycle, sum(n) OVER (PARTITION BY run_id) - coalesce(sum(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, coalesce(max((kind = 3)::INT) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stuck FROM e WINDOW w AS (PARTITION BY run_id ORDER BY n DESC, kind))
+    SELECT cycle, run_id, CAST(before AS BIGINT) AS before, CAST(CASE WHEN kind = 3 THEN before + 1 ELSE before - n END AS BIGINT) AS after, kind <> 3 AS kept FROM r WHERE stuck = 0 AND cycle <= 3""")
+def _(t):
+    """Each cycle mends a run's most frequent kind of error; for one kind that makes it worse, and the run goes back and is given up."""
+    errors = C.errors(t.diags).select("run_id", "ord", (F.col("ord") % 5).alias("kind"))
+
+    def mend(rows, issues):
+        counts = issues.groupBy("run_id", "kind").agg(F.count("*").alias("n"))
+        worst = counts.groupBy("run_id").agg(F.min_by("kind", F.struct(-F.col("n"), "kind")).alias("worst"))
+        both = rows.join(worst, "run_id")
+        more = both.filter("worst = 3").groupBy("run_id").agg(F.lit(-1).cast("bigint").alias("ord"), F.lit(3).cast("bigint").alias("kind"))
+        return both.filter("kind <> worst or worst = 3").select("run_id", "ord", "kind").unionByName(more)
+
+    return repair.repaired(errors, "run_id", lambda rows: rows, mend)[1]

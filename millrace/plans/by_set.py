@@ -106,9 +106,11 @@ def _(t):
     return relate.of_trait_or_type(t.spark.createDataFrame([("T1",), ("T2",)], "name string"), _impls(t)).select("id")
 
 
-@query("j12_search", "SELECT kind, name, module FROM (SELECT 'item' AS kind, name, module FROM items WHERE name = 'Item_31' UNION ALL SELECT 'impl', concat('T', s_suppkey % 7, ' for T', s_suppkey % 5), concat('m', s_nationkey) FROM supplier WHERE false)")
+@query("j12_search", "SELECT 'item' AS kind, concat('T', p_size % 9) AS name, concat('m', p_partkey % 4) AS module FROM part WHERE p_size % 9 = 3 UNION ALL SELECT 'impl', concat('T', s_suppkey % 7, ' for T', s_suppkey % 5), concat('m', s_nationkey) FROM supplier WHERE s_suppkey % 7 = 3 OR s_suppkey % 5 = 3")
 def _(t):
-    return relate.searched(t.items, _impls(t), "Item_31")
+    """A name that items have, and implementations as their trait, their type, or both."""
+    items = t.part.select(F.concat(F.lit("T"), (F.col("p_size") % 9).cast("string")).alias("name"), F.concat(F.lit("m"), (F.col("p_partkey") % 4).cast("string")).alias("module"))
+    return relate.searched(items, _impls(t), "T3")
 
 
 @query("j13_import_targets", """WITH e AS (SELECT name, min(module) AS module FROM items GROUP BY 1 HAVING count(DISTINCT module) = 1)
@@ -291,9 +293,13 @@ def _(t):
     return t.items.groupBy("name").agg(F.array_join(F.array_sort(F.collect_set("module")), ",").alias("modules"))
 
 
-@query("a09_singletons", "SELECT lower(replace(name, '_', '')) AS key, min(name) AS name FROM items GROUP BY 1 HAVING count(*) = 1")
+@query("a09_singletons", """WITH n AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN concat('It_', p_partkey % (SELECT count(*) * 3 // 4 FROM part)) ELSE concat('it', p_partkey % (SELECT count(*) * 3 // 4 FROM part), '_') END AS name FROM part)
+    SELECT lower(replace(name, '_', '')) AS key, min(name) AS name FROM n GROUP BY 1 HAVING count(*) = 1""")
 def _(t):
-    return relate.singletons(t.items, T.segment_key(F.col("name")))
+    """Two ways to write a name, of which half occur once."""
+    number = F.col("p_partkey") % F.lit(t.part.count() * 3 // 4)
+    name = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("It_"), number.cast("string"))).otherwise(F.concat(F.lit("it"), number.cast("string"), F.lit("_")))
+    return relate.singletons(t.part.select(name.alias("name")), T.segment_key(F.col("name")))
 
 
 @query("a10_derive_traits", "SELECT 'Bar' AS \"type\", 'Debug' AS traits UNION ALL SELECT 'Foo', 'Clone'")
