@@ -19,19 +19,32 @@ from pyspark.sql.types import LongType, StructField, StructType
 from millrace.operators import scan
 
 
+def segments(keys: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted keys, the rows where a key begins, and for each row where its key ends."""
+    codes = keys.combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    last = np.append(first[1:], len(codes))
+    return first, np.repeat(last, last - first)
+
+
+def ends(part: pa.Table) -> list[str]:
+    """The first and the last key of a part, as text."""
+    return [repr(part.column(0)[i].as_py()) for i in (0, len(part) - 1)]
+
+
 def _starts(sizes: np.ndarray, first: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Running sums before each row, where a bin that begins at a row would end, and where each key ends.
 
     `first`: rows where a key begins. All are places of rows; a bin ends before the row that is given.
     """
     before = np.concatenate([[0], np.cumsum(sizes)])
-    ends = np.append(first[1:], len(sizes))
-    end_of = np.repeat(ends, np.diff(np.append(first, len(sizes))))
+    stops = np.append(first[1:], len(sizes))
+    end_of = np.repeat(stops, stops - first)
     at = np.searchsorted(before[1:], before[:-1] + budget, side="right")
     return before, np.minimum(np.maximum(at, np.arange(len(sizes)) + 1), end_of), end_of
 
 
-def _reached(begin: np.ndarray, to: np.ndarray, end_of: np.ndarray) -> np.ndarray:
+def reached(begin: np.ndarray, to: np.ndarray, end_of: np.ndarray) -> np.ndarray:
     """Whether a way from the given rows comes by each row; each round doubles how far ways are followed."""
     n = len(to)
     jump = np.append(np.where(to < end_of, to, n), n)
@@ -46,7 +59,7 @@ def _reached(begin: np.ndarray, to: np.ndarray, end_of: np.ndarray) -> np.ndarra
         jump = jump[jump]
 
 
-def _last(to: np.ndarray, end_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def last_on_way(to: np.ndarray, end_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per row: the last row that a bin begins at on the way from it, and how many bins there are after its own."""
     goes = to < end_of
     last, count = np.where(goes, to, np.arange(len(to))), goes.astype(np.int64)
@@ -59,18 +72,12 @@ def bin_machine(budget: int) -> scan.Machine:
     """Bins of rows (key, order, size), sorted, over any parts."""
 
     def read(part: pa.Table):
-        names = part.column(0).combine_chunks()
-        names = names.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-        first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
-        return part.column(2).to_numpy(), first
-
-    def ends(part: pa.Table) -> list[str]:
-        return [repr(part.column(0)[i].as_py()) for i in (0, len(part) - 1)]
+        return part.column(2).to_numpy(), segments(part.column(0))[0]
 
     def summary(part: pa.Table) -> bytes:
         sizes, first = read(part)
         before, to, end_of = _starts(sizes, first, budget)
-        last, count = _last(to, end_of)
+        last, count = last_on_way(to, end_of)
         n = end_of[0]
         # what goes out of the first key's rows if row j is the first that the bin that comes in doesn't take
         sums = before[1 : n + 1]
@@ -99,7 +106,7 @@ def bin_machine(budget: int) -> scan.Machine:
             _, used, open_ = was
             j = int(np.searchsorted(before[1 : n + 1], budget - used, side="right")) if used <= budget else 0
             begin = np.append(first[1:], j) if j < n else first[1:]
-        hit = _reached(begin, to, end_of)
+        hit = reached(begin, to, end_of)
         bins = np.cumsum(hit)
         number = bins - np.repeat(bins[first] - hit[first], np.diff(np.append(first, len(sizes)))) - 1
         if open_ is not None:

@@ -12,11 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from millrace.operators import scan
 from millrace.operators.classify import stage_percent
-from millrace.operators.sequence import in_order
+from millrace.operators.turns import admitted, events_of_reads  # noqa: F401  (parts of what follows runs)
 
 EVENT = "run_id bigint, seq bigint, kind string, stage string, ts timestamp"
 TERMINAL = ("done", "failed")
@@ -98,35 +97,6 @@ def watched(events: DataFrame, seconds: int = 60) -> DataFrame:
     return events.withWatermark("ts", "0 seconds").groupBy("run_id").applyInPandasWithState(watch, "run_id bigint, kind string, seq bigint", "seq bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def events_of_reads(reads: DataFrame, key: str, order: str, text: str) -> DataFrame:
-    """Events (key, n, json) of server-sent streams that arrived in reads of any size, in order.
-
-    A line may be cut by a read anywhere and counts once its end has arrived; of those, `data:` lines
-    with something in them are events.
-    """
-
-    def fold():
-        rest, n = "", 0
-
-        def read(row):
-            nonlocal rest, n
-            if row is None:
-                return []
-            *lines, rest = (rest + (row[2] or "")).split("\n")
-            out = []
-            for line in lines:
-                data = line.strip()
-                if data.startswith("data:") and (data := data.removeprefix("data:").strip()):
-                    out.append((row[0], n, data))
-                    n += 1
-            return out
-
-        return read
-
-    rows = reads.select(key, F.col(order).alias("_order"), F.col(text).alias("_text"))
-    return in_order(rows, key, ["_order"], fold, StructType([rows.schema[0], StructField("n", LongType()), StructField("json", StringType())]))
-
-
 def gated(requests: DataFrame, time: str, order: str, gap: int, keys: list[str] | None = None) -> DataFrame:
     """Requests with `fires`, when a gate lets them through that keeps calls `gap` apart.
 
@@ -141,27 +111,6 @@ def gated(requests: DataFrame, time: str, order: str, gap: int, keys: list[str]
     return spaced.withColumn("fires", F.col("_n") + F.col("_late")).drop("_n", "_late", scan.PART, scan.AT)
 
 
-def admitted(requests: DataFrame, key: str, begin: str, end: str, order: str) -> DataFrame:
-    """Requests (key, order) with whether they are let in: one run of a key at a time, others are turned away."""
-
-    def fold():
-        busy = None
-
-        def ask(row):
-            nonlocal busy
-            if row is None:
-                return []
-            free = busy is None or row[1] >= busy
-            if free:
-                busy = row[2]
-            return [(row[0], row[3], free)]
-
-        return ask
-
-    rows = requests.select(key, F.col(begin).cast("bigint").alias("_begin"), F.col(end).cast("bigint").alias("_end"), F.col(order).cast("bigint").alias(order))
-    return in_order(rows, key, ["_begin", order], fold, StructType([rows.schema[0], rows.schema[3], StructField("admitted", BooleanType())]))
-
-
 def stream_files(spark: SparkSession, folder: str, per_trigger: int = 16) -> DataFrame:
     """Events from files of JSON lines as they arrive, so many files at a time."""
     return parsed(spark.readStream.option("maxFilesPerTrigger", per_trigger).text(folder))
