@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -22,6 +23,13 @@ PARTLY = frozenset(["svg", "xmp"])
 INLINE_RAW = frozenset(["svg", "annotation", "annotation-xml"])
 ANY_TAG = re.compile(r"<[^>]*>")
 SVG_TEXT = re.compile(r"<text\b[^>]*>(.*?)</text\s*>", re.S | re.I)
+#: Tags that no drawing or choice holds: there an element of these that was never closed ends, and its page goes on.
+BLOCKS = "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table tbody td th thead tr ul"
+BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(BLOCKS.split())})(?=[\s/>])", re.I)
+#: Elements that end at such a tag even before an end tag, and those that do if there is none; scripts, styles and fields of text go on to the end.
+BROKEN_OUT = frozenset(["svg", "select"])
+NEVER_CLOSED = frozenset("svg select template noscript iframe noembed noframes annotation annotation-xml".split())
+FOREIGN = re.compile(r"<(?:foreignObject|desc|title)\b", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big canvas cite code data del dfn em font i ins kbd label mark math nobr object q rp rt ruby s samp small span strike strong sub sup time tt u var wbr picture semantics mrow mi mn mo ms mtext msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded mphantom menclose mspace mtable mtr mtd".split())
 #: What an open element of the first kind is closed by.
 CLOSES = {
@@ -38,6 +46,12 @@ CLOSES = {
 #: Elements that an open one isn't looked for beyond.
 SCOPE = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table"]), "td": frozenset(["table"]), "th": frozenset(["table"]), "p": frozenset(["table", "td", "th", "button", "object"])}
 
+#: By a tag: the open elements that it closes, and those that it looks no further than.
+CLOSED_BY = {name: [x for x in CLOSES if name in CLOSES[x]] for name in set().union(*CLOSES.values())}
+BARRIERS = ("article", "section", "main", "table")
+#: End tags of these aren't looked for far beyond a barrier.
+LOCAL = frozenset(["p", "li", "div", "span", "td", "tr"])
+
 KINDS = ["html body", "head title", "article", "main", "section", "div", "p", "h1 h2 h3 h4 h5 h6", "ul ol menu dl", "li dt dd", "nav", "aside", "header", "footer", "form fieldset button legend", "table tbody thead tfoot tr", "td th", "blockquote pre figure figcaption", "dialog details summary"]
 KIND = {tag: k for k, tags in enumerate(KINDS) for tag in tags.split()}
 OTHER = len(KINDS)
@@ -71,6 +85,63 @@ def told(attributes: str) -> int:
     return bits
 
 
+class Open:
+    """The open elements, with the places of each name, so that looking for one does not go through all."""
+
+    def __init__(self):
+        self.names, self.nodes = ["html"], [0]
+        self.at: dict[str, list[int]] = {}
+
+    def push(self, name: str, node: int) -> None:
+        self.at.setdefault(name, []).append(len(self.names))
+        self.names.append(name)
+        self.nodes.append(node)
+
+    def last(self, name: str) -> int:
+        """The place of the last open element of a name, or 0."""
+        places = self.at.get(name)
+        return places[-1] if places else 0
+
+    def cut(self, place: int) -> None:
+        """Close all elements from a place on."""
+        for name in reversed(self.names[place:]):
+            self.at[name].pop()
+        del self.names[place:], self.nodes[place:]
+
+    def end(self, name: str) -> None:
+        """An end tag: closes the last element of its name, unless that is far beyond a barrier."""
+        place = self.last(name)
+        if not place:
+            return
+        if name in LOCAL:
+            for barrier in BARRIERS:
+                places = self.at.get(barrier, ())
+                k = bisect_left(places, len(self.names) - 8)
+                if k and places[k - 1] > place:
+                    return
+        self.cut(place)
+
+    def begin(self, name: str) -> None:
+        """A tag: closes the last open element that can't hold it, if no barrier is in between."""
+        closes = max((self.last(x) for x in CLOSED_BY.get(name, ())), default=0)
+        if closes and closes >= max(max(map(self.last, BARRIERS)), max((self.last(x) for x in SCOPE.get(name, ())), default=0)):
+            self.cut(closes)
+
+
+def raw_end(source: str, name: str, begin: int) -> tuple[int, int]:
+    """Where the content of a raw element ends, and where the page goes on.
+
+    A drawing or choice ends at a block's tag if it isn't closed before, other elements if they are never
+    closed. What a drawing holds of other pages may have blocks.
+    """
+    close = re.compile(f"</{re.escape(name)}\\b[^>]*(?:>|\\Z)", re.I).search(source, begin)
+    if name in BROKEN_OUT or (close is None and name in NEVER_CLOSED):
+        block = BLOCK_TAG.search(source, begin, close.start() if close else len(source))
+        if block and not FOREIGN.search(source, begin, block.start()):
+            return block.start(), block.start()
+    return (close.start(), close.end()) if close else (len(source), len(source))
+
+
 class Page:
     """The elements of a page that aren't inline, in page order, and its runs of text.
 
@@ -85,9 +156,9 @@ class Page:
         self._read(source)
 
     def _read(self, source: str) -> None:
-        names, nodes = ["html"], [0]  # open elements and the node that each belongs to
+        open_ = Open()
+        nodes = open_.nodes  # the node that each open element belongs to
         links, buffer, pos, size = 0, [], 0, len(source)
-        close = None
 
         def flush() -> None:
             if buffer:
@@ -125,14 +196,7 @@ class Page:
                     continue
                 flush()
                 links = 0
-                if name == "p" and "p" not in names:
-                    continue
-                for k in range(len(names) - 1, 0, -1):
-                    if names[k] == name:
-                        del names[k:], nodes[k:]
-                        break
-                    if names[k] in ("table", "article", "main", "section") and name in ("p", "li", "div", "span", "td", "tr") and name != names[k] and k < len(names) - 8:
-                        break
+                open_.end(name)
                 continue
             if name in INLINE:
                 if name == "a":
@@ -148,9 +212,8 @@ class Page:
             if name in RAW or name in PARTLY:
                 begin = pos
                 if not source[found.start() : pos].endswith("/>"):
-                    close = re.compile(f"</{re.escape(name)}\\b[^>]*(?:>|\\Z)", re.I).search(source, pos)
-                    pos = close.end() if close else size
-                    inner = source[begin : close.start() if close else size]
+                    end, pos = raw_end(source, name, begin)
+                    inner = source[begin:end]
                     if name == "svg":
                         buffer += [f" {ANY_TAG.sub(' ', x)} " for x in SVG_TEXT.findall(inner)]
                     elif name == "xmp":
@@ -160,20 +223,14 @@ class Page:
                 continue
             flush()
             links = 0
-            for k in range(len(names) - 1, 0, -1):
-                if name in CLOSES.get(names[k], ()):
-                    del names[k:], nodes[k:]
-                    break
-                if names[k] in SCOPE.get(name, ()) or names[k] in ("article", "section", "main", "table"):
-                    break
+            open_.begin(name)
             self.parent.append(nodes[-1])
             self.kind.append(KIND.get(name, OTHER))
             self.depth.append(self.depth[nodes[-1]] + 1)
             self.told.append(told(found[3]) if len(found[3]) > 4 else 0)
             self.tag_count.append(1)
             self.link_chars.append(0)
-            names.append(name)
-            nodes.append(len(self.kind) - 1)
+            open_.push(name, len(self.kind) - 1)
         flush()
 
     def features(self) -> np.ndarray:
