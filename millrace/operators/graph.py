@@ -12,7 +12,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from millrace.functions import text as T
 from millrace.operators import scan
-from millrace.sources.durable import cut, dropped, stored
+from millrace.sources.durable import dropped, stored
 
 #: Nodes and edges of a part of a graph that one task queues; a few hundred bytes each.
 WHOLE = 500_000
@@ -222,15 +222,17 @@ def unique_names(names: DataFrame) -> DataFrame:
     """
     segments = F.transform(F.filter(F.split("path", "/"), lambda x: ~x.isin("", ".", "..")), T.identifier)
     ends = F.when(F.size(segments) >= 2, F.transform(F.sequence(F.lit(2), F.size(segments)), lambda n: F.array_join(F.slice(segments, -n, n), "_"))).otherwise(F.array().cast("array<string>"))
-    open_ = cut(names.select("name", "path", "ord", F.concat(F.array("name"), ends).alias("choices"), F.lit(0).alias("tried"), F.lit(2).cast("bigint").alias("number")))
+    open_ = stored(names.select("name", "path", "ord", F.concat(F.array("name"), ends).alias("choices"), F.lit(0).alias("tried"), F.lit(2).cast("bigint").alias("number")), "names")
     while True:
         numbered = F.col("tried") >= F.size("choices")
         earlier = F.row_number().over(Window.partitionBy("name").orderBy("ord")) - 1
         down = open_.filter(numbered).withColumn("number", F.greatest(F.col("number"), earlier + 2))
         asked = open_.filter(~numbered).unionByName(down).withColumn("unique", F.when(numbered, F.concat_ws("_", "name", F.col("number").cast("string"))).otherwise(F.get("choices", F.col("tried"))))
         first = asked.groupBy("unique").agg(F.min("ord").alias("_first"))
-        settled = cut(asked.join(first, "unique").withColumn("_lost", F.col("ord") > F.col("_first")))
+        settled = stored(asked.join(first, "unique").withColumn("_lost", F.col("ord") > F.col("_first")), "names")
+        dropped(open_)
         if settled.filter("_lost").isEmpty():
             return settled.select("name", "path", "ord", "unique")
         lost = F.col("_lost")
-        open_ = settled.select("name", "path", "ord", "choices", F.when(lost & ~numbered, F.col("tried") + 1).otherwise(F.col("tried")).alias("tried"), F.when(lost & numbered, F.col("number") + 1).otherwise(F.col("number")).alias("number"))
+        open_ = stored(settled.select("name", "path", "ord", "choices", F.when(lost & ~numbered, F.col("tried") + 1).otherwise(F.col("tried")).alias("tried"), F.when(lost & numbered, F.col("number") + 1).otherwise(F.col("number")).alias("number")), "names")
+        dropped(settled)

@@ -336,6 +336,12 @@ def declaration_blocks(files: DataFrame, key: str, text: str, size: int = CHUNK)
     return whole.select(key, "block", F.when(function, "fn").otherwise("data").alias("kind"), F.when(function, signature).otherwise(text).alias("decl"), head.alias("head")).filter("decl <> ';'")
 
 
+def contract_parts(blocks: DataFrame, key: str) -> DataFrame:
+    """Per text with declarations: data, its data declarations with a blank line between, and signatures, a line each."""
+    of = lambda kind, between: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("block", "decl")))), lambda b: b.decl), between)
+    return blocks.groupBy(key).agg(of("data", "\n\n").alias("data"), of("fn", "\n").alias("signatures"))
+
+
 # -- heads of paths -----------------------------------------------------------------------------------------
 
 #: Where a path lexer can be: in code after a mark that no head follows or any other, or in one of these.

@@ -191,20 +191,29 @@ BLOCK_CODE = [(", ", " { "), (" de ", " } "), (" the ", " } "), (" und ", " } ")
 BLOCK_SQL = _as_code_sql(BLOCK_CODE)
 
 
-@query("w06_declaration_blocks", rf"""WITH RECURSIVE l AS (SELECT doc_id, CAST(generate_subscripts(s, 1) AS BIGINT) AS k, unnest(s) AS line FROM (SELECT doc_id, string_split({BLOCK_SQL}, chr(10)) AS s FROM documents WHERE text <> '')),
+#: Declarations of a text with what they are closed by.
+DECLARED = rf"""WITH RECURSIVE l AS (SELECT doc_id, CAST(generate_subscripts(s, 1) AS BIGINT) AS k, unnest(s) AS line FROM (SELECT doc_id, string_split({BLOCK_SQL}, chr(10)) AS s FROM documents WHERE text <> '')),
     b AS (SELECT *, trim(line) AS bare, regexp_replace(line, '[^{{}}]', '', 'g') AS br FROM l),
     m AS (SELECT *, CAST(2 * length(replace(br, '}}', '')) - length(br) AS BIGINT) AS change, coalesce(list_min([2 * length(replace(br[:i], '}}', '')) - i FOR i IN range(1, length(br) + 1) IF br[i] = '}}']), 1000000) AS least, regexp_matches(bare, '^pub (fn|async fn|struct|enum|trait|type|const|static|mod|impl) ') AS begins, ends_with(bare, ';') AS ended FROM b),
     f AS (SELECT doc_id, k, begins AS inside, CASE WHEN begins THEN 1 ELSE 0 END AS n, change AS depth, CASE WHEN NOT begins THEN NULL WHEN least <= 0 THEN 'b' WHEN ended AND change = 0 THEN 's' END AS closed FROM m WHERE k = 1
     UNION ALL SELECT m.doc_id, m.k, m.inside, m.n, m.was + m.change, CASE WHEN NOT m.inside THEN NULL WHEN m.was + least <= 0 THEN 'b' WHEN ended AND m.was + m.change = 0 THEN 's' END
     FROM (SELECT m.*, (f.inside AND f.closed IS NULL) OR m.begins AS inside, f.n + CASE WHEN NOT (f.inside AND f.closed IS NULL) AND m.begins THEN 1 ELSE 0 END AS n, CASE WHEN f.inside AND f.closed IS NULL THEN f.depth ELSE 0 END AS was FROM f JOIN m ON m.doc_id = f.doc_id AND m.k = f.k + 1) m),
-    g AS (SELECT doc_id, CAST(n - 1 AS BIGINT) AS block, string_agg(line, chr(10) ORDER BY k) AS text, max(closed) AS closed, trim(arg_min(line, k)) AS first FROM f JOIN l USING (doc_id, k) WHERE inside GROUP BY 1, 2)
-    SELECT doc_id, block, CASE WHEN regexp_matches(first, '^pub (async )?fn ') THEN 'fn' ELSE 'data' END AS kind, CASE WHEN regexp_matches(first, '^pub (async )?fn ') THEN concat(regexp_replace(regexp_replace(split_part(text, '{{', 1), '^\s+|\s+$', '', 'g'), ';+$', ''), ';') ELSE text END AS decl,
-    CASE closed WHEN 's' THEN regexp_replace(first, ';+$', '') ELSE trim(regexp_replace(first, '\{{+$', '')) END AS head FROM g WHERE closed IS NOT NULL""")
+    g AS (SELECT doc_id, CAST(n - 1 AS BIGINT) AS block, string_agg(line, chr(10) ORDER BY k) AS text, max(closed) AS closed, trim(arg_min(line, k)) AS first FROM f JOIN l USING (doc_id, k) WHERE inside GROUP BY 1, 2),
+    w AS (SELECT doc_id, block, CASE WHEN regexp_matches(first, '^pub (async )?fn ') THEN 'fn' ELSE 'data' END AS kind, CASE WHEN regexp_matches(first, '^pub (async )?fn ') THEN concat(regexp_replace(regexp_replace(split_part(text, '{{', 1), '^\s+|\s+$', '', 'g'), ';+$', ''), ';') ELSE text END AS decl,
+    CASE closed WHEN 's' THEN regexp_replace(first, ';+$', '') ELSE trim(regexp_replace(first, '\{{+$', '')) END AS head FROM g WHERE closed IS NOT NULL)"""
+
+
+@query("w06_declaration_blocks", f"{DECLARED} SELECT * FROM w")
 def _(t):
     """Declarations of whole texts; a text's lines are cut into chunks that any task may read."""
     return lexers.declaration_blocks(t.documents.select("doc_id", _as_code(BLOCK_CODE).alias("text")), "doc_id", "text")
 
 
+@query("w07_contract_parts", f"{DECLARED} SELECT doc_id, coalesce(string_agg(decl, chr(10) || chr(10) ORDER BY block) FILTER (WHERE kind = 'data'), '') AS data, coalesce(string_agg(decl, chr(10) ORDER BY block) FILTER (WHERE kind = 'fn'), '') AS signatures FROM w GROUP BY 1")
+def _(t):
+    return lexers.contract_parts(lexers.declaration_blocks(t.documents.select("doc_id", _as_code(BLOCK_CODE).alias("text")), "doc_id", "text"), "doc_id")
+
+
 #: Lines that open, close, hide and turn comments.
 COMMENTED = ("x", "a /* b", "c */ d", "// see /* here", "/* a /* b */", "*/ y", "/*/", "/* a */ b /* c", "z */ // */ /*", "a / * b", "s // */", "/**/ /*")
 
