@@ -12,6 +12,7 @@ ranking is one sort of such integers.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,6 +31,8 @@ TRAIN_DOCS = 2000
 LANGS = 256
 #: Symbols of an n-gram at most, the bits of a symbol, and the prime below 2^15 that code points are taken modulo.
 LONGEST, BITS, SYMBOLS = 4, 15, 32749
+#: Characters that are counted at once, and where a text may be cut: at what is no letter and doesn't bear on how letters next to it are lower-cased.
+SLICE, CUT = 1 << 20, re.compile("[\\s()\\[\\]{},;!?/\"<>=+*&%$#@|~\\u3000-\\u3003\\u3008-\\u3011\\uff01\\uff0c\\uff1f-]")
 #: How fast a share falls with the distance, which is 0 to 1.
 TEMPERATURE = 0.02
 
@@ -67,6 +70,29 @@ def counted(every: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return every[first], np.diff(np.append(first, len(every)))
 
 
+def added(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two counts of n-grams as one."""
+    every, at = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
+    return every, np.bincount(at, np.concatenate([a[1], b[1]]), len(every)).astype(np.int64)
+
+
+def counts_of(text: str, size: int = SLICE) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of a text, ascending, and how often each occurs.
+
+    A long text is counted in slices that end before white space or punctuation, where no n-gram goes on; so
+    memory is that of a slice and of what is distinct.
+    """
+    if len(text) <= 2 * size:
+        return counted(grams(text))
+    total, at = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), 0
+    while at < len(text):
+        gap = CUT.search(text, at + size)
+        end = gap.start() if gap else len(text)
+        total = added(total, counted(grams(text[at:end])))
+        at = end
+    return total
+
+
 def ranked(ids: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     """The `size` most frequent of ascending n-grams, most frequent first; ties go to the smaller n-gram."""
     if not len(ids):
@@ -88,7 +114,7 @@ class Profiles:
 
     def distances(self, text: str) -> np.ndarray | None:
         """Out-of-place distance to each profile, from 0 to 1; None for a text without letters."""
-        top = ranked(*counted(grams(text)), self.size)
+        top = ranked(*counts_of(text), self.size)
         if not len(top):
             return None
         if not len(self.ids):
@@ -128,14 +154,13 @@ def learn(docs: DataFrame, lang: str = "lang", doc_id: str = "doc_id", text: str
         for batch in batches:
             new: dict[str, list] = {}
             for lang_, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                new.setdefault(lang_, []).append(grams(t))
+                if len(t) > SLICE:
+                    total[lang_] = added(total[lang_], counts_of(t)) if lang_ in total else counts_of(t)
+                else:
+                    new.setdefault(lang_, []).append(grams(t))
             for lang_, found in new.items():
-                ids, n = counted(np.concatenate(found))
-                if lang_ in total:
-                    every, at = np.unique(np.concatenate([total[lang_][0], ids]), return_inverse=True)
-                    n = np.bincount(at, np.concatenate([total[lang_][1], n]), len(every)).astype(np.int64)
-                    ids = every
-                total[lang_] = ids, n
+                own = counted(np.concatenate(found))
+                total[lang_] = added(total[lang_], own) if lang_ in total else own
         profiles = [ranked(ids, n, size).view(np.int64) for ids, n in total.values()]
         yield pa.RecordBatch.from_pydict({"lang": pa.array(list(total), pa.string()), "ids": pa.array(profiles, pa.list_(pa.int64()))})
 

@@ -422,3 +422,16 @@ def test_pipeline_stages_by_brute_force(spark):
     tok = bytebpe.json_tokenizer(vocabularies.path("word_bpe_49k.json"))
     ids = {k: [*tok.encode(t, add_special_tokens=False).ids, 0] for k, t in texts.items()}
     assert {(r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in packed} == {(k, s, len(x[s : s + 2048]), zlib.crc32(np.array(x[s : s + 2048], "<u4").tobytes())) for k, x in ids.items() for s in range(0, len(x), 2048)}
+
+
+def test_language_counts_in_slices():
+    """A long text is cut only where no n-gram goes on and no letter is lower-cased in another way."""
+    import random
+
+    from millrace.llm import langid
+
+    rng = random.Random(1)
+    for _ in range(300):
+        text = "".join(rng.choice("ab Éß日'ΣσİI_9\n.-,") for _ in range(rng.randint(0, 200)))
+        whole, cut = langid.counted(langid.grams(text)), langid.counts_of(text, rng.choice([1, 3, 10]))
+        assert whole[0].tolist() == cut[0].tolist() and whole[1].tolist() == cut[1].tolist()
