@@ -214,6 +214,54 @@ def _(t):
     return lexers.contract_parts(lexers.declaration_blocks(t.documents.select("doc_id", _as_code(BLOCK_CODE).alias("text")), "doc_id", "text"), "doc_id")
 
 
+_BLOCK_LINES = f"l AS (SELECT doc_id, CAST(generate_subscripts(s, 1) AS BIGINT) - 1 AS pos, unnest(s) AS line FROM (SELECT doc_id, string_split(regexp_replace({BLOCK_SQL}, '\\r?\\n$', ''), chr(10)) AS s FROM documents WHERE text <> ''))"
+_PUBLIC = "regexp_matches(trim(line), '^pub (fn|async fn|struct|enum|trait|type|const|static|mod|impl) ')"
+
+
+@query("r26_public_lines", f"WITH {_BLOCK_LINES} SELECT doc_id, pos, {_PUBLIC} AS public FROM l")
+def _(t):
+    """Lines of whole texts, of which some declare."""
+    lines = records.numbered(t.documents.select("doc_id", _as_code(BLOCK_CODE).alias("text")), "doc_id", "text")
+    return lines.select("doc_id", F.col("pos").cast("bigint").alias("pos"), C.declares_public(F.col("line")).alias("public"))
+
+
+@query("f18_declared_names", f"WITH {_BLOCK_LINES} SELECT doc_id, pos, nullif(string_split_regex(string_split(trim(line), CASE WHEN starts_with(trim(line), 'pub async ') THEN 'pub async fn ' WHEN starts_with(trim(line), 'pub fn') THEN 'pub fn ' WHEN starts_with(trim(line), 'pub s') THEN 'pub struct ' WHEN starts_with(trim(line), 'pub c') THEN 'pub const ' ELSE 'pub trait ' END)[2], '[(<: ]')[1], '') AS name FROM l WHERE {_PUBLIC}")
+def _(t):
+    """Names that declarations of whole texts declare."""
+    lines = records.numbered(t.documents.select("doc_id", _as_code(BLOCK_CODE).alias("text")), "doc_id", "text").filter(C.declares_public(F.col("line")))
+    return lines.select("doc_id", F.col("pos").cast("bigint").alias("pos"), T.declared_name(F.trim("line")).alias("name"))
+
+
+#: Regions that are ended, begun anew, left open or empty; sections with settings, comments and other lines.
+REGION_CODE = [("\nE", "\n<<<src=e.go>>>\nE"), ("\nT", "\n<<<end>>>\nT"), ("\nD", "\n// <<<src=d d.go>>> x\n \n<<<end>>>"), (". ", ".\n"), ("\nL", "\n<<<src=l.go>>>\nL")]
+SECTION_CODE = [("\nE", "\n[dependencies]\nE"), ("\nT", "\n  [other] x\nT"), (" de ", " = "), (" the ", "="), (" der ", " = "), (". ", ".\n"), ("\nL", "\n # L"), ("\nA", "\n[dependencies.a]\nA")]
+
+
+def _lines_of(pairs):
+    return f"l AS (SELECT doc_id AS file, generate_subscripts(s, 1) AS pos, unnest(s) AS line FROM (SELECT doc_id, string_split(regexp_replace({_as_code_sql(pairs)}, '\\r?\\n$', ''), chr(10)) AS s FROM documents WHERE text <> ''))"
+
+
+@query("src13_regions_of_texts", f"""WITH {_lines_of(REGION_CODE)}, m AS (SELECT *, nullif(regexp_extract(line, '<<<src=(.+?)>>>', 1), '') AS begins, contains(line, '<<<end>>>') AS ends FROM l),
+    r AS (SELECT *, count(begins) OVER (PARTITION BY file ORDER BY pos) AS region FROM m), e AS (SELECT *, min(CASE WHEN ends THEN pos END) OVER (PARTITION BY file, region) AS stop, max(begins) OVER (PARTITION BY file, region) AS path FROM r)
+    SELECT file, path, string_agg(line, chr(10) ORDER BY pos) AS body FROM e WHERE region > 0 AND begins IS NULL AND (stop IS NULL OR pos < stop) GROUP BY file, region, path HAVING trim(string_agg(line, '')) <> ''""")
+def _(t):
+    return records.regions(t.documents.select(F.col("doc_id").alias("file"), _as_code(REGION_CODE).alias("text")))
+
+
+@query("src18_sections_of_texts", f"""WITH {_lines_of(SECTION_CODE)}, m AS (SELECT *, nullif(regexp_extract(trim(line), '^\\[([^\\]]+)\\]', 1), '') AS head FROM l), n AS (SELECT *, last_value(head IGNORE NULLS) OVER (PARTITION BY file ORDER BY pos) AS section FROM m)
+    SELECT file, trim(split_part(line, '=', 1)) AS name FROM n WHERE section = 'dependencies' AND head IS NULL AND contains(line, '=') AND NOT starts_with(trim(line), '#')""")
+def _(t):
+    return records.section_names(t.documents.select(F.col("doc_id").alias("file"), _as_code(SECTION_CODE).alias("text")), "dependencies")
+
+
+CANON_CODE = [(" de ", "=True\n"), (" the ", "=False  \n \n"), (" la ", "=Trueish\n"), (". ", ".\n\n  "), (" der ", " False\n")]
+
+
+@query("f21_canonical_texts", f"SELECT doc_id, array_to_string([CASE WHEN ends_with(x, '=True') THEN concat(x[:-5], 'true') WHEN ends_with(x, '=False') THEN concat(x[:-6], 'false') ELSE x END FOR x IN [trim(y) FOR y IN string_split({_as_code_sql(CANON_CODE)}, chr(10))] IF x <> ''], chr(10)) AS text FROM documents")
+def _(t):
+    return t.documents.select("doc_id", T.canonical(_as_code(CANON_CODE)).alias("text"))
+
+
 #: Lines that open, close, hide and turn comments.
 COMMENTED = ("x", "a /* b", "c */ d", "// see /* here", "/* a /* b */", "*/ y", "/*/", "/* a */ b /* c", "z */ // */ /*", "a / * b", "s // */", "/**/ /*")
 
