@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import discard, small_batches, written
 from millrace.llm.components import components
-from millrace.llm.vptree import usable
+from millrace.llm.vptree import one_vector_each, several_vectors, signature, usable
 
 THRESHOLD = 0.95
 #: Vectors for which there is one cell, and cells at most (which bounds what a worker keeps of pivots).
@@ -67,6 +67,11 @@ def pivots(d: int, cells: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def balanced(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component near 1: same directions to the bit, and no square over- or underflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def packed(bits: np.ndarray) -> np.ndarray:
     """Rows of booleans as bytes."""
     return np.packbits(bits, axis=1, bitorder="little")
@@ -200,7 +205,7 @@ def code(embedding: Column, cells: int, threshold: float) -> Column:
             found: list = [None] * len(width)
             for w in np.unique(width):
                 at = np.flatnonzero(width == w)
-                x = flat[start[at][:, None] + np.arange(w)]
+                x = balanced(flat[start[at][:, None] + np.arange(w)])
                 unit = x / np.linalg.norm(x, axis=1, keepdims=True)
                 c = Codes.of(unit)
                 for k, own in zip(range(len(at)), cells_of(unit, cells, threshold), strict=True):
@@ -263,6 +268,7 @@ def compared(rows: pa.Table, threshold: float) -> pa.Table:
     d = rows.column("d")[0].as_py()
     codes, node, weight = stored(rows, d), rows.column("node").to_numpy(), rows.column("weight").to_numpy()
     x = rows.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
+    x = balanced(x) if len(x) else x
     width = rows.column("cells").combine_chunks().value_lengths().to_numpy()
     lists = np.full((len(rows), int(width.max())), -1, np.int32)
     lists[np.arange(lists.shape[1])[None] < width[:, None]] = rows.column("cells").combine_chunks().flatten().to_numpy()
@@ -313,24 +319,20 @@ def dealt(members: DataFrame, block: int) -> DataFrame:
     return split.select("task", F.col("_at.x").alias("x"), F.col("_at.y").alias("y"), "block", *members.columns)
 
 
-def signature(vector: Column) -> Column:
-    """128 bits that stand for a vector in joins, so that vectors aren't compared there."""
-    return F.struct(F.xxhash64(vector).alias("a"), F.xxhash64(F.lit(SEED), vector).alias("b"))
-
-
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, cell: int = CELL) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept.
 
     Vectors with a cosine from `threshold` on are linked; n_links counts the other vectors linked
     directly, component_id is the smallest vec_id reachable, and kept says that it is the row's own.
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor
-    do vectors of different lengths with each other. Rows that repeat an id with the same vector are
-    that one vector. An empty table gives no rows; other columns are not read.
+    do vectors of different lengths with each other. Rows that repeat an id are one vector: of different
+    ones, that with the smallest signature counts, for all rows of the id. An empty table gives no rows; other columns are not read.
     """
     rows = vectors.select("vec_id", "embedding").withColumn("_ok", usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     valid = rows.filter("_ok")
     cells = max(1, min(CELLS, rows.count() // cell))
-    nodes = valid.groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count_distinct("vec_id").alias("weight"))
+    several = several_vectors(valid)
+    nodes = one_vector_each(valid, several).groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count_distinct("vec_id").alias("weight"))
     small_batches(vectors.sparkSession)
     coded = written(nodes.select("embedding", "node", "weight", F.size("embedding").alias("d"), code(F.col("embedding"), cells, threshold).alias("c")).select("embedding", "node", "weight", "d", "c.*"), "codes")
     codes = ["signs", "factor", "low", "step", "levels"]
@@ -344,7 +346,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     known = written(coded.select(signature(F.col("embedding")).alias("_sig"), "node", "weight").join(links_of, "node", "left").join(ends, "node", "left").select("_sig", "node", "weight", "links", "component"), "known")
     for t in (coded, doubt, found, ends):
         discard(t)
-    own = valid.select("vec_id", signature(F.col("embedding")).alias("_sig")).join(known, "_sig", "left")
+    own = valid.select("vec_id", signature(F.col("embedding")).alias("_sig"))
+    if several is not None:
+        own = own.join(several, "vec_id", "left").select("vec_id", F.coalesce("_first", "_sig").alias("_sig"))
+    own = own.join(known, "_sig", "left")
     own = own.select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).cast("bigint").alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     rest = rows.filter("not _ok").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return own.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

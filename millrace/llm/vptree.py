@@ -42,6 +42,31 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0)
 
 
+def signature(vector: Column | str) -> Column:
+    """128 bits that stand for a vector in joins, so that vectors aren't compared there."""
+    return F.struct(F.xxhash64(vector).alias("a"), F.xxhash64(F.lit(77), vector).alias("b"))
+
+
+def several_vectors(rows: DataFrame) -> DataFrame | None:
+    """Ids (vec_id) of rows that have different vectors, with the signature of the one that counts, `_first`; null if there are none.
+
+    An id stands for one vector: of different ones, that with the smallest signature, in any order of rows.
+    """
+    sig = signature("embedding")
+    found = written(rows.groupBy("vec_id").agg(F.min(sig).alias("_first"), F.max(sig).alias("_last")).filter("_first <> _last").select("vec_id", "_first"), "several")
+    if not found.isEmpty():
+        return found
+    discard(found)
+    return None
+
+
+def one_vector_each(rows: DataFrame, several: DataFrame | None) -> DataFrame:
+    """Rows (vec_id, embedding) whose vector is the one that counts for its id."""
+    if several is None:
+        return rows
+    return rows.join(several, "vec_id", "left").filter(F.col("_first").isNull() | (F.col("_first") == signature("embedding"))).drop("_first")
+
+
 @dataclass
 class Node:
     """A vantage point with the ranges of distances inside and outside its median, or a leaf's rows."""
@@ -210,13 +235,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float =
     distance), nearest first and ties to the smaller vec_id; fewer rows where there are fewer
     candidates. A vector isn't a neighbour of queries with its own vec_id. Vectors and queries that are
     null, empty, zero, or hold null or non-finite components, or have a null id, take no part, and
-    vectors of another length than the query's aren't its candidates. Repeated rows count once if they
-    are the same in id and vector. Other columns are not read, so clashing names do not matter.
+    vectors of another length than the query's aren't its candidates. Repeated rows count once; of rows
+    of one id with different vectors, those of the vector with the smallest signature count. Other columns are not read, so clashing names do not matter.
     """
     spark = vectors.sparkSession
     small_batches(spark)
     clean = lambda df: df.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     own, asked = clean(vectors), clean(queries).dropDuplicates(["vec_id", "embedding"])
+    several = several_vectors(own)
+    own, asked = one_vector_each(own, several), one_vector_each(asked, several_vectors(asked))
     total = vectors.count()
     wanted = min(PIVOTS_MOST, max(PIVOTS_LEAST, -(-total // shard)))
     # about twice as many by hash, of which the first by hash are taken: the same in every run

@@ -140,3 +140,31 @@ def test_main_text(spark):
     assert by[1]["text"] == by[2]["text"] == by[3]["text"] == "" and by[1]["n_chars"] == 0
     assert by[4]["text"].startswith("T word and & word.") and by[4]["n_chars"] == len(by[4]["text"])
     assert maintext.extract(pages.limit(0)).count() == 0
+
+
+def test_ids_with_several_vectors(spark):
+    """An id stands for one vector, whatever the order of rows, and all its rows have that vector's result."""
+    from millrace.llm import rabitq, vptree
+
+    one, other, far = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, one), (2, one), (3, other), (4, other), (7, one), (7, other), (9, far), (9, far)]
+    results = []
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "vec_id long, embedding array<double>").repartition(3)
+        results.append(sorted(map(tuple, rabitq.near_duplicates(df).collect())))
+    assert results[0] == results[1] and len(results[0]) == len(rows)
+    found = {r[0]: r[1:] for r in results[0]}
+    with_one = found[7][1] == 1  # component of the vector that counts
+    assert found[7] == ((2, 1, False) if with_one else (2, 3, False))
+    assert found[1] == found[2][:1] + (1, True) and found[1][0] == (2 if with_one else 1) and found[3][0] == (1 if with_one else 2)
+    assert found[9] == (0, 9, True)
+    near = vptree.nearest(df, df.filter("vec_id in (1, 7)")).collect()
+    assert all(len({r["vec_id"] for r in near if r["query_id"] == q}) == len([r for r in near if r["query_id"] == q]) == 5 for q in (1, 7))
+
+
+def test_squares_that_over_and_underflow(spark):
+    from millrace.llm import rabitq
+
+    rows = [(1, [1e200, 1e200]), (2, [3.0, 3.0]), (3, [1e-200, 1e-200]), (4, [5e-324, 0.0]), (5, [1e300, 1e-300])]
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rabitq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert found == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4)}
