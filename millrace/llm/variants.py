@@ -35,8 +35,8 @@ LOSES = 31
 POWER = 5
 #: Distinct words that a task counts before it hands them on, and code points of a text that are split at once.
 ENTRIES, SLICE = 400_000, 4 << 20
-#: Words up to this length are keyed many at a time.
-SHORT = 64
+#: Words up to this length are keyed many at a time, longer ones by so many letters.
+SHORT, BLOCK = 64, 1 << 16
 
 NO_LETTER = re.compile(rb"[^a-z\xc0-\xff]")
 VALUES = np.arange(256, dtype=np.uint64) ** np.uint64(POWER)
@@ -107,27 +107,38 @@ def keys(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
             yield from _keys(part, chars)
 
 
+def _summed(chars: np.ndarray, of) -> np.ndarray:
+    """Per row, the sum of what `of` gives for a block of columns and its first place; blocks bound the memory for long words."""
+    total = np.zeros(len(chars), np.uint64)
+    for k in range(0, chars.shape[1], BLOCK):
+        total += of(chars[:, k : k + BLOCK], k).sum(1, dtype=np.uint64)
+    return total
+
+
+def _hashed(chars: np.ndarray) -> np.ndarray:
+    """A number for each row of letters in their order."""
+    weight = lambda k, n: mixed(np.arange(k + 1, k + n + 1, dtype=np.uint64) * ODD)
+    return mixed(_summed(chars, lambda part, k: mixed(part.astype(np.uint64) + np.uint64(1)) * weight(k, part.shape[1])))
+
+
 def _keys(at: np.ndarray, chars: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     size = chars.shape[1]
-    values = VALUES[chars]
-    total = values.sum(1, dtype=np.uint64)
-    weight = mixed(np.arange(1, size + 1, dtype=np.uint64) * ODD)
-    hashed = lambda part: mixed((mixed(part.astype(np.uint64) + np.uint64(1)) * weight[: part.shape[1]]).sum(1, dtype=np.uint64))
+    total = _summed(chars, lambda part, _: VALUES[part])
 
     def key(anagram: np.ndarray, half: np.ndarray, length: int, first: bool) -> np.ndarray:
         salt = np.uint64(length * int(ODD) & 0xFFFFFFFFFFFFFFFF)
         return mixed(mixed(anagram + salt) + half + np.uint64(first))
 
     h = size // 2
-    yield at, key(total, hashed(chars[:, :h]), size, True), np.ones(len(at), bool)
-    yield at, key(total, hashed(chars[:, h:]), size, False), np.zeros(len(at), bool)
+    yield at, key(total, _hashed(chars[:, :h]), size, True), np.ones(len(at), bool)
+    yield at, key(total, _hashed(chars[:, h:]), size, False), np.zeros(len(at), bool)
     kept = size - 1
     h = kept // 2
-    for first, places, half in ((True, range(h, size), hashed(chars[:, :h])), (False, range(h), hashed(chars[:, h + 1 :]))):
+    for first, places, half in ((True, range(h, size), _hashed(chars[:, :h])), (False, range(h), _hashed(chars[:, h + 1 :]))):
         if size <= SHORT:
             for p in places:  # a letter that comes twice asks once
                 new = ~(chars[:, places.start : p] == chars[:, p : p + 1]).any(1)
-                yield at[new], key(total[new] - values[new, p], half[new], kept, first), np.full(int(new.sum()), first)
+                yield at[new], key(total[new] - VALUES[chars[new, p]], half[new], kept, first), np.full(int(new.sum()), first)
         else:
             for row, i in enumerate(at):
                 once = VALUES[np.unique(chars[row, places.start : places.stop])]

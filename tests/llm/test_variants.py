@@ -106,6 +106,14 @@ def test_long_words_ask_like_short_ones():
     assert asked(64) == asked(100) and len(asked(64)) <= 2 + 16
 
 
+def test_letters_in_blocks(monkeypatch):
+    words = [b"abcdefg", b"hello\xe9world", b"ab" * 60, b"aaaaaaa"]
+    asked = lambda: [x.tolist() for found in variants.keys(words) for x in found]
+    whole = asked()
+    monkeypatch.setattr(variants, "BLOCK", 3)
+    assert asked() == whole
+
+
 def test_slices_and_parts(monkeypatch):
     """A text is split between runs, wherever a slice ends."""
     text = "abcdefg hijklmno éééééééé1aaaaaaaB x " * 50
