@@ -162,7 +162,9 @@ def asked(words: DataFrame) -> DataFrame:
 def near_pairs(words: DataFrame) -> DataFrame:
     """Pairs of words (word, n) that one inserted, deleted or replaced letter sets apart, once each: a, n_a, b, n_b with a < b.
 
-    A pair can meet by the first half and by the second; it counts where its first difference says.
+    A pair can meet by the first half and by the second; it counts where its first difference says. Sides are
+    sorted by hint: Spark would take the size of the words' compressed files for that of all they ask with,
+    and send it through the driver.
     """
     rows = asked(words)
     a = rows.select("key", "first", F.col("word").alias("a"), F.col("n").alias("n_a"))
@@ -170,7 +172,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     la, lb = F.length("a"), F.length("b")
     half = (F.when(la == lb, la - 1).otherwise(F.least(la, lb)) / 2).cast("int")
     same: Column = F.substring("a", F.lit(1), half) == F.substring("b", F.lit(1), half)
-    met = a.join(b, ["key", "first"]).filter((F.col("a") < F.col("b")) & (F.abs(la - lb) <= 1) & (same == F.col("first")))
+    met = a.join(b.hint("merge"), ["key", "first"]).filter((F.col("a") < F.col("b")) & (F.abs(la - lb) <= 1) & (same == F.col("first")))
     return met.filter(F.levenshtein("a", "b", 1) == 1).select("a", "n_a", "b", "n_b")
 
 
@@ -192,15 +194,18 @@ def variants(docs: DataFrame, least_letters: int = LEAST_LETTERS, least_count: i
     formed = written(formed, "forms")
     discard(words)
     roots = _roots(formed.filter("form is not null").select("word", "form"))
-    return formed.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return formed.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def _roots(forms: DataFrame) -> DataFrame:
-    """Per word with a form: root. Ways are doubled; a form is more frequent by a factor, so they are as long as a logarithm."""
+    """Per word with a form: root. Ways are doubled; a form is more frequent by a factor, so they are as long as a logarithm.
+
+    Compressed files say too little of how large their rows are, so these joins are sorted by hint, too.
+    """
     ends = written(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         on = ends.select(F.col("word").alias("_at"), F.col("root").alias("_next"))
-        moved = written(ends.join(on, F.col("root") == F.col("_at"), "left").select("word", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("moved")), "roots")
+        moved = written(ends.join(on.hint("merge"), F.col("root") == F.col("_at"), "left").select("word", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("moved")), "roots")
         more = not moved.filter("moved").isEmpty()
         discard(ends)
         ends = moved

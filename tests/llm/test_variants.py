@@ -120,3 +120,12 @@ def test_slices_and_parts(monkeypatch):
     whole = variants.run_counts(variants.letters(text))
     monkeypatch.setattr(variants, "SLICE", 11)
     assert variants.run_counts(variants.letters(text)) == whole == Counter({b"abcdefg": 50, b"hijklmno": 50, "éééééééé".encode("latin-1"): 50, b"aaaaaaab": 50})
+
+
+def test_no_words_go_through_the_driver(spark):
+    """Compressed files of words look small, what they ask with isn't: no such table may be broadcast."""
+    docs = spark.createDataFrame(texts(1), "doc_id long, text string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    words = variants.written(variants.word_counts(docs), "words")
+    assert "Broadcast" not in plan(variants.near_pairs(words))
+    assert "Broadcast" not in plan(variants.variants(docs))
