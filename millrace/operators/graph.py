@@ -66,14 +66,46 @@ def queue_order(nodes: DataFrame, edges: DataFrame, whole: int = WHOLE) -> DataF
     those from a node to itself don't. Equal `ord`s are in the order of paths.
 
     A queue gives all of a level before any of the next, and within a level the order of what freed them,
-    back to the node without dependencies that the way began at. So parts of the graph that nothing joins
-    are queued each for itself, and put together by level, that beginning's `ord`, and their own order. A part of up
-    to `whole` nodes and edges is queued in one task, chains of any length in one go; a larger one level by
-    level, until so few are left. Jobs grow with the logarithm of the graph, and with the levels of large parts only.
+    back to the node without dependencies that the way began at. Nodes that nothing depends on free none: as long
+    as they are half of all, they are left out, and take their places after what frees them once that has its own.
+    Parts of the rest that nothing joins are queued each for itself, and put together by level, that beginning's
+    `ord`, and their own order. A part of up to `whole` nodes and edges is queued in one task, chains of any length in
+    one go; a larger one level by level, until so few are left. Jobs grow with the logarithm of the graph, and with the
+    levels of large parts only.
     """
-    nodes = stored(nodes.groupBy("path").agg(F.min("ord").alias("ord")), "nodes")
+    nodes = stored(nodes.groupBy("path").agg(F.min("ord").cast("bigint").alias("ord")), "nodes")
     own = nodes.select(F.col("path").alias("dst"))
     edges = stored(edges.filter("src <> dst").select("src", "dst").distinct().join(own, "dst", "left_semi").join(own.withColumnRenamed("dst", "src"), "src", "left_semi"), "edges")
+    return _ordered(nodes, edges, whole)
+
+
+def _ordered(nodes: DataFrame, edges: DataFrame, whole: int) -> DataFrame:
+    """What queue_order() gives for stored nodes and edges between them, which it deletes."""
+    used = stored(edges.select(F.col("dst").alias("path")).distinct(), "used")
+    n = used.count()
+    if not n or 2 * n > nodes.count():
+        dropped(used)
+        return _by_parts(nodes, edges, whole)
+    core = stored(nodes.join(used, "path", "left_semi"), "nodes")
+    inner = stored(edges.join(used.withColumnRenamed("path", "src"), "src", "left_semi"), "edges")
+    dropped(used)
+    before = stored(_ordered(core, inner, whole).select(F.col("path").alias("dst"), "level", "place"), "order")
+    stuck = F.max(F.col("level").isNull()).alias("_stuck")
+    freed = edges.join(before, "dst").groupBy(F.col("src").alias("path")).agg(stuck, F.max("level").alias("_level"), F.max("place").alias("_by"))
+    level = F.when(F.col("_stuck").isNull(), F.lit(0).cast("bigint")).when(~F.col("_stuck"), F.col("_level") + 1)
+    every = nodes.join(freed, "path", "left").select("path", "ord", level.alias("level"), F.col("_by").alias("by"))
+    placed = scan.placed(every, [], [F.col("level").isNull(), "level", F.when(F.col("level").isNotNull(), F.col("by")), "ord", "path"])
+    dropped(nodes, edges, before)
+    return _numbered(placed)
+
+
+def _numbered(placed: DataFrame) -> DataFrame:
+    """Placed nodes with their place from 0."""
+    return scan.running(placed, [], place=("sum", F.lit(1).cast("bigint"))).select("path", "level", (F.col("place") - 1).alias("place"))
+
+
+def _by_parts(nodes: DataFrame, edges: DataFrame, whole: int) -> DataFrame:
+    """What _ordered() gives, part by part."""
     parts = components(edges)
     at = parts.select(F.col("node").alias("path"), "component")
     sized = edges.select(F.col("src").alias("path")).join(at, "path").groupBy("component").count()
@@ -92,7 +124,7 @@ def queue_order(nodes: DataFrame, edges: DataFrame, whole: int = WHOLE) -> DataF
     order = [F.col("level").isNull(), "level", F.when(F.col("level").isNotNull(), F.col("root")).otherwise(F.col("ord")), F.when(F.col("level").isNotNull(), F.col("nth")), "path"]
     placed = scan.placed(every, [], order)
     dropped(nodes, edges, parts, large, queued)
-    return scan.running(placed, [], place=("sum", F.lit(1).cast("bigint"))).select("path", "level", (F.col("place") - 1).alias("place"))
+    return _numbered(placed)
 
 
 def _queued(rows: pa.Table) -> pa.Table:

@@ -42,3 +42,22 @@ def test_odd_graphs(spark):
     assert graph.queue_order(*frames(spark, [], [])).count() == 0
     found = graph.queue_order(*frames(spark, [("a", 5), ("b", 1), ("b", 3)], [("a", "a"), (None, "a"), ("b", None)])).orderBy("place").collect()
     assert [tuple(r) for r in found] == [("b", 0, 0), ("a", 0, 1)]
+
+
+def test_what_hangs_on_a_long_chain_does_not_make_it_large(spark, monkeypatch):
+    """A chain that fits a task is queued there, however many nodes hang on it."""
+    steps = []
+    own = graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, what: steps.append(what) or own(df, what))
+    n, many = 30, 5
+    chain = [(f"c{i}", 1000 * i) for i in range(n)]
+    hang = [(f"o{i}-{k}", 7919 * (i * many + k) % 1000) for i in range(n) for k in range(many)]
+    edges = [(f"c{i}", f"c{i - 1}") for i in range(1, n)] + [(f"o{i}-{k}", f"c{i}") for i in range(n) for k in range(many)] + [("o0-0", "o1-0"), ("o3-1", "c7"), ("o4-1", "x"), ("x", "y"), ("y", "x"), ("o4-2", "o4-1")]
+    nodes = [*chain, *hang, ("x", 5), ("y", 6), ("lone", 500)]
+    found = graph.queue_order(*frames(spark, nodes, edges), 80).orderBy("place").collect()
+    names = [p for p, _ in sorted(nodes, key=lambda x: (x[1], x[0]))]
+    place = {p: i for i, p in enumerate(names)}
+    assert [r["path"] for r in found] == graph.first_in_first_out(names, sorted(edges, key=lambda e: place[e[0]]))
+    assert [r["place"] for r in found] == list(range(len(nodes)))
+    assert {r["path"] for r in found if r["level"] is None} == {"x", "y", "o4-1", "o4-2"}
+    assert steps.count("ready") == 0
