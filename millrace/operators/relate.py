@@ -83,8 +83,16 @@ def attributed(diags: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def defined(uses: DataFrame, items: DataFrame) -> DataFrame:
-    """Identifiers (use) with their definitions (name, module), one row each."""
-    return uses.join(items, uses["use"] == items["name"])
+    """Identifiers (use) with their definitions (name, module), one row each.
+
+    Equal definitions are joined as one with their number, and repeated after the join. Uses are dealt
+    evenly to as many tasks as shuffles have: their bytes, by which the engine would put tasks
+    together, say nothing of the rows that each brings.
+    """
+    dealt = uses.repartition(int(uses.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    alike = items.groupBy(*items.columns).agg(F.count("*").alias("_n"))
+    found = dealt.join(alike, dealt["use"] == alike["name"])
+    return found.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("bigint"), "_n"))).drop("_n", "_k")
 
 
 def of_trait_or_type(wanted: DataFrame, impls: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Facts about operators on small literal tables."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +120,21 @@ def test_duplicates_keep_the_best(spark):
     assert sorted(r["pos"] for r in relate.best_items(best).collect()) == [2, 4, 5, 6]
 
 
+def test_definitions_meet_uses_once_however_many_are_alike(spark, monkeypatch):
+    """Rows of one name and module are joined as one, with uses in all tasks, and come back as often as they were there."""
+    uses = spark.createDataFrame([("a", 1), ("a", 2), ("a", 2), ("b", 3), ("z", 4), (None, 5)], "use string, n bigint").coalesce(1)
+    had = [("a", "m1")] * 700 + [("a", "m2")] + [("a", None)] * 3 + [("b", "m1")] * 2 + [("c", "m1"), (None, "m1")]
+    items = spark.createDataFrame(had, "name string, module string")
+    sizes, kind = [], type(uses)
+    join = kind.join
+    monkeypatch.setattr(kind, "join", lambda self, other, *a, **b: sizes.append((self.rdd.getNumPartitions(), other.count())) or join(self, other, *a, **b))
+    found = relate.defined(uses, items)
+    assert found.columns == ["use", "n", "name", "module"]
+    want = Counter((u, n, u, m) for u, n in [("a", 1), ("a", 2), ("a", 2), ("b", 3)] for name, m in had if name == u)
+    assert Counter(tuple(r) for r in found.collect()) == want
+    assert sizes == [(4, 6)]
+
+
 def test_state_machine(spark):
     log = spark.createDataFrame([(1, k, e) for k, e in enumerate(["StartParsing", "Fail", "ParseComplete", "Reset"])], "run_id bigint, seq int, event string")
     assert tuple(machine.replay(log).first()) == (1, "Idle", 3, 1)
